@@ -31,6 +31,8 @@ SLOTS = (
     rf"\[{_CAPS}\]",
     rf"\[{_NAME} ?(?:---?|–|—|:) ?(?i:to be (?:completed|added|supplied|inserted|announced)|à compléter|zu ergänzen|por completar)\]",
     rf"[<\[](?i:please (?:fill in|complete|insert|add)|fill in|bitte (?:ergänzen|ausfüllen|eintragen)|à compléter|à remplir|completar|rellenar|por favor complete) ?: ?{_NAME}[>\]]",
+    rf"[<\[](?i:add|insert|enter|your|put|fill in|ajouter|insérer|añadir|insertar) {_NAME}[>\]]",
+    rf"[<\[](?i:{_NAME} (?:hinzufügen|einfügen|eintragen|ergänzen))[>\]]",
     rf"\((?i:{_NAME} to be (?:supplied|provided|added|completed|inserted) by the (?:author|editor)s?)\)",
     rf"\[(?i:(?:insert|add|enter|put|type|your) .{{2,40}} here|insertar .{{2,40}} aquí|insérer .{{2,40}} ici|.{{2,40}} hier (?:einfügen|eintragen|ergänzen))\]",
     rf"(?i:your {_NAME} (?:goes|comes|belongs) here)\.?",
@@ -39,6 +41,11 @@ SLOTS = (
     rf"(?i:(?:escriba|escribe|introduzca|inserte|ponga) (?:aquí|su)) ?:? ?{_NAME}\.?",
     rf"(?i:(?:saisissez|écrivez|insérez|entrez|indiquez) ici) ?:? ?{_NAME}\.?",
     rf"(?i:click here to enter {_NAME})\.?",
+    rf"%\({_NAME}\)[sd]",
+    rf"(?i:replace this (?:text|line|sentence) (?:with|by) (?:the |your )?{_NAME}(?: of your (?:article|paper))?)\.?",
+    rf"(?i:(?:diesen|den) text durch {_NAME} ersetzen)\.?",
+    rf"(?i:remplace[rz] ce texte par) ?:? ?{_NAME}\.?",
+    rf"(?i:(?:sustituya|reemplace|sustituir|reemplazar) este texto (?:por|con)) ?:? ?{_NAME}\.?",
 )
 #: Words of pseudo-Latin filler.
 LATIN = frozenset(
@@ -54,13 +61,17 @@ LATIN = frozenset(
     lobortis luctus mattis metus molestie neque odio pharetra placerat purus quam rhoncus risus sagittis sapien scelerisque
     semper sodales sollicitudin tellus tortor ultricies urna vehicula venenatis volutpat vulputate""".split()
 )
+#: Names that stand for any name.
+META = frozenset("foo bar baz qux quux quuz corge grault garply waldo fred plugh xyzzy thud foobar spam eggs toto tata titi tutu blah bla blub".split())
 #: Sentences that say they are no content.
 FILLER = (
+    r"demo (?:content|text|copy)\b", r"remove before (?:submission|publication|printing)", r"texte provisoire\b", r"paragraphe d'exemple", r"(?:texte|paragraphe|phrase) (?:d'essai|de démonstration|fictive?)",
+    r"(?:beispiel|muster|platzhalter|blind|füll)(?:text|absatz|satz)\b", r"(?:párrafo|texto|frase) (?:de (?:ejemplo|relleno|muestra|prueba)|provisional|ficticio)",
     r"this is (?:just |only )?(?:a )?(?:dummy|placeholder|sample|filler|blind|example) (?:text|copy|paragraph|prose)",
     r"(?:this|the) (?:section|paragraph|page|text|abstract|chapter|passage) (?:intentionally )?(?:holds|contains|is) (?:only |just )?(?:a )?(?:placeholder|filler|dummy)",
     r"(?:the )?quick sample sentence fills", r"sample (?:paragraph|text|copy|sentence)s? (?:for layout|to show|goes here|only)",
     r"here (?:comes|goes|stands) some text that stands in for", r"text that stands in for the real one", r"it only shows how a printed page would look",
-    r"dies ist (?:ein )?(?:nur )?(?:blindtext|mustertext|platzhaltertext|fülltext|beispieltext)", r"(?:hier steht|es folgt) (?:nur )?(?:ein )?(?:blindtext|mustertext|platzhalter)",
+    r"dies ist (?:nur )?(?:ein )?(?:nur )?(?:blindtext|mustertext|platzhalter|fülltext|beispieltext)", r"(?:hier steht|es folgt) (?:nur )?(?:ein )?(?:blindtext|mustertext|platzhalter)",
     r"(?:ceci est|voici) (?:un |du )?(?:faux[- ]texte|texte (?:factice|de remplissage|d'exemple|provisoire))",
     r"(?:este es|esto es) (?:un )?texto (?:de relleno|de ejemplo|ficticio|de prueba|simulado|provisional)",
 )
@@ -158,7 +169,9 @@ def evidence(line: str) -> str | None:
             words = _LETTERS.findall(low)
             if len(words) >= 4:
                 latin = sum(w in LATIN for w in words)
-                if latin >= 4 and latin * 4 >= len(words) * 3 or words.count("blah") >= 3:
+                if latin >= 4 and latin * 4 >= len(words) * 3 or all(w in META for w in words):
+                    return "filler"
+                if len(words) >= 6 and len(set(words)) == 1:
                     return "filler"
     return None
 
@@ -193,13 +206,15 @@ def residue(docs: DataFrame, key: str, text: str, host: str, scratch, share: flo
             for k, x, s in zip(b["k"], b["x"], b["s"]):
                 if x is None:
                     continue
-                seen: dict[str, str] = {}
-                for line in _BREAK.split(x):
-                    if line and not line.isspace() and (n := normalise(line)) not in seen:
-                        seen[n] = line
+                seen: dict[str, tuple[str | None, str]] = {}
+                for line in dict.fromkeys(_BREAK.split(x)):
+                    if line and not line.isspace():
+                        n, e = normalise(line), evidence(line)
+                        if e or n not in seen:
+                            seen[n] = e, line
                 counts.update((s, _hash(n)) for n in seen)
                 counts[s, None] += 1
-                shown = [(n, evidence(line), line) for n, line in seen.items()]
+                shown = [(n, e, line) for n, (e, line) in seen.items()]
                 if any(e for _, e, _ in shown):
                     rows += [(s, _hash(n), None, k, e, e is None and bool(_LETTERS.search(_TAG.sub("", _COMMENT.sub("", line)))) and not line.lstrip().startswith(("\\documentclass", "\\begin{document}", "\\end{document}"))) for n, e, line in shown]
             rows += [(s, h, n, None, None, None) for (s, h), n in counts.items()]

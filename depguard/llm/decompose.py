@@ -30,11 +30,20 @@ def clusters(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
     both = scratch.write(edges.union(edges.select("dst", "src")).toDF("v", "w"), "both")
     degree = both.groupBy("v").agg(F.count("*").alias("n"))
     hot = hot_keys(degree, ["v"], "n", both.count())
-    now = degree.select("v", F.struct((REACH - _shift(F.col("v"), level)).alias("t"), F.col("v").alias("c")).alias("s"))
+    start = F.struct((REACH - _shift(F.col("v"), level)).alias("t"), F.col("v").alias("c"))
+    now = scratch.write(degree.select("v", start.alias("s"), F.lit(True).alias("new")), "state")
     for _ in range(REACH):
-        sent = hot_join(both, now, ["v"], hot).select(F.col("w").alias("v"), F.struct((F.col("s.t") + 1).alias("t"), F.col("s.c").alias("c")).alias("s"))
-        now = now.unionByName(sent).groupBy("v").agg(F.min("s").alias("s"))
+        # Only what a vertex learned in the last round can tell its neighbours anything. Each round is written, so no
+        # plan holds more than one.
+        told = now.filter("new").select("v", "s")
+        sent = hot_join(both, told, ["v"], hot).select(F.col("w").alias("v"), F.struct((F.col("s.t") + 1).alias("t"), F.col("s.c").alias("c")).alias("s"), F.lit(None).cast("struct<t:double,c:bigint>").alias("old"))
+        own = now.select("v", "s", F.col("s").alias("old"))
+        following = own.unionByName(sent).groupBy("v").agg(F.min("s").alias("s"), F.min("old").alias("old"))
+        following = scratch.write(following.select("v", "s", (F.col("s") < F.col("old")).alias("new")), "state")
+        scratch.drop(now)
+        now = following
     out = scratch.write(now.select("v", F.col("s.c").alias("c")), "clusters")
+    scratch.drop(now)
     scratch.drop(both)
     return out
 

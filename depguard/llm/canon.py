@@ -220,12 +220,15 @@ def map_to_list(entries: DataFrame, key: str, city: str, state: str, ref: DataFr
     Entries with a null key are kept. An empty list maps every entry to -1.
     """
     ref = ref.select("ref_id", "city", "state", "state_name")
-    shards = max(1, -(-ref.count() // (shard_rows // 2 if ref.count() > shard_rows else shard_rows)))
+    size = ref.count()
+    shards = 1 if size <= shard_rows else -(-2 * size // shard_rows)
     regions = [tuple(r) for r in ref.select("state", "state_name").distinct().take(shard_rows)]
     e = entries.select(F.col(key).alias("_key"), F.col(city).alias("_c"), F.col(state).alias("_s"))
     exact = ref.select(F.col("city").alias("_c"), F.col("state").alias("_s")).dropna().distinct()
     other = e.join(F.broadcast(exact) if shards == 1 else exact, ["_c", "_s"], "left_anti")
-    typed, found = other.select("_c", "_s").distinct(), None
+    # Few bytes, much work: the pairs are spread by number of cores, where a size in bytes would put them in one task.
+    typed = other.select("_c", "_s").distinct().repartition(3 * entries.sparkSession.sparkContext.defaultParallelism, "_c", "_s")
+    found = None
     for i in range(shards):
         rows = [tuple(r) for r in ref.filter(F.pmod(F.xxhash64("city"), F.lit(shards)) == i).toLocalIterator()]
 

@@ -7,6 +7,7 @@ there are at most `parts` of them: that is the proven bound on all that is colle
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -64,9 +65,9 @@ def place(loads: DataFrame, key: str, n: str, slots: int, grain: int = 16) -> Pl
     """Bin-pack keys to `slots` tasks by their load.
 
     Only keys of at least 1/(slots*grain) of the load are packed one by one (at most slots*grain rows reach the
-    driver); a key above the capacity of a slot, load/slots, is cut into as many equal shards as it needs, each put on
-    the emptiest slot (longest first). What is below that size is spread evenly by hash, so it adds the same base load
-    to every slot.
+    driver). What is below that size is spread evenly by hash, so it adds the same base load to every slot. A packed key
+    larger than the room a slot has beside its base load is cut into as many equal shards as it needs; shards are put,
+    longest first, each on the emptiest slot that has none of that key.
     """
     loads = loads.dropna(subset=[key])
     total = loads.agg(F.sum(n)).first()[0] or 0
@@ -78,10 +79,10 @@ def place(loads: DataFrame, key: str, n: str, slots: int, grain: int = 16) -> Pl
     rest = total - sum(x for _, x in large)
     free = [(rest / slots, i) for i in range(slots)]
     heapq.heapify(free)
-    capacity = total / slots
+    room = max(total / slots - rest / slots, total / slots / grain)
     pieces = []
     for k, load in large:
-        cuts = min(slots, max(1, -(-int(load) // max(1, int(capacity)))))
+        cuts = min(slots, max(1, math.ceil(load / room)))
         pieces += [(load / cuts, k)] * cuts
     at: dict = {}
     for load, k in sorted(pieces, key=lambda p: (-p[0], str(p[1]))):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 _NAME = r"[^\W\d_][\w.]*(?:[ -][^\W\d_][\w.]*){0,3}"
 _CAPS = r"(?:(?![a-zß-ÿ])[^\W\d]){3,}(?: (?:(?![a-zß-ÿ])[^\W\d])+){0,3}"
-_TAGS = "html|head|body|title|meta|link|script|noscript|style|div|span|p|br|hr|a|b|i|u|em|strong|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|h1|h2|h3|h4|h5|h6|pre|code|img|form|input|button|label|nav|main|header|footer|section|article|aside|center|font|sub|sup|small|big|tt|blockquote|iframe|svg|math"
+_TAGS = "html|head|body|meta|link|script|noscript|style|div|span|p|br|hr|a|b|i|u|em|strong|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|h1|h2|h3|h4|h5|h6|pre|code|img|form|input|button|label|nav|main|aside|center|font|sub|sup|small|big|tt|blockquote|iframe|svg|math"
 #: An unfilled slot, as a whole unit.
 SLOTS = (
     rf"\{{\{{\s*{_NAME}\s*\}}\}}",
@@ -27,7 +27,7 @@ SLOTS = (
     rf"XX-{_NAME}-XX",
     rf"\${_CAPS}\$",
     rf"&lt;\s*{_NAME}\s*&gt;",
-    rf"<(?!/?(?i:{_TAGS})\b){_CAPS}>",
+    rf"<(?!(?i:{_TAGS})>){_CAPS}>",
     rf"\[{_CAPS}\]",
     rf"\[{_NAME} ?(?:---?|–|—|:) ?(?i:to be (?:completed|added|supplied|inserted|announced)|à compléter|zu ergänzen|por completar)\]",
     rf"[<\[](?i:please (?:fill in|complete|insert|add)|fill in|bitte (?:ergänzen|ausfüllen|eintragen)|à compléter|à remplir|completar|rellenar|por favor complete) ?: ?{_NAME}[>\]]",

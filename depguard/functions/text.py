@@ -10,5 +10,5 @@ def word_count(df: DataFrame, col: str, sep: str = " ") -> DataFrame:
 
 
 def letters_digits(c: Column) -> Column:
-    """Only letters and digits, in lower case; accents stay."""
-    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{Nd}]+", ""))
+    """Only letters and digits, in lower case; accents stay, those written as marks of their own too."""
+    return F.lower(F.regexp_replace(c, r"[^\p{L}\p{M}\p{Nd}]+", ""))

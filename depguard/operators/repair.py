@@ -30,11 +30,12 @@ class RepairResult:
         return report(self.flagged, F.sum(F.when(F.col(by), 1)), F.count("*"), self.rule)
 
 
-def vote(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str = "plurality") -> DataFrame:
+def vote(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str = "plurality", unanimous: bool = False) -> DataFrame:
     """lhs.., winner: the value each violating group is repaired to.
 
     plurality: the most frequent non-null value, the smallest on a tie. majority: a value that more than half of the
-    rows have (null rows count in the total, null never wins). Groups with one value have no row.
+    rows have (null rows count in the total, null never wins). Groups with one value have no row, unless `unanimous`
+    asks for these entries that change nothing.
     """
     counted = value_counts(df.filter(_present(lhs)), lhs, rhs)
     top = counted.groupBy(*lhs).agg(
@@ -42,7 +43,7 @@ def vote(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str = "plurality")
         F.sum("n").alias("t"),
         F.min(F.when(F.col(rhs).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(rhs).alias("r")))).alias("best"),
     )
-    top = top.filter((F.col("v") > 1) & F.col("best").isNotNull())
+    top = top.filter(((F.col("v") > 1) | F.lit(unanimous)) & F.col("best").isNotNull())
     if kind == "majority":
         top = top.filter(F.col("best.n") * -2 > F.col("t"))
     elif kind != "plurality":

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from depguard.api import detect
 from depguard.functions.text import word_count
 from depguard.operators import dc, dd, fd, pod
 from depguard.operators.repair import CHANGED, VISITED, class_audit, equivalence_classes, repair, value_classes, vote
 from depguard.rules import parse_rule
 from depguard.session import Scratch, scratch_root
-from depguard.sources import read_text_with_header
+from depguard.sources import read_csv_ints, read_text_with_header, write_repaired, write_report
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -110,6 +111,11 @@ def vote_majority(s, d):
     return vote(t(s, d, "orders"), ("o_custkey",), "o_orderstatus", "majority")
 
 
+@query("vote_majority_unanimous", _vote_sql("orders", "o_custkey", "o_orderstatus", True).replace("dv > 1", "dv > 0"))
+def vote_majority_unanimous(s, d):
+    return vote(t(s, d, "orders"), ("o_custkey",), "o_orderstatus", "majority", unanimous=True)
+
+
 @query("vote_plurality", _vote_sql("addr", "zip", "city"))
 def vote_plurality(s, d):
     return vote(t(s, d, "addr"), ("zip",), "city")
@@ -213,13 +219,26 @@ def eqclass_repair(s, d):
     return repair(df, parse_rule("doc_id->source;text->source", "fdset"), flags=True).df.drop("text")
 
 
-@query("eqclass_composite")
+def _classes_sql(table: str, key: str, cols: str, *values: str) -> str:
+    """CTEs ending in cls(key.., cols.., c): rows that share a value of any kind are in one class, named by its smallest
+    key, as SQL. Labels spread along (smaller label only) until they no longer change."""
+    kinds = " UNION ALL ".join(f"SELECT {key} AS k, '{i}' || ({v}) AS x FROM {table} WHERE ({v}) IS NOT NULL" for i, v in enumerate(values))
+    return f"""WITH RECURSIVE v AS ({kinds}), m AS (SELECT x, min(k) AS k FROM v GROUP BY 1),
+e AS (SELECT DISTINCT a.k AS p, b.k AS q FROM v x JOIN v y USING (k) JOIN m a ON a.x = x.x JOIN m b ON b.x = y.x WHERE a.k <> b.k),
+r(p, q) AS (SELECT DISTINCT k, k FROM m UNION SELECT e.q, r.q FROM r JOIN e ON e.p = r.p AND r.q < e.q), l AS (SELECT p, min(q) AS g FROM r GROUP BY 1),
+f AS (SELECT v.k, min(l.g) AS c FROM v JOIN m USING (x) JOIN l ON l.p = m.k GROUP BY 1), cls AS (SELECT t.{key}, {cols}, f.c FROM {table} t LEFT JOIN f ON f.k = t.{key})"""
+
+
+@query("eqclass_composite", f"{_classes_sql('part', 'p_partkey', 'p_name, p_brand, p_retailprice, p_size', "p_name || '|' || p_brand", 'p_retailprice::VARCHAR')}, w AS ({_vote_sql('cls', 'c', 'p_size')}) SELECT p_partkey, p_name, p_brand, p_retailprice, coalesce(w.winner, p_size) AS p_size, w.winner IS NOT NULL AS _visited, w.winner IS NOT NULL AND w.winner IS DISTINCT FROM p_size AS _changed FROM cls LEFT JOIN w ON w.c = cls.c")
 def eqclass_composite(s, d):
     df = t(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice", "p_size")
     return repair(df, parse_rule("p_name,p_brand->p_size;p_retailprice->p_size", "fdset"), flags=True).df
 
 
-@query("eqclass_two_rules")
+_ZS = "SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT zip, sum(n) n FROM (SELECT zip, state, count(*) n FROM {0} WHERE zip IS NOT NULL GROUP BY ALL) GROUP BY 1 HAVING count(*) > 1)"
+
+
+@query("eqclass_two_rules", f"{_classes_sql('equivalence', 'rec_id', 'zip, state', 'zip', 'city')}, w AS ({_vote_sql('cls', 'c', 'state', True)}), o AS (SELECT cls.zip, coalesce(w.winner, cls.state) AS state FROM cls LEFT JOIN w ON w.c = cls.c) SELECT ({_ZS.format('equivalence')}) AS dirty_before, ({_ZS.format('o')}) AS dirty_after, (SELECT count(*) FROM equivalence) AS total, 'zip->state' AS rule")
 def eqclass_two_rules(s, d):
     """Two rules for one right side: class by class majority, and the share of dirty rows before and after."""
     df = t(s, d, "equivalence").select("zip", "city", "state")
@@ -273,6 +292,19 @@ def dc_no_equality(s, d):
     return dc.pairs(t(s, d, "supplier"), parse_rule("A.s_acctbal>B.s_acctbal@A.s_nationkey<B.s_nationkey", "dc"), "s_suppkey").select("A_s_suppkey", "B_s_suppkey")
 
 
+@query("dc_rows", f"SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey IN (SELECT a.s_suppkey {_S2_SQL} UNION SELECT b.s_suppkey {_S2_SQL})")
+def dc_rows(s, d):
+    """The rows that take part in any violating pair."""
+    return detect(t(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), parse_rule(_S2, "dc"), "s_suppkey", "rows")
+
+
+@query("dc_text_numbers", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 9 AND s_nationkey < 20")
+def dc_text_numbers(s, d):
+    """Columns of a text source compared as numbers."""
+    text = t(s, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("string"), F.col("s_nationkey").cast("string"))
+    return dc.rows(text, parse_rule("A.s_acctbal>9@20>A.s_nationkey", "dc"), frozenset({"s_acctbal", "s_nationkey"})).select("s_suppkey")
+
+
 _DD, _DD_SQL = "c_acctbal<50@c_nationkey<10", "FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) < 50 AND abs(a.c_nationkey - b.c_nationkey) >= 10"
 
 
@@ -307,6 +339,17 @@ def pod_tax(s, d):
     return pod.pod_incremental(t(s, d, "tax_base"), t(s, d, "tax_add"), parse_rule("[a1>][a2>]->[c>]", "pod"), "id")
 
 
+@query("pod_within_add", "WITH s AS (SELECT * FROM tax_base UNION ALL SELECT * FROM tax_add) SELECT t.id AS add_id, s.id AS base_id, CASE WHEN t.a1 > s.a1 THEN 1 ELSE -1 END AS direction FROM tax_add t JOIN s ON t.id <> s.id AND ((t.a1 > s.a1 AND t.a2 > s.a2 AND t.c <= s.c) OR (t.a1 < s.a1 AND t.a2 < s.a2 AND t.c >= s.c))")
+def pod_within_add(s, d):
+    """The batch against the base and against itself."""
+    return pod.pod_incremental(t(s, d, "tax_base"), t(s, d, "tax_add"), parse_rule("[a1>][a2>]->[c>]", "pod"), "id", within_add=True)
+
+
+@query("pod_representatives", "SELECT id, min(id) OVER (PARTITION BY a1, a2, c) AS rep FROM tax_base")
+def pod_representatives(s, d):
+    return pod.representatives(t(s, d, "tax_base"), ["a1", "a2", "c"], "id")
+
+
 @query("pod_compress", "SELECT c_nationkey, c_mktsegment, min(c_custkey) AS rep, count(*) AS n FROM customer GROUP BY 1, 2")
 def pod_compress(s, d):
     return pod.compress(t(s, d, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey")
@@ -323,3 +366,21 @@ def text_source_roundtrip(s, d):
     n = t(s, d, "nation").select(*(F.col(c).cast("string") for c in ("n_nationkey", "n_name", "n_regionkey")))
     n.select(F.concat_ws(",", *n.columns).alias("value")).write.mode("overwrite").text(path)
     return read_text_with_header(s, path, " n_nationkey , n_name,n_regionkey")
+
+
+@query("csv_source_roundtrip", "SELECT id, a1, a2, c FROM tax_add")
+def csv_source_roundtrip(s, d):
+    path = f"{Scratch(s).root}/tax-csv"
+    t(s, d, "tax_add").select("id", "a1", "a2", "c").write.csv(path)
+    return read_csv_ints(s, path, ["id", "a1", "a2", "c"])
+
+
+@query("report_sink", SQL["fd_report"])
+def report_sink(s, d):
+    return s.read.parquet(write_report(fd_report(s, d), f"{Scratch(s).root}/report"))
+
+
+@query("repaired_sink", f"SELECT id, zip, city FROM ({_REP})")
+def repaired_sink(s, d):
+    done = repair(t(s, d, "addr").select("id", "zip", "city"), parse_rule("zip->city", "fd"), flags=True)
+    return s.read.parquet(write_repaired(done.df, f"{Scratch(s).root}/repaired"))

@@ -40,19 +40,18 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{scratch_root(spark)}/depguard-{uuid.uuid4().hex}", {}
+        self.spark, self.root = spark, f"{scratch_root(spark)}/depguard-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        back._scratch_path = path
         return back
 
     def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
+        if path := getattr(df, "_scratch_path", None):
             _delete(self.spark, path)
 
     def close(self) -> None:

@@ -31,7 +31,7 @@ def t(spark, sf, name):
 
 
 ADDR = CopyRule(exact=("zip", "state", "phone", "salary", "areacode", "leve"), loose=("fname", "city"), swappable=("fname", "city"))
-_LOOSE = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{Nd}}]+', '', 'g'))"
+_LOOSE = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+', '', 'g'))"
 _P1 = f"""WITH n AS (SELECT *, {_LOOSE.format('fname')} AS nf, {_LOOSE.format('city')} AS nc FROM addr),
 k AS (SELECT *, CASE WHEN nf IS NULL OR nc IS NULL THEN nf ELSE least(nf, nc) END AS x, CASE WHEN nf IS NULL OR nc IS NULL THEN nc ELSE greatest(nf, nc) END AS y FROM n),
 g AS (SELECT *, min(id) OVER w AS rep_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY zip, state, phone, salary, areacode, leve, x, y))"""
@@ -87,7 +87,12 @@ def p7_containers(s, d):
     return pack(Scratch(s).write(token_sizes(t(s, d, "documents"), "doc_id", "text"), "sizes"), "doc_id")
 
 
-@query("p8_found")
+_WORDS = "regexp_extract_all(lower(regexp_replace({0}, '\\\\\\p{{L}}*\\*?', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "SELECT {k}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, {w} AS w FROM {t}))"
+_P8 = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(k='doc_id', w=_WORDS.format('text'), t='documents')}) JOIN ({_GRAMS.format(k='item_id', w=_WORDS.format('text'), t='eval_items')}) USING (g)"
+
+
+@query("p8_found", _P8)
 def p8_found(s, d):
     return leaks(t(s, d, "documents"), "doc_id", "text", t(s, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
 

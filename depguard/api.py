@@ -22,7 +22,7 @@ def detect(df: DataFrame, rule, key: str | None = None, output: str = "report",
         return fd.groups(df, rule)
     if name == (MFD, "report"):
         return fd.mfd_report(df, rule)
-    if key is None and not (isinstance(rule, DC) and not rule.pairwise):
+    if key is None and output != "report" and not (isinstance(rule, DC) and not rule.pairwise):
         raise ValueError("pairs of rows need a key column")
     if name == (MFD, "pairs"):
         return fd.mfd_pairs(df, rule, key)

@@ -5,30 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depguard.plans.pairs import COMPARE, grid_join, sides
-from depguard.report import clamped
+from depguard.report import as_bigint, clamped, pairs_of, wide
 from depguard.rules import DC, Lit, Pred, Ref
 
 
-def _expr(p: Pred, prefix: bool = True, numeric: frozenset = frozenset()) -> Column:
+def _expr(p: Pred, names: dict[str, str], numeric: frozenset = frozenset()) -> Column:
+    """The predicate as a column; names: the column prefix that stands for each alias."""
+
     def side(x: Ref | Lit) -> Column:
         if isinstance(x, Lit):
             return F.lit(x.value)
-        c = F.col(f"{x.alias}_{x.column}" if prefix else x.column)
+        c = F.col(names[x.alias] + x.column)
         return c.try_cast("double") if x.column in numeric else c
 
     return COMPARE[p.op](side(p.left), side(p.right))
 
 
-def _all(preds, **kw) -> Column:
+def _all(preds, names: dict[str, str], numeric: frozenset = frozenset()) -> Column:
     out = F.lit(True)
     for p in preds:
-        out = out & _expr(p, **kw)
+        out = out & _expr(p, names, numeric)
     return out
 
 
+PAIR, SWAPPED = {"A": "A_", "B": "B_"}, {"A": "B_", "B": "A_"}
+
+
+def _own(preds, both_sides: bool) -> list[Pred]:
+    """With both_sides a predicate on one tuple holds for the other one too."""
+    out = list(preds)
+    if both_sides:
+        flip = {"A": "B", "B": "A"}
+        other = lambda x: Ref(flip[x.alias], x.column) if isinstance(x, Ref) else x
+        out += [Pred(other(p.left), p.op, other(p.right)) for p in preds if len(p.aliases) == 1]
+    return out
+
+
+def _columns(dc: DC) -> list[str]:
+    return list(dict.fromkeys(x.column for p in dc.preds for x in (p.left, p.right) if isinstance(x, Ref)))
+
+
 def rows(df: DataFrame, dc: DC, numeric: frozenset = frozenset()) -> DataFrame:
     """A constraint on one tuple: the rows that satisfy all of it."""
-    return df.filter(_all(dc.preds, prefix=False, numeric=numeric))
+    return df.filter(_all(dc.preds, {"A": "", "B": ""}, numeric))
 
 
 def pairs(df: DataFrame, dc: DC, key: str, both_sides: bool = False, self_pairs: bool = False, grid: int = 16, numeric: frozenset = frozenset()) -> DataFrame:
@@ -37,40 +56,47 @@ def pairs(df: DataFrame, dc: DC, key: str, both_sides: bool = False, self_pairs:
     Predicates on one tuple filter their own side before the join (both sides with `both_sides`). Equalities of columns
     become the join keys, the other predicates its residual; with no equality the sides meet in the cells of a grid.
     """
-    single = [p for p in dc.preds if len(p.aliases) == 1]
-    double = [p for p in dc.preds if len(p.aliases) == 2]
-    cols = [key, *(x.column for p in dc.preds for x in (p.left, p.right) if isinstance(x, Ref))]
-    a, b = sides(df, cols)
-    for p in single:
-        for alias, side in (("A", "a"), ("B", "b")):
-            if both_sides or alias in p.aliases:
-                swap = Pred(*(Ref(alias, x.column) if isinstance(x, Ref) else x if not isinstance(x, str) else x for x in (p.left, p.op, p.right)))
-                if side == "a":
-                    a = a.filter(_expr(swap, numeric=numeric))
-                else:
-                    b = b.filter(_expr(swap, numeric=numeric))
-    on = _all(double, numeric=numeric)
-    if not self_pairs:
-        on = on & (F.col(f"A_{key}") != F.col(f"B_{key}"))
+    preds = _own(dc.preds, both_sides)
+    a, b = sides(df, [key, *_columns(dc)])
+    on = F.lit(True) if self_pairs else F.col(f"A_{key}") != F.col(f"B_{key}")
+    return _meet(a, b, preds, on, f"A_{key}", f"B_{key}", grid, numeric)
+
+
+def _meet(a: DataFrame, b: DataFrame, preds: list[Pred], on: Column, key_a: str, key_b: str, grid: int, numeric: frozenset) -> DataFrame:
+    a = a.filter(_all([p for p in preds if p.aliases == {"A"}], PAIR, numeric))
+    b = b.filter(_all([p for p in preds if p.aliases == {"B"}], PAIR, numeric))
+    double = [p for p in preds if len(p.aliases) == 2]
+    on = _all(double, PAIR, numeric) & on
     if any(p.op == "=" for p in double):
         return a.join(b, on)
-    return grid_join(a, b, f"A_{key}", f"B_{key}", grid, on)
+    return grid_join(a, b, key_a, key_b, grid, on)
 
 
-def dc_report(df: DataFrame, dc: DC, key: str, clamp: bool = False, **kw) -> DataFrame:
+def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False, both_sides: bool = False, self_pairs: bool = False, grid: int = 16, numeric: frozenset = frozenset()) -> DataFrame:
     """dirty, total, ordered_pairs, rule.
 
     On one tuple: rows of all rows. On two: unordered pairs with a violating orientation, of n(n-1)/2; with `clamp` the
     ordered count over n(n-1) in display form. n is counted before predicates on one tuple apply.
+
+    No pair of rows is formed: rows equal on the rule's columns are one class with a weight, classes are joined, and a
+    pair of classes counts as the product of their weights. A pair that violates both ways round is counted once, from
+    its smaller side.
     """
-    total = df.agg(F.count("*").alias("n"))
     rule = F.lit(str(dc)).alias("rule")
+    total = df.agg(F.count("*").alias("n"))
     if not dc.pairwise:
-        d = rows(df, dc, kw.get("numeric", frozenset())).agg(F.count("*").alias("dirty"))
+        d = rows(df, dc, numeric).agg(F.count("*").alias("dirty"))
         return d.join(F.broadcast(total)).select("dirty", F.col("n").alias("total"), F.col("dirty").alias("ordered_pairs"), rule)
-    p = pairs(df, dc, key, **kw).select(F.least(f"A_{key}", f"B_{key}").alias("x"), F.greatest(f"A_{key}", f"B_{key}").alias("y"))
-    counted = p.groupBy("x", "y").agg(F.count("*").alias("o")).agg(F.count("*").alias("u"), F.coalesce(F.sum("o"), F.lit(0)).alias("o"))
-    j = counted.join(F.broadcast(total))
+    cols, preds = _columns(dc), _own(dc.preds, both_sides)
+    classes = df.groupBy(*cols).agg(F.count("*").alias("w")).withColumn("k", F.struct(*cols))
+    a, b = sides(classes, [*cols, "w", "k"])
+    met = _meet(a, b, preds, F.col("A_k") != F.col("B_k"), "A_k", "B_k", grid, numeric)
+    product = wide(F.col("A_w")) * wide(F.col("B_w"))
+    back = F.coalesce(_all(preds, SWAPPED, numeric), F.lit(False))
+    met = met.select(product.alias("o"), F.when((F.col("A_k") < F.col("B_k")) | ~back, product).alias("u"))
+    same = classes.filter(_all(preds, {"A": "", "B": ""}, numeric)).select((wide(F.col("w")) * (wide(F.col("w")) - (0 if self_pairs else 1))).alias("o"), pairs_of(F.col("w")).alias("u"))
+    j = met.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")).unionByName(same.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")))
+    j = j.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("u"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).join(F.broadcast(total))
     if clamp:
-        return j.select(*clamped(F.col("o"), F.col("n")), F.col("o").alias("ordered_pairs"), rule)
-    return j.select(F.col("u").alias("dirty"), F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("total"), F.col("o").alias("ordered_pairs"), rule)
+        return j.select(*clamped(F.col("o"), F.col("n")), as_bigint(F.col("o")).alias("ordered_pairs"), rule)
+    return j.select(as_bigint(F.col("u")).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), as_bigint(F.col("o")).alias("ordered_pairs"), rule)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depguard.plans.pairs import COMPARE, bucket_join, grid_join, sides
+from depguard.report import as_bigint, pairs_of, wide
 from depguard.rules import DD, Dist
 from depguard.rules.model import NEGATE
 
@@ -17,24 +18,28 @@ def _distance(d: Dist, negate: bool = False) -> Column:
     return COMPARE[NEGATE[d.op] if negate else d.op](F.abs(a - b), F.lit(d.bound))
 
 
-def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int = 16) -> DataFrame:
-    """Unordered pairs, A's key the smaller: A_x, B_x of the key and the rule's columns.
-
-    String columns are read as numbers, what isn't one as null. strategy: bucket joins neighbouring buckets of the left
-    distance that prunes most (its bound is the smallest part of its column's spread); grid meets all pairs in cells,
-    needed only if no left distance has an upper bound; auto takes the first that applies.
-    """
-    cols = list(dict.fromkeys([key, *(d.column for d in (*dd.lhs, *dd.rhs))]))
+def _numbers(df: DataFrame, cols: list[str], key: str | None) -> DataFrame:
+    """The columns, those of strings read as numbers, what isn't one as null."""
     kinds = dict(df.dtypes)
-    df = df.select(*(F.col(c).try_cast("double").alias(c) if kinds[c] == "string" and c != key else F.col(c) for c in cols))
-    a, b = sides(df, cols)
-    on = F.col(f"A_{key}") < F.col(f"B_{key}")
+    return df.select(*(F.col(c).try_cast("double").alias(c) if kinds[c] == "string" and c != key else F.col(c) for c in cols))
+
+
+def _columns(dd: DD) -> list[str]:
+    return list(dict.fromkeys(d.column for d in (*dd.lhs, *dd.rhs)))
+
+
+def _conditions(dd: DD) -> Column:
+    on, bad = F.lit(True), F.lit(False)
     for d in dd.lhs:
         on = on & _distance(d)
-    bad = F.lit(False)
     for d in dd.rhs:
         bad = bad | _distance(d, negate=True)
-    on = on & bad
+    return on & bad
+
+
+def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strategy: str, grid: int) -> DataFrame:
+    a, b = sides(df, cols)
+    on = first & _conditions(dd)
     bounded = [d for d in dd.lhs if d.op in ("<", "<=", "=")]
     if strategy == "grid" or not bounded:
         return grid_join(a, b, f"A_{key}", f"B_{key}", grid, on)
@@ -45,8 +50,32 @@ def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int
     return bucket_join(a, b, f"A_{best.column}", f"B_{best.column}", best.bound, on)
 
 
-def dd_report(df: DataFrame, dd: DD, key: str, **kw) -> DataFrame:
-    """dirty = violating unordered pairs, total = n(n-1)/2."""
-    d = dd_pairs(df, dd, key, **kw).agg(F.count("*").alias("dirty"))
+def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int = 16) -> DataFrame:
+    """Unordered pairs, A's key the smaller: A_x, B_x of the key and the rule's columns.
+
+    String columns are read as numbers, what isn't one as null. strategy: bucket joins neighbouring buckets of the left
+    distance that prunes most (its bound is the smallest part of its column's spread); grid meets all pairs in cells,
+    needed only if no left distance has an upper bound; auto takes the first that applies.
+    """
+    cols = list(dict.fromkeys([key, *_columns(dd)]))
+    return _meet(_numbers(df, cols, key), cols, dd, key, F.col(f"A_{key}") < F.col(f"B_{key}"), strategy, grid)
+
+
+def dd_report(df: DataFrame, dd: DD, key: str | None = None, strategy: str = "auto", grid: int = 16) -> DataFrame:
+    """dirty = violating unordered pairs, total = n(n-1)/2.
+
+    Rows equal on the rule's columns are one class with a weight; only classes are joined, and a pair of classes counts
+    as the product of their weights. Within a class all distances are 0.
+    """
+    cols = _columns(dd)
+    classes = _numbers(df, cols, None).groupBy(*cols).agg(F.count("*").alias("w")).withColumn("k", F.struct(*cols))
+    met = _meet(classes, [*cols, "w", "k"], dd, "k", F.col("A_k") < F.col("B_k"), strategy, grid)
+    at_zero = lambda d, negate: COMPARE[NEGATE[d.op] if negate else d.op](F.col(d.column) - F.col(d.column), F.lit(d.bound))
+    zero, bad = F.lit(True), F.lit(False)
+    for d in dd.lhs:
+        zero = zero & at_zero(d, False)
+    for d in dd.rhs:
+        bad = bad | at_zero(d, True)
+    counts = met.select((wide(F.col("A_w")) * wide(F.col("B_w"))).cast("decimal(38,0)").alias("u")).unionByName(classes.filter(zero & bad).select(pairs_of(F.col("w")).cast("decimal(38,0)").alias("u")))
     n = df.agg(F.count("*").alias("n"))
-    return d.join(F.broadcast(n)).select("dirty", F.floor(F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("total"), F.lit(str(dd)).alias("rule"))
+    return counts.agg(F.sum("u").alias("u")).join(F.broadcast(n)).select(as_bigint(F.col("u")).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), F.lit(str(dd)).alias("rule"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from depguard.report import report
+from depguard.report import as_bigint, pairs_of, report, wide
 from depguard.rules import FD, MFD
 
 
@@ -67,20 +67,13 @@ def mfd_report(df: DataFrame, rule: MFD) -> DataFrame:
     No join: in a group of n rows whose values occur n_v times, (n*n - sum n_v*n_v)/2 pairs differ. Sums are decimal,
     so that groups of billions of rows don't overflow. Null on either side never matches.
     """
-    big = "decimal(38,0)"
     counted = df.groupBy(*rule.lhs, rule.rhs).agg(F.count("*").alias("n"))
     ok = _present((*rule.lhs, rule.rhs))
     g = counted.groupBy(*rule.lhs).agg(
-        F.sum(F.when(ok, F.col("n"))).cast("decimal(19,0)").alias("m"),
-        F.sum(F.when(ok, F.col("n").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)"))).alias("q"),
-        F.sum("n").alias("n"),
-    )
-    out = g.agg(F.sum(F.col("m") * F.col("m") - F.col("q")).alias("twice"), F.sum("n").cast("decimal(19,0)").alias("n"))
-    return out.select(
-        F.coalesce(F.col("twice").cast(big) / 2, F.lit(0)).cast("bigint").alias("dirty"),
-        F.coalesce(F.col("n") * (F.col("n") - 1) / 2, F.lit(0)).cast("bigint").alias("total"),
-        F.lit(str(rule)).alias("rule"),
+        wide(F.sum(F.when(ok, F.col("n")))).alias("m"), F.sum(F.when(ok, wide(F.col("n")) * wide(F.col("n")))).alias("q"), F.sum("n").alias("n")
     )
+    out = g.agg(F.sum(F.col("m") * F.col("m") - F.col("q")).alias("twice"), F.sum("n").alias("n"))
+    return out.select(as_bigint(F.col("twice") / 2).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), F.lit(str(rule)).alias("rule"))
 
 
 def mfd_pairs(df: DataFrame, rule: MFD, key: str) -> DataFrame:

@@ -318,6 +318,21 @@ def dd_report(s, d):
     return dd.dd_report(t(s, d, "customer"), parse_rule(_DD, "dd"), "c_custkey")
 
 
+_LC = "WITH c AS (SELECT {0}, count(*)::HUGEINT AS n FROM lineitem GROUP BY ALL)"
+_LDC = "A.l_returnflag=B.l_returnflag@A.l_quantity>B.l_quantity@A.l_discount<B.l_discount"
+
+
+@query("dc_report_large", f"{_LC.format('l_returnflag, l_quantity, l_discount')} SELECT sum(a.n * b.n)::BIGINT AS dirty, (SELECT (count(*)::HUGEINT * (count(*) - 1) // 2)::BIGINT FROM lineitem) AS total, sum(a.n * b.n)::BIGINT AS ordered_pairs, '{_LDC}' AS rule FROM c a JOIN c b ON a.l_returnflag = b.l_returnflag AND a.l_quantity > b.l_quantity AND a.l_discount < b.l_discount")
+def dc_report_large(s, d):
+    """A table without a key: classes of equal rows are compared, not rows."""
+    return dc.dc_report(t(s, d, "lineitem"), parse_rule(_LDC, "dc"))
+
+
+@query("dd_report_large", f"{_LC.format('l_quantity, l_tax')} SELECT (coalesce(sum(CASE WHEN a.l_quantity = b.l_quantity AND a.l_tax = b.l_tax THEN 0 ELSE a.n * b.n END), 0) // 2)::BIGINT AS dirty, (SELECT (count(*)::HUGEINT * (count(*) - 1) // 2)::BIGINT FROM lineitem) AS total, 'l_quantity<=2@l_tax<0.035' AS rule FROM c a JOIN c b ON abs(a.l_quantity - b.l_quantity) <= 2 AND abs(a.l_tax - b.l_tax) >= 0.035")
+def dd_report_large(s, d):
+    return dd.dd_report(t(s, d, "lineitem"), parse_rule("l_quantity<=2@l_tax<0.035", "dd"))
+
+
 @query("dd_grid", "SELECT a.s_suppkey AS A_s_suppkey, b.s_suppkey AS B_s_suppkey FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 500 AND abs(a.s_nationkey - b.s_nationkey) >= 5")
 def dd_grid(s, d):
     return dd.dd_pairs(t(s, d, "supplier"), parse_rule("s_acctbal<500@s_nationkey<5", "dd"), "s_suppkey", strategy="grid").select("A_s_suppkey", "B_s_suppkey")

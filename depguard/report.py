@@ -1,9 +1,11 @@
-"""The report row (dirty, total, rule) every detector returns."""
+"""The report row (dirty, total, rule) every detector returns, and the arithmetic of pair counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+LARGEST = 2**63 - 1
+
 
 def report(df: DataFrame, dirty: Column, total: Column, rule) -> DataFrame:
     """One row from one global aggregate; both columns are bigint and 0 on an empty table."""
@@ -12,15 +14,25 @@ def report(df: DataFrame, dirty: Column, total: Column, rule) -> DataFrame:
     ).withColumn("rule", F.lit(str(rule)))
 
 
+def wide(n: Column) -> Column:
+    """A row count that may be multiplied by another one."""
+    return n.cast("decimal(19,0)")
+
+
+def as_bigint(n: Column) -> Column:
+    """A count of pairs as bigint. Above 2^63-1 (pairs of more than four billion rows) it stays at that value."""
+    return F.least(F.coalesce(n, F.lit(0)).cast("decimal(38,0)"), F.lit(LARGEST).cast("decimal(38,0)")).cast("bigint")
+
+
 def pairs_of(n: Column) -> Column:
-    """n(n-1)/2 as bigint."""
-    return F.floor(n * (n - 1) / 2)
+    """n(n-1)/2."""
+    return wide(n) * (wide(n) - 1) / 2
 
 
 def clamped(ordered: Column, n: Column) -> list[Column]:
     """The display form that keeps small ratios visible: below one percent of n*n the ratio becomes 2 of 9,900 (0 if none)."""
-    small = ordered < n * n * 0.01
+    small = ordered < wide(n) * wide(n) * 0.01
     return [
-        F.when(small, F.when(ordered == 0, 0).otherwise(2)).otherwise(ordered).cast("bigint").alias("dirty"),
-        F.when(small, 9900).otherwise(n * (n - 1)).cast("bigint").alias("total"),
+        F.when(small, F.when(ordered == 0, 0).otherwise(2)).otherwise(as_bigint(ordered)).cast("bigint").alias("dirty"),
+        F.when(small, 9900).otherwise(as_bigint(wide(n) * (wide(n) - 1))).cast("bigint").alias("total"),
     ]

@@ -133,6 +133,18 @@ def test_rewrites_equal_all_pairs(spark, rows):
     assert one(detect(df, parse_rule("x@y", "mfd")))[0] == mfd == detect(df, parse_rule("x@y", "mfd"), "id", "pairs").count()
     near = sum(a[3] is not None and b[3] is not None and abs(a[3] - b[3]) <= 2 and a[1] is not None and b[1] is not None and not abs(a[1] - b[1]) < 2 for a, b in pairs)
     assert dd.dd_pairs(df, parse_rule("z<=2@x<2", "dd"), "id").count() == near
+    assert one(dd.dd_report(df, parse_rule("z<=2@x<2", "dd")))[0] == near
+    lt = lambda a, b: a is not None and b is not None and a < b
+    for text, p in (
+        ("A.x=B.x@A.y<=B.y", lambda a, b: eq(a[1], b[1]) and (eq(a[2], b[2]) or lt(a[2], b[2]))),
+        ("A.z<B.z@A.y>0", lambda a, b: lt(a[3], b[3]) and a[2] is not None and a[2] > 0),
+        ("A.x!=B.y@B.z=1", lambda a, b: ne(a[1], b[2]) and eq(b[3], 1)),
+        ("A.x=B.y", lambda a, b: eq(a[1], b[2])),
+    ):
+        ordered = sum(p(a, b) for a in data for b in data if a is not b)
+        either = sum(p(a, b) or p(b, a) for a, b in pairs)
+        assert one(dc.dc_report(df, parse_rule(text, "dc")))[:3] == (either, len(pairs), ordered), text
+        assert dc.pairs(df, parse_rule(text, "dc"), "id").count() == ordered
     rule = parse_rule("[x>][y>=]->[z>]", "pod")
     t, s = [r for r in data if r[0] % 3 == 0], [r for r in data if r[0] % 3]
 

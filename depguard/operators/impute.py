@@ -75,7 +75,7 @@ def fit_category(df: DataFrame, e: Category, observed_only: bool, scratch: Scrat
     """(by.., field, n) counts over rows whose field is observed; (by.., value) most frequent; rows counted."""
     fit = df.filter(~F.col(f"{e.field}_missing") & (_observed(e.by) if observed_only else _known(e.by)))
     counts = scratch.write(fit.groupBy(*e.by, e.field).agg(F.count("*").alias("n")), "counts")
-    mode = counts.groupBy(*e.by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(e.field).alias("v")))["v"].alias("_fill"), F.sum("n").alias("_n"))
+    mode = counts.groupBy(*e.by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(e.field).alias("v")))["v"].alias("__fill"), F.sum("n").alias("__n"))
     return counts, mode, counts.agg(F.sum("n")).first()[0] or 0
 
 
@@ -86,7 +86,7 @@ def fills(df: DataFrame, key: str, e: Category, scratch: Scratch, observed_only:
     by = list(e.by)
     need = df.filter(F.col(f"{e.field}_missing") & (_observed(by) if observed_only else _known(by))).select(key, *by)
     if not e.draw:
-        return hot_join(need, mode.select(*by, "_fill"), by, hot_keys(mode, by, "_n", total)).select(key, "_fill")
+        return hot_join(need, mode.select(*by, "__fill"), by, hot_keys(mode, by, "__n", total)).select(key, "__fill")
     from pyspark.sql import Window
 
     # Each value owns an interval of (0, 1); intervals are cut at 64 steps, so a row meets only the values of its step.
@@ -94,10 +94,10 @@ def fills(df: DataFrame, key: str, e: Category, scratch: Scratch, observed_only:
     upto = F.sum("n").over(w.orderBy(F.desc("n"), e.field).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)
     shares = counts.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n") / F.sum("n").over(w))
     steps = F.sequence(F.floor(F.col("lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("hi") * 64)).cast("int"))
-    shares = shares.withColumn("_s", F.explode(steps)).select(*by, "_s", "lo", "hi", F.col(e.field).alias("_fill"))
-    need = need.withColumn("_u", _uniform(key, f"draw {e.field}")).withColumn("_s", F.floor(F.col("_u") * 64).cast("int"))
-    met = need.join(shares, [*by, "_s"]).filter((F.col("_u") >= F.col("lo") - 1e-12) & (F.col("_u") < F.col("hi") + 1e-12))
-    return met.groupBy(key).agg(F.min("_fill").alias("_fill"))
+    shares = shares.withColumn("__s", F.explode(steps)).select(*by, "__s", "lo", "hi", F.col(e.field).alias("__fill"))
+    need = need.withColumn("__u", _uniform(key, f"draw {e.field}")).withColumn("__s", F.floor(F.col("__u") * 64).cast("int"))
+    met = need.join(shares, [*by, "__s"]).filter((F.col("__u") >= F.col("lo") - 1e-12) & (F.col("__u") < F.col("hi") + 1e-12))
+    return met.groupBy(key).agg(F.min("__fill").alias("__fill"))
 
 
 def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFrame:
@@ -111,8 +111,8 @@ def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFr
     j, features = df, [F.lit(1.0)]
     total = df.count()
     for i, g in enumerate(e.by):
-        m = df.filter(F.col(g).isNotNull()).groupBy(g).agg(F.count("*").alias("_n"), ((F.sum(F.when(seen, y)) + mean * 5) / (F.count(F.when(seen, y)) + 5)).alias(f"_m{i}"))
-        j = hot_join(j, m.drop("_n"), [g], hot_keys(m, [g], "_n", total), "left")
+        m = df.filter(F.col(g).isNotNull()).groupBy(g).agg(F.count("*").alias("__n"), ((F.sum(F.when(seen, y)) + mean * 5) / (F.count(F.when(seen, y)) + 5)).alias(f"_m{i}"))
+        j = hot_join(j, m.drop("__n"), [g], hot_keys(m, [g], "__n", total), "left")
         features.append(F.coalesce(F.col(f"_m{i}"), F.lit(float(mean))) - float(mean))
     features += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in e.on]
     k = len(features)
@@ -157,7 +157,7 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
                 continue
             got = fills(now, key, e, scratch, observed_only)
             cols = now.columns
-            now = now.join(got, key, "left").withColumn(e.field, F.when(F.col(f"{e.field}_missing"), F.coalesce("_fill", e.field)).otherwise(F.col(e.field))).select(*cols)
+            now = now.join(got, key, "left").withColumn(e.field, F.when(F.col(f"{e.field}_missing"), F.coalesce("__fill", e.field)).otherwise(F.col(e.field))).select(*cols)
             now = scratch.write(now, "imputed")
     marks = {f"{f}_filled": F.col(f"{f}_missing") & F.col(f).isNotNull() for f in fields}
     return now.withColumns(marks).drop(*(f"{f}_missing" for f in used if f not in fields))

@@ -80,6 +80,7 @@ def check_lines(df: DataFrame, line: str, schema: LineSchema) -> DataFrame:
 
     A line is tried against the whole-row pattern; only failures go through the prefix patterns. Reasons, the first that
     applies: quoting, columns, value. A null line has no field: reason columns, broken_field 1. An empty line has one.
+    A column of df that is called reason or broken_field is replaced.
     """
     c = F.col("_coded")
     ok = F.regexp_like(c, F.lit(schema.row))
@@ -101,6 +102,6 @@ def load_lines(df: DataFrame, line: str, schema: LineSchema) -> tuple[DataFrame,
     of df that a field's name hides are dropped. rejected: df's columns, reason, broken_field."""
     checked = check_lines(df, line, schema)
     names = {f.name for f in schema.fields}
-    keep = [c for c in df.columns if c != line and c not in names]
+    keep = [c for c in df.columns if c not in {line, "reason", "broken_field", "_coded", *names}]
     values = [_value(F.regexp_extract("_coded", schema.row, i + 1), f.kind).alias(f.name) for i, f in enumerate(schema.fields)]
     return checked.filter("reason is null").select(*keep, *values), checked.filter("reason is not null").drop("_coded")

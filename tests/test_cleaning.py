@@ -151,3 +151,14 @@ def test_chained_rounds_noise_and_draws(spark, scratch):
     assert all(out[r[0]].v == r[3] for r in rows if r[3] is not None)
     empty = chained_imputation(df.limit(0), "id", eqs, {}, scratch)
     assert empty.count() == 0
+
+
+def test_clashing_names_change_nothing(spark, scratch):
+    df = spark.createDataFrame([(*r, "x", "y", 1, "r") for r in HOSPITAL], "id int, zip string, city string, state string, score double, __n string, _k string, n int, reason string")
+    eqs = [Category("city", ("zip",)), Category("zip", ("city", "state"), draw=True), Number("score", ("zip",))]
+    out = chained_imputation(df, "id", eqs, _real(), scratch)
+    assert out.count() == len(HOSPITAL) and {"_k", "n", "city_filled", "city_missing"} <= set(out.columns)
+    assert {r.key_value: r.n for r in per_key_report(df, "zip", "n", scratch).collect()}["123456"] == 3
+    lines = spark.createDataFrame([("1,Rome,X,p,5,9", "mine", 1), ("", "mine", 2)], "line string, reason string, _coded int")
+    good, bad = load_lines(lines, "line", SCHEMA)
+    assert good.count() == 1 and [r.reason for r in bad.collect()] == ["columns"]

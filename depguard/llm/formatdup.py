@@ -78,7 +78,9 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
     seen = scratch.write(seen, "seen")
     total = df.count()
     hot = hot_keys(seen, ["_a", "_b"], "n", total)
-    seen = seen.select("_a", "_b")
+    # The filter holds for every row written; it lets Spark send a Bloom filter of the fingerprints to a large scan, so
+    # that rows without a copy aren't shuffled again.
+    seen = seen.filter("n > 1").select("_a", "_b")
 
     def verified(part: DataFrame, small: bool) -> DataFrame:
         exact = part.groupBy("_a", "_b", *fields).agg(F.min("_id").alias("rep_id"), F.count("*").alias("copies")).filter("copies > 1")
@@ -96,8 +98,11 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
 
 
 def collapse(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFrame:
-    """One record a set of copies (the one with the smallest key), all columns, with the column copies (1 if alone)."""
-    name = "copies" if "copies" not in df.columns else "_copies"
+    """One record a set of copies (the one with the smallest key), all columns, with the column copies (1 if alone); it
+    gets leading underscores if df has one of that name. Rows with a null key stay, alone."""
+    name = "copies"
+    while name in df.columns:
+        name = f"_{name}"
     c = scratch.write(copies(df, key, rule, scratch), "copies")
     dropped = c.filter("id <> rep_id").select(F.col("id").alias(key))
     counts = c.filter("id = rep_id").select(F.col("id").alias(key), F.col("copies").alias(name))

@@ -86,9 +86,10 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
         exact = part.groupBy("_a", "_b", *fields).agg(F.min("_id").alias("rep_id"), F.count("*").alias("copies")).filter("copies > 1")
         mark = F.struct(*fields)
         exact = exact.select(F.col("_a").alias("_x"), F.col("_b").alias("_y"), mark.alias("_f"), "rep_id", "copies")
-        on = (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")) & (F.hash(mark) == F.hash("_f"))
-        j = part.join(F.broadcast(exact) if small else exact.hint("shuffle_hash"), on)
-        return j.filter(mark.eqNullSafe(F.col("_f"))).select("rep_id", F.col("_id").alias("id"), "copies")
+        # Equality of the fields as one value of both sides: Spark can't turn it into join keys, so the join stays on the
+        # fingerprint, by which both sides are partitioned already. Nulls equal nulls here.
+        on = (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")) & (F.size(F.array_distinct(F.array(mark, F.col("_f")))) == 1)
+        return part.join(F.broadcast(exact) if small else exact.hint("shuffle_hash"), on).select("rep_id", F.col("_id").alias("id"), "copies")
 
     if hot is None:
         return verified(rows.join(seen.hint("shuffle_hash"), ["_a", "_b"], "left_semi"), False)

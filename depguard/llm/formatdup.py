@@ -66,7 +66,7 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
     2. Rows of a fingerprint seen twice or more are verified: grouped by fingerprint and all canonical fields by a hash
        aggregate, so rows that merely collide part again. No step sorts.
     3. Each verified row meets its group's smallest key. Fingerprints that hold 1/200 of all rows or more (at most 200)
-       don't move: their groups are broadcast. The others are joined by the partitioning step 2 already made.
+       don't move: their groups are broadcast. The others are joined by fingerprint.
 
     The key must be unique. A null equals only a null in the same field; an empty value and one without letters and
     digits are equal, and differ from null. Rows with a null key are left out.
@@ -86,16 +86,20 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
         exact = part.groupBy("_a", "_b", *fields).agg(F.min("_id").alias("rep_id"), F.count("*").alias("copies")).filter("copies > 1")
         mark = F.struct(*fields)
         exact = exact.select(F.col("_a").alias("_x"), F.col("_b").alias("_y"), mark.alias("_f"), "rep_id", "copies")
-        # Equality of the fields as one value of both sides: Spark can't turn it into join keys, so the join stays on the
-        # fingerprint, by which both sides are partitioned already. Nulls equal nulls here.
+        # Equality of the fields as one value of both sides: Spark can't turn it into join keys, so rows are placed by
+        # fingerprint and compared by field. Nulls equal nulls here.
         on = (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")) & (F.size(F.array_distinct(F.array(mark, F.col("_f")))) == 1)
         return part.join(F.broadcast(exact) if small else exact.hint("shuffle_hash"), on).select("rep_id", F.col("_id").alias("id"), "copies")
 
+    def cold(part: DataFrame, own: DataFrame) -> DataFrame:
+        # Written: read twice from here, where the shuffle of all rows behind it would be read twice else.
+        return verified(scratch.write(part.join(own.hint("shuffle_hash"), ["_a", "_b"], "left_semi"), "candidates"), False)
+
     if hot is None:
-        return verified(rows.join(seen.hint("shuffle_hash"), ["_a", "_b"], "left_semi"), False)
+        return cold(rows, seen)
     hot = F.broadcast(hot)
-    cold = rows.join(hot, ["_a", "_b"], "left_anti").join(seen.join(hot, ["_a", "_b"], "left_anti").hint("shuffle_hash"), ["_a", "_b"], "left_semi")
-    return verified(cold, False).unionByName(verified(rows.join(hot, ["_a", "_b"], "left_semi"), True))
+    rest = cold(rows.join(hot, ["_a", "_b"], "left_anti"), seen.join(hot, ["_a", "_b"], "left_anti"))
+    return rest.unionByName(verified(rows.join(hot, ["_a", "_b"], "left_semi"), True))
 
 
 def collapse(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from depguard.plans.skew import hot_join, hot_keys
 from depguard.session import Scratch
@@ -79,25 +79,29 @@ def fit_category(df: DataFrame, e: Category, observed_only: bool, scratch: Scrat
     return counts, mode, counts.agg(F.sum("n")).first()[0] or 0
 
 
-def fills(df: DataFrame, key: str, e: Category, scratch: Scratch, observed_only: bool) -> DataFrame:
-    """key, _fill for the rows whose field is missing and whose `by` is known: by the mode of the similar records, or by
-    a draw from their distribution. Rows of hot combinations are met by broadcast, see plans.skew."""
+def fill_category(df: DataFrame, key: str, e: Category, scratch: Scratch, observed_only: bool) -> DataFrame:
+    """df with the field filled where it is missing and `by` is known: by the mode of the similar records, or by a draw
+    from their distribution. Only rows to be filled are joined; of them, those of hot combinations are met by broadcast,
+    see plans.skew. All other rows stay where they are."""
     counts, mode, total = fit_category(df, e, observed_only, scratch)
-    by = list(e.by)
-    need = df.filter(F.col(f"{e.field}_missing") & (_observed(by) if observed_only else _known(by))).select(key, *by)
-    if not e.draw:
-        return hot_join(need, mode.select(*by, "__fill"), by, hot_keys(mode, by, "__n", total)).select(key, "__fill")
-    from pyspark.sql import Window
-
-    # Each value owns an interval of (0, 1); intervals are cut at 64 steps, so a row meets only the values of its step.
-    w = Window.partitionBy(*by)
-    upto = F.sum("n").over(w.orderBy(F.desc("n"), e.field).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)
-    shares = counts.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("n") / F.sum("n").over(w))
-    steps = F.sequence(F.floor(F.col("lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("hi") * 64)).cast("int"))
-    shares = shares.withColumn("__s", F.explode(steps)).select(*by, "__s", "lo", "hi", F.col(e.field).alias("__fill"))
-    need = need.withColumn("__u", _uniform(key, f"draw {e.field}")).withColumn("__s", F.floor(F.col("__u") * 64).cast("int"))
-    met = need.join(shares, [*by, "__s"]).filter((F.col("__u") >= F.col("lo") - 1e-12) & (F.col("__u") < F.col("hi") + 1e-12))
-    return met.groupBy(key).agg(F.min("__fill").alias("__fill"))
+    by, cols = list(e.by), df.columns
+    wanted = F.col(f"{e.field}_missing") & (_observed(by) if observed_only else _known(by))
+    need, rest = df.filter(wanted), df.filter(~wanted)
+    if e.draw:
+        # Each value owns an interval of [0, 1); intervals are cut at 64 steps, so a row meets only the values of its step.
+        w = Window.partitionBy(*by)
+        upto, n = F.sum("n").over(w.orderBy(F.desc("n"), e.field).rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
+        shares = counts.select(*by, F.col(e.field).alias("__fill"), ((upto - F.col("n")) / n).alias("__lo"), (upto / n).alias("__hi"))
+        steps = F.sequence(F.floor(F.col("__lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("__hi") * 64)).cast("int"))
+        shares = shares.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(by)), "__fill", "__lo", "__hi", F.explode(steps).alias("__step"))
+        need = need.withColumn("__u", _uniform(key, f"draw {e.field}"))
+        on = (F.floor(F.col("__u") * 64).cast("int") == F.col("__step")) & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
+        for i, c in enumerate(by):
+            on = on & (F.col(c) == F.col(f"__{i}"))
+        need = need.join(shares, on, "left")
+    else:
+        need = hot_join(need, mode.select(*by, "__fill"), by, hot_keys(mode, by, "__n", total), "left")
+    return need.withColumn(e.field, F.coalesce("__fill", e.field)).select(*cols).unionByName(rest)
 
 
 def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFrame:
@@ -107,7 +111,7 @@ def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFr
     seen = ~F.col(f"{e.field}_missing")
     mean = df.filter(seen).agg(F.avg(y)).first()[0]
     if mean is None:
-        return df
+        return df.withColumn(e.field, y)
     j, features = df, [F.lit(1.0)]
     total = df.count()
     for i, g in enumerate(e.by):
@@ -140,7 +144,7 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
     is filled in a round if its predictors are known by then; filled values are predicted anew each round, observed ones
     never change. observed_only: fit and fill from observed predictors only, so one round gives all there is. Rows that
     nothing resembles stay null with field_filled false. A column of df that has one of the mark's names is replaced.
-    key must be unique; rows with a null key are kept and not filled.
+    key must be unique; rows with a null key are kept, and filled only if df has no columns but the key and those used.
     """
     fields = list(dict.fromkeys([*real, *(e.field for e in equations)]))
     used = list(dict.fromkeys([*fields, *(c for e in equations for c in (*e.by, *getattr(e, "on", ())))]))
@@ -149,15 +153,23 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
         df = df.withColumn(f"{f}_missing", ~ok)
     for f in used:
         df = df.withColumn(f, F.when(~F.col(f"{f}_missing"), F.col(f)))
-    now = df
+    now = df.select(*dict.fromkeys([key, *used]), *(f"{f}_missing" for f in used))
+    df = df.drop(*(f"{f}_missing" for f in used if f not in fields))
     for _ in range(1 if observed_only else rounds):
         for e in equations:
             if isinstance(e, Number):
-                now = scratch.write(_number_fill(now, key, e, scratch), "imputed")
-                continue
-            got = fills(now, key, e, scratch, observed_only)
-            cols = now.columns
-            now = now.join(got, key, "left").withColumn(e.field, F.when(F.col(f"{e.field}_missing"), F.coalesce("__fill", e.field)).otherwise(F.col(e.field))).select(*cols)
-            now = scratch.write(now, "imputed")
+                following = _number_fill(now, key, e, scratch)
+            else:
+                following = fill_category(now, key, e, scratch, observed_only)
+            following = scratch.write(following, "imputed")
+            scratch.drop(now)
+            now = following
     marks = {f"{f}_filled": F.col(f"{f}_missing") & F.col(f).isNotNull() for f in fields}
-    return now.withColumns(marks).drop(*(f"{f}_missing" for f in used if f not in fields))
+    now = now.withColumns(marks)
+    if set(df.columns) <= set(now.columns):
+        return now.select(*df.columns, *marks)
+    # The chain held the key and the fields it uses; only rows with a filled value meet the other columns again.
+    new = now.filter(reduce(lambda a, b: a | b, (F.col(m) for m in marks))).select(F.col(key).alias("__key"), *(F.col(f).alias(f"__v{i}") for i, f in enumerate(fields)), *(F.col(m).alias(f"__m{i}") for i, m in enumerate(marks)))
+    out = df.drop(*marks).join(new, F.col(key) == F.col("__key"), "left")
+    values = {f: F.coalesce(f"__v{i}", f) for i, f in enumerate(fields)} | {m: F.coalesce(f"__m{i}", F.lit(False)) for i, m in enumerate(marks)}
+    return out.withColumns(values).select(*df.drop(*marks).columns, *marks)

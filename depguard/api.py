@@ -1,14 +1,23 @@
-"""The two calls most users need: detect and repair."""
+"""The calls most users need, in one place."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from depguard.operators import dc, dd, fd
-from depguard.operators.repair import repair
-from depguard.rules import DC, DD, FD, MFD
+from depguard.operators.fd import rollup_counts
+from depguard.operators.heavy import per_key_report
+from depguard.operators.impute import chained_imputation
+from depguard.operators.malformed import LineSchema, check_lines, load_lines
+from depguard.operators.pod import pod_incremental
+from depguard.operators.repair import equivalence_classes, repair, value_classes, vote
+from depguard.rules import DC, DD, FD, MFD, parse_rule
+from depguard.sources import read_text_with_header, write_repaired, write_report
 
-__all__ = ["detect", "repair"]
+__all__ = [
+    "LineSchema", "chained_imputation", "check_lines", "detect", "equivalence_classes", "load_lines", "parse_rule", "per_key_report", "pod_incremental", "read_text_with_header",
+    "repair", "rollup_counts", "value_classes", "vote", "write_repaired", "write_report",
+]
 
 
 def detect(df: DataFrame, rule, key: str | None = None, output: str = "report", **options) -> DataFrame:

@@ -88,13 +88,13 @@ def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False
         d = rows(df, dc, numeric).agg(F.count("*").alias("dirty"))
         return d.join(F.broadcast(total)).select("dirty", F.col("n").alias("total"), F.col("dirty").alias("ordered_pairs"), rule)
     cols, preds = _columns(dc), _own(dc.preds, both_sides)
-    classes = df.groupBy(*cols).agg(F.count("*").alias("w")).withColumn("k", F.struct(*cols))
-    a, b = sides(classes, [*cols, "w", "k"])
-    met = _meet(a, b, preds, F.col("A_k") != F.col("B_k"), "A_k", "B_k", grid, numeric)
-    product = wide(F.col("A_w")) * wide(F.col("B_w"))
+    classes = df.groupBy(*cols).agg(F.count("*").alias("__w")).withColumn("__k", F.struct(*cols))
+    a, b = sides(classes, [*cols, "__w", "__k"])
+    met = _meet(a, b, preds, F.col("A___k") != F.col("B___k"), "A___k", "B___k", grid, numeric)
+    product = wide(F.col("A___w")) * wide(F.col("B___w"))
     back = F.coalesce(_all(preds, SWAPPED, numeric), F.lit(False))
-    met = met.select(product.alias("o"), F.when((F.col("A_k") < F.col("B_k")) | ~back, product).alias("u"))
-    same = classes.filter(_all(preds, {"A": "", "B": ""}, numeric)).select((wide(F.col("w")) * (wide(F.col("w")) - (0 if self_pairs else 1))).alias("o"), pairs_of(F.col("w")).alias("u"))
+    met = met.select(product.alias("o"), F.when((F.col("A___k") < F.col("B___k")) | ~back, product).alias("u"))
+    same = classes.filter(_all(preds, {"A": "", "B": ""}, numeric)).select((wide(F.col("__w")) * (wide(F.col("__w")) - (0 if self_pairs else 1))).alias("o"), pairs_of(F.col("__w")).alias("u"))
     j = met.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")).unionByName(same.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")))
     j = j.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("u"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).join(F.broadcast(total))
     if clamp:

@@ -68,14 +68,14 @@ def dd_report(df: DataFrame, dd: DD, key: str | None = None, strategy: str = "au
     as the product of their weights. Within a class all distances are 0.
     """
     cols = _columns(dd)
-    classes = _numbers(df, cols, None).groupBy(*cols).agg(F.count("*").alias("w")).withColumn("k", F.struct(*cols))
-    met = _meet(classes, [*cols, "w", "k"], dd, "k", F.col("A_k") < F.col("B_k"), strategy, grid)
+    classes = _numbers(df, cols, None).groupBy(*cols).agg(F.count("*").alias("__w")).withColumn("__k", F.struct(*cols))
+    met = _meet(classes, [*cols, "__w", "__k"], dd, "__k", F.col("A___k") < F.col("B___k"), strategy, grid)
     at_zero = lambda d, negate: COMPARE[NEGATE[d.op] if negate else d.op](F.col(d.column) - F.col(d.column), F.lit(d.bound))
     zero, bad = F.lit(True), F.lit(False)
     for d in dd.lhs:
         zero = zero & at_zero(d, False)
     for d in dd.rhs:
         bad = bad | at_zero(d, True)
-    counts = met.select((wide(F.col("A_w")) * wide(F.col("B_w"))).cast("decimal(38,0)").alias("u")).unionByName(classes.filter(zero & bad).select(pairs_of(F.col("w")).cast("decimal(38,0)").alias("u")))
+    counts = met.select((wide(F.col("A___w")) * wide(F.col("B___w"))).cast("decimal(38,0)").alias("u")).unionByName(classes.filter(zero & bad).select(pairs_of(F.col("__w")).cast("decimal(38,0)").alias("u")))
     n = df.agg(F.count("*").alias("n"))
     return counts.agg(F.sum("u").alias("u")).join(F.broadcast(n)).select(as_bigint(F.col("u")).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), F.lit(str(dd)).alias("rule"))

@@ -19,8 +19,8 @@ def _present(cols: tuple[str, ...]):
 
 
 def value_counts(df: DataFrame, lhs: tuple[str, ...], rhs: str) -> DataFrame:
-    """lhs.., rhs, n: one row a combination, null values included."""
-    return df.groupBy(*lhs, rhs).agg(F.count("*").alias("n"))
+    """lhs.., rhs, __n: one row a combination, null values included."""
+    return df.groupBy(*lhs, rhs).agg(F.count("*").alias("__n"))
 
 
 def groups(df: DataFrame, fd: FD) -> DataFrame:
@@ -28,7 +28,7 @@ def groups(df: DataFrame, fd: FD) -> DataFrame:
     return (
         value_counts(df.filter(_present(fd.lhs)), fd.lhs, fd.rhs)
         .groupBy(*fd.lhs)
-        .agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows"))
+        .agg(F.count("*").alias("n_values"), F.sum("__n").alias("n_rows"))
         .filter("n_values > 1")
     )
 
@@ -40,8 +40,8 @@ def rows(df: DataFrame, fd: FD) -> DataFrame:
 
 def fd_report(df: DataFrame, fd: FD) -> DataFrame:
     """dirty = rows of violating groups, total = rows. Two hash aggregates, no join."""
-    g = value_counts(df, fd.lhs, fd.rhs).groupBy(*fd.lhs).agg(F.count("*").alias("v"), F.sum("n").alias("n"))
-    return report(g, F.sum(F.when(_present(fd.lhs) & (F.col("v") > 1), F.col("n"))), F.sum("n"), fd)
+    g = value_counts(df, fd.lhs, fd.rhs).groupBy(*fd.lhs).agg(F.count("*").alias("__v"), F.sum("__n").alias("__n"))
+    return report(g, F.sum(F.when(_present(fd.lhs) & (F.col("__v") > 1), F.col("__n"))), F.sum("__n"), fd)
 
 
 def rows_with_report(df: DataFrame, fd: FD) -> DataFrame:
@@ -67,13 +67,13 @@ def mfd_report(df: DataFrame, rule: MFD) -> DataFrame:
     No join: in a group of n rows whose values occur n_v times, (n*n - sum n_v*n_v)/2 pairs differ. Sums are decimal,
     so that groups of billions of rows don't overflow. Null on either side never matches.
     """
-    counted = df.groupBy(*rule.lhs, rule.rhs).agg(F.count("*").alias("n"))
+    counted = value_counts(df, rule.lhs, rule.rhs)
     ok = _present((*rule.lhs, rule.rhs))
     g = counted.groupBy(*rule.lhs).agg(
-        wide(F.sum(F.when(ok, F.col("n")))).alias("m"), F.sum(F.when(ok, wide(F.col("n")) * wide(F.col("n")))).alias("q"), F.sum("n").alias("n")
+        wide(F.sum(F.when(ok, F.col("__n")))).alias("__m"), F.sum(F.when(ok, wide(F.col("__n")) * wide(F.col("__n")))).alias("__q"), F.sum("__n").alias("__n")
     )
-    out = g.agg(F.sum(F.col("m") * F.col("m") - F.col("q")).alias("twice"), F.sum("n").alias("n"))
-    return out.select(as_bigint(F.col("twice") / 2).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), F.lit(str(rule)).alias("rule"))
+    out = g.agg(F.sum(F.col("__m") * F.col("__m") - F.col("__q")).alias("twice"), F.sum("__n").alias("__n"))
+    return out.select(as_bigint(F.col("twice") / 2).alias("dirty"), as_bigint(pairs_of(F.col("__n"))).alias("total"), F.lit(str(rule)).alias("rule"))
 
 
 def mfd_pairs(df: DataFrame, rule: MFD, key: str) -> DataFrame:

@@ -37,18 +37,22 @@ def vote(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str = "plurality",
     rows have (null rows count in the total, null never wins). Groups with one value have no row, unless `unanimous`
     asks for these entries that change nothing.
     """
+    return _winners(df, lhs, rhs, kind, unanimous).withColumnRenamed("__win", "winner")
+
+
+def _winners(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str, unanimous: bool = False) -> DataFrame:
     counted = value_counts(df.filter(_present(lhs)), lhs, rhs)
     top = counted.groupBy(*lhs).agg(
-        F.count("*").alias("v"),
-        F.sum("n").alias("t"),
-        F.min(F.when(F.col(rhs).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(rhs).alias("r")))).alias("best"),
+        F.count("*").alias("__v"),
+        F.sum("__n").alias("__t"),
+        F.min(F.when(F.col(rhs).isNotNull(), F.struct((-F.col("__n")).alias("n"), F.col(rhs).alias("r")))).alias("__best"),
     )
-    top = top.filter(((F.col("v") > 1) | F.lit(unanimous)) & F.col("best").isNotNull())
+    top = top.filter(((F.col("__v") > 1) | F.lit(unanimous)) & F.col("__best").isNotNull())
     if kind == "majority":
-        top = top.filter(F.col("best.n") * -2 > F.col("t"))
+        top = top.filter(F.col("__best.n") * -2 > F.col("__t"))
     elif kind != "plurality":
         raise ValueError(f"vote is plurality or majority, not {kind!r}")
-    return top.select(*lhs, F.col("best.r").alias("winner"))
+    return top.select(*lhs, F.col("__best.r").alias("__win"))
 
 
 def _with_flags(df: DataFrame) -> DataFrame:
@@ -56,15 +60,15 @@ def _with_flags(df: DataFrame) -> DataFrame:
 
 
 def apply_fix(df: DataFrame, fix: DataFrame, lhs: tuple[str, ...], rhs: str) -> DataFrame:
-    """Write the winners; every row of a repaired group is visited, those with another value are changed."""
+    """Write the winners (lhs.., __win); every row of a repaired group is visited, those with another value are changed."""
     cols = _with_flags(df).columns
-    j = _with_flags(df).join(fix.withColumnRenamed("winner", "_win"), list(lhs), "left")
-    hit = F.col("_win").isNotNull()
+    j = _with_flags(df).join(fix, list(lhs), "left")
+    hit = F.col("__win").isNotNull()
     return j.withColumns(
         {
             VISITED: F.col(VISITED) | hit,
-            CHANGED: F.col(CHANGED) | (hit & ~F.col("_win").eqNullSafe(F.col(rhs))),
-            rhs: F.coalesce("_win", rhs),
+            CHANGED: F.col(CHANGED) | (hit & ~F.col("__win").eqNullSafe(F.col(rhs))),
+            rhs: F.coalesce("__win", rhs),
         }
     ).select(*cols)
 
@@ -75,18 +79,18 @@ def equivalence_classes(df: DataFrame, lefts: list[tuple[str, ...]], scratch: Sc
     The label is the smallest number of a row of the class (numbers are given here). Nulls connect nothing; a row whose
     left sides all have a null gets null.
     """
-    numbered = scratch.write(df.withColumn("_no", F.monotonically_increasing_id()), "rows")
+    numbered = scratch.write(df.withColumn("__no", F.monotonically_increasing_id()), "rows")
     ends = []
     j = numbered
     for i, lhs in enumerate(lefts):
-        low = numbered.filter(_present(lhs)).groupBy(*lhs).agg(F.min("_no").alias(f"_m{i}"))
+        low = numbered.filter(_present(lhs)).groupBy(*lhs).agg(F.min("__no").alias(f"__m{i}"))
         j = j.join(low, list(lhs), "left")
-        ends.append(f"_m{i}")
-    j = scratch.write(j.select(*df.columns, "_no", *ends), "ends")
+        ends.append(f"__m{i}")
+    j = scratch.write(j.select(*df.columns, "__no", *ends), "ends")
     first = F.coalesce(*(F.col(e) for e in ends))
     edges = j.select(first.alias("src"), F.explode(F.array(*(F.col(e) for e in ends))).alias("dst")).dropna()
     cc = connected_components(edges.distinct(), scratch)
-    return j.withColumn("node", first).join(cc, "node", "left").select(*df.columns, F.col("component").alias(label))
+    return j.withColumn("__node", first).join(cc.toDF("__node", "__component"), "__node", "left").select(*df.columns, F.col("__component").alias(label))
 
 
 def value_classes(df: DataFrame, x1: str, x2: str, scratch: Scratch, label: str = "eqclass") -> DataFrame:
@@ -97,15 +101,15 @@ def value_classes(df: DataFrame, x1: str, x2: str, scratch: Scratch, label: str
     c = equivalence_classes(df.select(x1, x2).distinct(), [(x1,), (x2,)], scratch)
     c = scratch.write(c, "values")
     name = c.groupBy(CLASS).agg(F.min(x1).alias(label))
-    m = c.join(name, CLASS).select(F.col(x1).alias("_a"), F.col(x2).alias("_b"), label)
-    on = F.col(x1).eqNullSafe(F.col("_a")) & F.col(x2).eqNullSafe(F.col("_b"))
+    m = c.join(name, CLASS).select(F.col(x1).alias("__a"), F.col(x2).alias("__b"), label)
+    on = F.col(x1).eqNullSafe(F.col("__a")) & F.col(x2).eqNullSafe(F.col("__b"))
     return df.join(m, on, "left").select(*df.columns, label)
 
 
 def repair_shared(df: DataFrame, rules: list[FD], scratch: Scratch, kind: str = "plurality") -> DataFrame:
     """One right side with several left sides: vote per equivalence class of rows."""
     classed = equivalence_classes(_with_flags(df), [r.lhs for r in rules], scratch)
-    out = apply_fix(classed, vote(classed, (CLASS,), rules[0].rhs, kind), (CLASS,), rules[0].rhs)
+    out = apply_fix(classed, _winners(classed, (CLASS,), rules[0].rhs, kind), (CLASS,), rules[0].rhs)
     return out.drop(CLASS)
 
 
@@ -125,7 +129,7 @@ def repair(df: DataFrame, rules: FD | FDSet, scratch: Scratch | None = None, kin
             out = repair_shared(out, own, scratch, kind)
         else:
             for r in own:
-                out = apply_fix(out, vote(out, r.lhs, r.rhs, kind), r.lhs, r.rhs)
+                out = apply_fix(out, _winners(out, r.lhs, r.rhs, kind), r.lhs, r.rhs)
         if i + 1 < len(order):
             out = scratch.write(out, f"repair{i}")
     cols = [*df.columns, *([VISITED, CHANGED] if flags else [])]

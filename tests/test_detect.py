@@ -165,3 +165,33 @@ def test_components_of_chains_and_hubs(spark, scratch):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 300, 301: 300, 302: 300}
     assert got == want
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint"), scratch).count() == 0
+
+
+def test_empty_tables(addr, scratch):
+    none = addr.limit(0)
+    for text, family in (("zip->city", "fd"), ("zip@city", "mfd"), ("A.zip=B.zip@A.salary>B.salary", "dc"), ("A.salary>1", "dc"), ("A.salary>B.salary", "dc"), ("salary<5@areacode<5", "dd"), ("salary>5@areacode<5", "dd")):
+        assert one(detect(none, parse_rule(text, family), "id"))[:2] == (0, 0), text
+    assert detect(none, parse_rule("salary<5@areacode<5", "dd"), "id", "pairs").count() == 0
+    for rules in ("zip->city", "zip->city;city->state", "zip->state;city->state"):
+        done = repair(none, parse_rule(rules, "fdset"), scratch)
+        assert done.df.count() == 0 and one(done.report())[:2] == (0, 0)
+    with pytest.raises(ValueError):
+        detect(addr, parse_rule("zip@city", "mfd"), output="pairs")
+    with pytest.raises(ValueError):
+        detect(addr, parse_rule("zip->city", "fd"), "id", "pairs")
+
+
+def test_repeated_rows_and_types(spark, scratch):
+    df = spark.createDataFrame([(1, 1.5, None), (1, 1.5, None), (1, 2.5, None), (None, 3.5, None)], "k int, v double, w string")  # names used inside elsewhere
+    assert one(detect(df, parse_rule("k->v", "fd")))[:2] == (3, 4)
+    assert sorted(r.v for r in repair(df, parse_rule("k->v", "fd"), scratch).df.collect()) == [1.5, 1.5, 1.5, 3.5]
+    assert one(detect(df, parse_rule("k->w", "fd")))[:2] == (0, 4)  # one value: null
+    assert one(repair(df, parse_rule("v->k", "fd"), scratch).report())[0] == 0
+
+
+def test_columns_named_like_ours(spark, scratch):
+    df = spark.createDataFrame([(1, 1, 1, 1, 1), (1, 2, 1, 2, 2), (2, 2, 1, 1, 3), (2, 2, 3, 1, 4)], "n int, w int, k int, node int, id int")
+    assert one(detect(df, parse_rule("n->w", "fd")))[:2] == (2, 4) and one(detect(df, parse_rule("n@w", "mfd")))[0] == 1
+    assert one(detect(df, parse_rule("A.n=B.n@A.w<B.w", "dc")))[:3] == (1, 6, 1) and one(detect(df, parse_rule("k<1@w<1", "dd")))[0] == 2
+    assert repair(df, parse_rule("n->node;k->node", "fdset"), scratch).df.count() == 4
+    assert value_classes(df, "n", "node", scratch).select("eqclass").distinct().count() == 1

@@ -42,10 +42,8 @@ def clusters(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
         following = scratch.write(following.select("v", "s", (F.col("s") < F.col("old")).alias("new")), "state")
         scratch.drop(now)
         now = following
-    out = scratch.write(now.select("v", F.col("s.c").alias("c")), "clusters")
-    scratch.drop(now)
     scratch.drop(both)
-    return out
+    return now.select("v", F.col("s.c").alias("c"))
 
 
 def _finish(edges: DataFrame) -> DataFrame:

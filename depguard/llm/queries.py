@@ -92,6 +92,14 @@ _GRAMS = "SELECT {k}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (
 _P8 = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(k='doc_id', w=_WORDS.format('text'), t='documents')}) JOIN ({_GRAMS.format(k='item_id', w=_WORDS.format('text'), t='eval_items')}) USING (g)"
 
 
+@query("p7_summary")
+def p7_summary(s, d):
+    """Containers by capacity, the tokens in them and the space left unused."""
+    rows = pack(Scratch(s).write(token_sizes(t(s, d, "documents"), "doc_id", "text"), "sizes"), "doc_id")
+    each = rows.groupBy("container_id", "capacity").agg(F.sum("n_tokens").alias("used"))
+    return each.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("used"), F.sum(F.col("capacity") - F.col("used")).alias("unused"))
+
+
 @query("p8_found", _P8)
 def p8_found(s, d):
     return leaks(t(s, d, "documents"), "doc_id", "text", t(s, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")

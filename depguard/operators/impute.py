@@ -72,20 +72,29 @@ def _observed(cols) -> Column:
 
 
 def fit_category(df: DataFrame, e: Category, observed_only: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """(by.., field, n) counts over rows whose field is observed; (by.., value) most frequent; rows counted."""
+    """(by.., field, n) counts over rows whose field is observed; (by.., value) most frequent; rows counted. Records
+    whose `by` is observed decide; those with a filled `by` are asked only where a combination has no others."""
     fit = df.filter(~F.col(f"{e.field}_missing") & (_observed(e.by) if observed_only else _known(e.by)))
-    counts = scratch.write(fit.groupBy(*e.by, e.field).agg(F.count("*").alias("n")), "counts")
-    mode = counts.groupBy(*e.by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(e.field).alias("v")))["v"].alias("__fill"), F.sum("n").alias("__n"))
+    sure = [] if observed_only else [F.count_if(_observed(e.by)).alias("__sure")]
+    counts = scratch.write(fit.groupBy(*e.by, e.field).agg(F.count("*").alias("n"), *sure), "counts")
+    first = [F.min(F.when(F.col(n) > 0, F.struct((-F.col(n)).alias("n"), F.col(e.field).alias("v"))))["v"] for n in (["n"] if observed_only else ["__sure", "n"])]
+    mode = counts.groupBy(*e.by).agg(F.coalesce(*first).alias("__fill"), F.sum("n").alias("__n"))
     return counts, mode, counts.agg(F.sum("n")).first()[0] or 0
 
 
+def _open(field: str, df: DataFrame) -> Column:
+    """The field is missing and no earlier equation of this round has filled it."""
+    taken = f"__taken {field}"
+    return F.col(f"{field}_missing") & ~F.col(taken) if taken in df.columns else F.col(f"{field}_missing")
+
+
 def fill_category(df: DataFrame, key: str, e: Category, scratch: Scratch, observed_only: bool) -> DataFrame:
-    """df with the field filled where it is missing and `by` is known: by the mode of the similar records, or by a draw
+    """df with the field filled where it is open and `by` is known: by the mode of the similar records, or by a draw
     from their distribution. Only rows to be filled are joined; of them, those of hot combinations are met by broadcast,
     see plans.skew. All other rows stay where they are."""
     counts, mode, total = fit_category(df, e, observed_only, scratch)
     by, cols = list(e.by), df.columns
-    wanted = F.col(f"{e.field}_missing") & (_observed(by) if observed_only else _known(by))
+    wanted = _open(e.field, df) & (_observed(by) if observed_only else _known(by))
     need, rest = df.filter(wanted), df.filter(~wanted)
     if e.draw:
         # Each value owns an interval of [0, 1); intervals are cut at 64 steps, so a row meets only the values of its step.
@@ -101,11 +110,13 @@ def fill_category(df: DataFrame, key: str, e: Category, scratch: Scratch, observ
         need = need.join(shares, on, "left")
     else:
         need = hot_join(need, mode.select(*by, "__fill"), by, hot_keys(mode, by, "__n", total), "left")
+    if (taken := f"__taken {e.field}") in cols:
+        need = need.withColumn(taken, F.col("__fill").isNotNull())
     return need.withColumn(e.field, F.coalesce("__fill", e.field)).select(*cols).unionByName(rest)
 
 
 def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFrame:
-    """df with the field predicted where it is missing. The sums of squares and products (at most a few dozen numbers)
+    """df with the field predicted where it is open. The sums of squares and products (at most a few dozen numbers)
     are all the driver gets."""
     y = F.col(e.field).cast("double")
     seen = ~F.col(f"{e.field}_missing")
@@ -134,7 +145,10 @@ def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFr
     if e.noise:
         u, v = _uniform(key, f"u {e.field}"), _uniform(key, f"v {e.field}")
         guess = guess + F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v) * sigma
-    return j.withColumn(e.field, F.when(F.col(f"{e.field}_missing"), guess).otherwise(y)).select(*df.columns)
+    j = j.withColumn(e.field, F.when(_open(e.field, df), guess).otherwise(y))
+    if (taken := f"__taken {e.field}") in df.columns:
+        j = j.withColumn(taken, F.col(taken) | F.col(f"{e.field}_missing"))
+    return j.select(*df.columns)
 
 
 def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str, Column], scratch: Scratch, rounds: int = 2, observed_only: bool = False) -> DataFrame:
@@ -142,7 +156,8 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
 
     real: for a field, the test of what counts as a value (default: not null); what fails it is null at first. A field
     is filled in a round if its predictors are known by then; filled values are predicted anew each round, observed ones
-    never change. observed_only: fit and fill from observed predictors only, so one round gives all there is. Rows that
+    never change. Of several equations for a field the first that has a prediction fills a row in a round, so the order
+    of equations is one of precedence; later ones are for the rows that it leaves. observed_only: fit and fill from observed predictors only, so one round gives all there is. Rows that
     nothing resembles stay null with field_filled false. A column of df that has one of the mark's names is replaced.
     key must be unique; rows with a null key are kept, and filled only if df has no columns but the key and those used.
     """
@@ -155,15 +170,19 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
         df = df.withColumn(f, F.when(~F.col(f"{f}_missing"), F.col(f)))
     now = df.select(*dict.fromkeys([key, *used]), *(f"{f}_missing" for f in used))
     df = df.drop(*(f"{f}_missing" for f in used if f not in fields))
+    named = [e.field for e in equations]
+    several = {f"__taken {f}": F.lit(False) for f in named if named.count(f) > 1}
+    written = now
     for _ in range(1 if observed_only else rounds):
+        now = now.withColumns(several) if several else now
         for e in equations:
             if isinstance(e, Number):
                 following = _number_fill(now, key, e, scratch)
             else:
                 following = fill_category(now, key, e, scratch, observed_only)
             following = scratch.write(following, "imputed")
-            scratch.drop(now)
-            now = following
+            scratch.drop(written)
+            now = written = following
     marks = {f"{f}_filled": F.col(f"{f}_missing") & F.col(f).isNotNull() for f in fields}
     now = now.withColumns(marks)
     if set(df.columns) <= set(now.columns):

@@ -162,3 +162,58 @@ def test_clashing_names_change_nothing(spark, scratch):
     lines = spark.createDataFrame([("1,Rome,X,p,5,9", "mine", 1), ("", "mine", 2)], "line string, reason string, _coded int")
     good, bad = load_lines(lines, "line", SCHEMA)
     assert good.count() == 1 and [r.reason for r in bad.collect()] == ["columns"]
+
+
+def _mode(rows, field, by):
+    """by -> most frequent observed value, the smallest on a tie; rows whose own by is observed come before others."""
+    out = {}
+    for only in (False, True):
+        counts = {}
+        for r in rows:
+            if not r["missing"][field] and None not in (k := tuple(r[b] for b in by)) and (not only or not any(r["missing"][b] for b in by)):
+                counts.setdefault(k, {}).setdefault(r[field], 0)
+                counts[k][r[field]] += 1
+        out |= {k: min(c, key=lambda v: (-c[v], v)) for k, c in counts.items()}
+    return out
+
+
+def _chain(rows, equations, rounds):
+    for _ in range(rounds):
+        taken = set()
+        for field, by in equations:
+            mode = _mode(rows, field, by)
+            for r in rows:
+                if r["missing"][field] and (r["id"], field) not in taken and (v := mode.get(tuple(r[b] for b in by))) is not None:
+                    r[field] = v
+                    taken.add((r["id"], field))
+    return {r["id"]: (r["city"], r["zip"], r["state"]) for r in rows}
+
+
+def test_table_of_filled_reports_by_brute_force(spark, tmp_path):
+    from depguard.queries.cleaning import QUERIES, SQL
+    from tests.oracle import duckdb
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(1, 1500):
+        place = rng.randint(0, 11)
+        wrong = rng.randint(0, 11) if rng.random() < 0.25 else place
+        city, state = f"Town {'abcdef'[place // 2]}", "XYZ"[wrong % 3]
+        rows.append([i, f"H{rng.randint(0, 40) if rng.random() < 0.5 else place}", f"{123400 + wrong}", city, state, f"m{place % 3}", str(rng.randint(1, 99)) if rng.random() < 0.9 else None])
+        for at, gone in ((2, "000000"), (3, "n/a"), (4, None), (1, None)):
+            if rng.random() < 0.2:
+                rows[-1][at] = gone
+    spark.createDataFrame(rows, "row_id bigint, hname string, zip string, city string, state string, measure string, score string").write.parquet(f"{tmp_path}/hospital.parquet")
+    table = QUERIES["p6_table"](spark, str(tmp_path)).collect()
+    got = {r.row_id: r for r in table}
+    assert len(table) == len(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW hospital AS SELECT * FROM '{tmp_path}/hospital.parquet/*.parquet'")
+    wanted = con.execute(SQL["p6_found"]).fetchall()
+    assert len(wanted) > 200 and all(got[i][field] == v and got[i][f"{field}_filled"] for i, field, v in wanted)
+    plain = [{"id": r[0], "hname": r[1], "zip": None if r[2] == "000000" else r[2], "city": None if r[3] == "n/a" else r[3], "state": r[4]} for r in rows]
+    for r in plain:
+        r["missing"] = {f: r[f] is None for f in ("hname", "zip", "city", "state")}
+    eqs = [("city", ("zip",)), ("zip", ("city", "state")), ("state", ("city",)), ("city", ("hname",)), ("zip", ("hname",))]
+    assert {i: (r.city, r.zip, r.state) for i, r in got.items()} == _chain(plain, eqs, 2)
+    assert all(r.score is not None and r.score_filled == (rows[r.row_id - 1][6] is None) for r in table)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,16 +42,19 @@ class Items:
     def __init__(self, rows: list[tuple[int, list[str]]]):
         self.ids: dict[str, int] = {}
         each = [(item, np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in ws], dtype=np.uint64)) for item, ws in rows]
-        self.passages: dict[bytes, list[int]] = {}
+        #: A passage's number and its items; how many different passages each item has.
+        self.passages: dict[bytes, tuple[int, list[int]]] = {}
+        self.different: dict[int, int] = {}
         sketch = []
         for item, ids in each:
             if len(ids) < PASSAGE:
                 continue
             sketch.append(self.minhash(ids))
             for i in range(len(ids) - PASSAGE + 1):
-                known = self.passages.setdefault(ids[i : i + PASSAGE].tobytes(), [])
+                known = self.passages.setdefault(ids[i : i + PASSAGE].tobytes(), (len(self.passages), []))[1]
                 if not known or known[-1] != item:
                     known.append(item)
+                    self.different[item] = self.different.get(item, 0) + 1
         self.sketch = np.unique(np.concatenate(sketch)) if sketch else np.empty(0, np.uint64)
 
     @staticmethod
@@ -63,9 +67,9 @@ class Items:
                 h ^= h >> np.uint64(29)
         return np.lib.stride_tricks.sliding_window_view(h, PASSAGE - SHINGLE + 1).min(axis=1)
 
-    def search(self, ids: np.ndarray) -> dict[int, int]:
-        """item -> number of passages of it in a text of these word ids (0: a word no item has)."""
-        found: dict[int, int] = {}
+    def search(self, ids: np.ndarray) -> dict[int, Counter[int]]:
+        """item -> its passages in a text of these word ids (0: a word no item has), and how often each occurs."""
+        found: dict[int, Counter[int]] = {}
         if len(ids) < PASSAGE:
             return found
         gaps = np.flatnonzero(ids == 0)
@@ -76,14 +80,15 @@ class Items:
             mine = self.minhash(run)
             at = np.minimum(np.searchsorted(self.sketch, mine), len(self.sketch) - 1)
             for i in np.flatnonzero(self.sketch[at] == mine):
-                for item in self.passages.get(run[i : i + PASSAGE].tobytes(), ()):
-                    found[item] = found.get(item, 0) + 1
+                passage, of = self.passages.get(run[i : i + PASSAGE].tobytes(), (0, ()))
+                for item in of:
+                    found.setdefault(item, Counter())[passage] += 1
         return found
 
 
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, item_id, passages, contained: documents that hold at least PASSAGE consecutive words of an item, the number
-    of matching passages (as often as they occur) and the share of the item's passages that this number covers, at most 1.
+    of matching passages (as often as they occur) and the share of the item's different passages that are among them.
 
     Containment of a short item in a long document is asked of pieces of equal size: both are cut to all their passages
     of PASSAGE words, and the MinHash of a passage (over its SHINGLE-word shingles) is the same on both sides whenever
@@ -106,21 +111,20 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Items(shared.value)
-            lengths = {i: max(1, len(ws) - PASSAGE + 1) for i, ws in shared.value}
             get = own.ids.get
             for b in batches:
                 rows = []
                 for k, x in zip(b["k"], b["x"]):
                     if x is None or not own.passages:
                         continue
-                    found: dict[int, int] = {}
+                    found: dict[int, Counter[int]] = {}
                     tail: list[int] = []
                     for ws in word_steps(x):
                         ids = tail + [get(w, 0) for w in ws]
-                        for item, n in own.search(np.array(ids, dtype=np.uint64)).items():
-                            found[item] = found.get(item, 0) + n
+                        for item, passages in own.search(np.array(ids, dtype=np.uint64)).items():
+                            found.setdefault(item, Counter()).update(passages)
                         tail = ids[-(PASSAGE - 1) :]
-                    rows += [(k, item, n, min(1.0, n / lengths[item])) for item, n in sorted(found.items())]
+                    rows += [(k, item, passages.total(), len(passages) / own.different[item]) for item, passages in sorted(found.items())]
                 yield pd.DataFrame(rows, columns=["k", "item_id", "passages", "contained"])
 
         return d.mapInPandas(run, T.StructType([T.StructField("k", kind), *schema.fields[1:]])).withColumnRenamed("k", key)

@@ -57,3 +57,13 @@ def test_query_against_brute_force(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{small}/eval_items.parquet").select("item_id", "text").collect()]
     assert {(r.doc_id, r.item_id) for r in QUERIES["p8_found"](spark, small).collect()} == brute(docs, items)
+
+
+@pytest.mark.parametrize("step", [1 << 20, 64])
+def test_repeated_passages_count_once_for_the_share(spark, monkeypatch, step):
+    monkeypatch.setattr(leakage, "STEP", step)
+    w = [f"w{i}" for i in range(31)]
+    items = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(["again"] * 15))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " other ".join([" ".join(w[3:15])] * 30)), (2, " ".join(w)), (3, " ".join(w[:13] + ["other"] + w[1:14])), (4, "again " * 40)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.passages, r.contained) for r in leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
+    assert got == {(1, 1): (30, 1 / 20), (2, 1): (20, 1.0), (3, 1): (4, 3 / 20), (4, 2): (29, 1.0)}

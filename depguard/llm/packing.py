@@ -12,15 +12,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 TOKENIZER_DIR, TOKENIZER = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: The split pattern the vocabulary was made with (public, of the byte-level BPE of 2019). Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A run of characters without a blank is given to the tokenizer in pieces of at most so many characters: byte-pair
-#: merging takes more than linear time in the length of one word.
-LONGEST_RUN = 4096
 #: Rows packed together by one task: large enough that a group's last, half-empty container hardly counts.
 GROUP_ROWS = 20_000
 
 
 def token_counter(path: str):
-    """text -> number of tokens."""
+    """text -> number of tokens. Texts are encoded whole: the tokenizer's time stays in proportion to the length of a word."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -28,8 +25,6 @@ def token_counter(path: str):
     enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(text: str) -> int:
-        if len(text) > LONGEST_RUN and max(map(len, text.split()), default=0) > LONGEST_RUN:
-            return sum(len(enc.encode_ordinary(text[i : i + LONGEST_RUN])) for i in range(0, len(text), LONGEST_RUN))
         return len(enc.encode_ordinary(text))
 
     return count

@@ -58,3 +58,19 @@ def test_sizes_are_the_tokenizers(spark):
     got = {r.doc_id: r.n_tokens for r in token_sizes(df, "doc_id", "text").collect()}
     assert got == {i: 0 if t is None else len(own.encode_ordinary(t)) for i, t in enumerate(texts)}
     assert token_counter(path)("x" * 300_000) > 1000  # a long word ends in good time
+
+
+def test_texts_with_an_overlong_run_are_sized_whole():
+    import base64
+
+    import tiktoken
+
+    from depguard.llm.packing import PATTERN
+
+    path = f"{TOKENIZER_DIR}/{TOKENIZER}"
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own, count, rng = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), token_counter(path), random.Random(8)
+    run = "".join(rng.choice("etaoinshrdlu") for _ in range(9_001))
+    for text in (run, "ordinary words before " * 900 + run + " and after" * 900, "data:image/png;base64," + "QUJD1/+x" * 2_000, "字" * 5_000):
+        assert count(text) == len(own.encode_ordinary(text))

@@ -176,15 +176,15 @@ class Places:
                     refs.update(table[own])
         return least, sorted(refs)
 
-    def find(self, city: str | None, state: str | None) -> tuple[int, list[int]]:
-        """The least distance and the reference rows at it; no rows if none is meant."""
+    def find(self, city: str | None, state: str | None) -> tuple[int, int, list[int]]:
+        """The least distance, the number of the first reading at it and its reference rows; no rows if none is meant."""
         if (city, state) not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[city, state] = self._find(fold(city or ""), fold(state or ""))
         return self.memo[city, state]
 
-    def _find(self, c: list[str], s: list[str]) -> tuple[int, list[int]]:
+    def _find(self, c: list[str], s: list[str]) -> tuple[int, int, list[int]]:
         if "".join(c) in NOWHERE:
             c = []
         tries = []
@@ -197,15 +197,16 @@ class Places:
             for k in range(1, min(3, len(c) - 1) + 1):
                 if inner := self.state(c[-k:]):
                     tries.append((c[:-k], inner))
-        best: tuple[int, list[int]] = (99, [])
-        for words, where in tries:
+        best: tuple[int, int, list[int]] = (99, 0, [])
+        for no, (words, where) in enumerate(tries):
             got = self.best(words, where)
             if got[1] and got[0] < best[0]:
-                best = got
+                best = (got[0], no, got[1])
         return best
 
 
-#: Most reference rows in one shard: what a worker builds trees from, and what the driver holds at a time.
+#: Most reference rows in one shard: what a worker builds trees from, and what the driver holds at a time besides the
+#: codes and names of the regions.
 SHARD_ROWS = 100_000
 
 
@@ -216,13 +217,14 @@ def map_to_list(entries: DataFrame, key: str, city: str, state: str, ref: DataFr
     Distinct typed pairs are looked up once and joined back, so repeated entries cost nothing. ref has ref_id, city,
     state and state_name (extra columns don't matter). The list goes to the workers in shards of at most `shard_rows`
     rows, cut by hash of the city; each shard has a tree for each region and one over all, and returns its entries at
-    the least distance; the winners of the shards merge by distance. Null or empty cities and states name nothing.
+    the least distance; the winners of the shards merge by distance, then by reading (city and state as typed, exchanged,
+    the state behind the city), as in one shard. All regions' codes and names go with every shard. Null or empty cities and states name nothing.
     Entries with a null key are kept. An empty list maps every entry to -1.
     """
     ref = ref.select("ref_id", "city", "state", "state_name")
     size = ref.count()
     shards = 1 if size <= shard_rows else -(-2 * size // shard_rows)
-    regions = [tuple(r) for r in ref.select("state", "state_name").distinct().take(shard_rows)]
+    regions = [tuple(r) for r in ref.select("state", "state_name").distinct().orderBy("state", "state_name").toLocalIterator()]
     e = entries.select(F.col(key).alias("_key"), F.col(city).alias("_c"), F.col(state).alias("_s"))
     exact = ref.select(F.col("city").alias("_c"), F.col("state").alias("_s")).dropna().distinct()
     other = e.join(F.broadcast(exact) if shards == 1 else exact, ["_c", "_s"], "left_anti")
@@ -236,13 +238,13 @@ def map_to_list(entries: DataFrame, key: str, city: str, state: str, ref: DataFr
             places = Places(rows, regions)
             for b in batches:
                 got = [places.find(None if pd.isna(c) else c, None if pd.isna(s) else s) for c, s in zip(b["_c"], b["_s"])]
-                yield b.assign(d=pd.Series([d for d, _ in got], dtype="int32", index=b.index), refs=pd.Series([r for _, r in got], dtype=object, index=b.index))
+                yield b.assign(d=pd.Series([d for d, _, _ in got], dtype="int32", index=b.index), no=pd.Series([n for _, n, _ in got], dtype="int32", index=b.index), refs=pd.Series([r for _, _, r in got], dtype=object, index=b.index))
 
-        part = typed.mapInPandas(look, "_c string, _s string, d int, refs array<bigint>")
+        part = typed.mapInPandas(look, "_c string, _s string, d int, no int, refs array<bigint>")
         found = part if found is None else found.unionByName(part)
     if shards > 1:
-        found = found.groupBy("_c", "_s", "d").agg(F.flatten(F.collect_list("refs")).alias("refs"))
-        found = found.groupBy("_c", "_s").agg(F.min(F.struct("d", "refs")).alias("w")).select("_c", "_s", "w.d", "w.refs")
+        found = found.groupBy("_c", "_s", "d", "no").agg(F.flatten(F.collect_list("refs")).alias("refs"))
+        found = found.groupBy("_c", "_s").agg(F.min(F.struct("d", "no", "refs")).alias("w")).select("_c", "_s", "w.d", "w.refs")
     one = F.when(F.size("refs") == 1, F.col("refs")[0]).otherwise(F.lit(-1)).cast("bigint")
     found = found.select(F.col("_c").alias("_x"), F.col("_s").alias("_y"), one.alias("ref_id"))
     on = F.col("_c").eqNullSafe(F.col("_x")) & F.col("_s").eqNullSafe(F.col("_y"))

@@ -72,3 +72,17 @@ def test_empty(spark):
 
 def test_fold():
     assert fold("  Ｓａｉｎｔ  M0ünt-d'Or ") == ["saint", "mount", "dor"] and radius("abc") == 0 and radius("abcde") == 1
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 4])
+def test_shards_know_all_regions_and_rank_readings_alike(spark, shard_rows):
+    ref, typed = [], []
+    for i, x in enumerate("bcdfghjklmnp"):
+        ref += [(10 * i, f"Kelm{x}ra", f"A{x}", f"Zonder{x}{x}{x}al"), (10 * i + 1, f"Kelm{x}rb", f"B{x}", f"Quist{x}{x}{x}um")]
+        typed.append((f"Kelm{x}rc", f"Zonder{x}{x}{x}al", 10 * i))  # as near to the other city, which isn't in that region
+        ref += [(10 * i + 2, f"Mar{x}land", f"C{x}", f"Nor{x}wood"), (10 * i + 3, f"Nor{x}wood", f"D{x}", f"Mar{x}land")]
+        typed.append((f"Mar{x}land", f"Nor{x}wood", 10 * i + 2))  # as typed, or exchanged
+    entries = spark.createDataFrame([(i, c, s) for i, (c, s, _) in enumerate(typed)], "entry_id bigint, city string, state string")
+    df = spark.createDataFrame(ref, "ref_id bigint, city string, state string, state_name string")
+    got = {r.entry_id: r.ref_id for r in map_to_list(entries, "entry_id", "city", "state", df, shard_rows).collect()}
+    assert got == {i: r for i, (_, _, r) in enumerate(typed)}

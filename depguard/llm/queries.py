@@ -119,6 +119,6 @@ def p9_found(s, d):
 
 @query("p9_clean")
 def p9_clean(s, d):
-    """The corpus without the marked documents."""
+    """The corpus without the marked documents, whole records."""
     docs = t(s, d, "documents")
-    return without_residue(docs, residue(docs, "doc_id", "text", "source", Scratch(s)), "doc_id").select("doc_id", "source", "lang", "n_chars")
+    return without_residue(docs, residue(docs, "doc_id", "text", "source", Scratch(s)), "doc_id")

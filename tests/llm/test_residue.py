@@ -48,3 +48,13 @@ def test_residue(spark, scratch):
 def test_string_keys(spark, scratch):
     df = spark.createDataFrame([("k", "HTTP/1.1 410 Gone", "h"), ("l", "fine words", "h")], "key string, text string, host string")
     assert [r.key for r in residue(df, "key", "text", "host", scratch).collect()] == ["k"]
+
+
+def test_clean_corpus_has_whole_records(spark, small):
+    from depguard.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    marked = {r.doc_id for r in QUERIES["p9_found"](spark, small).collect()}
+    clean = QUERIES["p9_clean"](spark, small)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect()), key=str) == sorted((tuple(r) for r in docs.collect() if r.doc_id not in marked), key=str)

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Stands for a doubled quote: a code point that text never holds; should it occur, it is read as U+FFFE.
-_PAIR, _OTHER = "￿", "￾"
+#: Stands for a doubled quote, and the escape that keeps both apart from the same code points in a line.
+_PAIR, _ESCAPE = "\uffff", "\ufffe"
 _BARE = f'[^",{_PAIR}]*+'
 _ANY = f'(?:{_BARE}|{_PAIR}*+"[^"]*+"|{_PAIR}++)'
 
@@ -50,17 +50,21 @@ class Field:
 
 
 class LineSchema:
-    """The patterns of a schema: `row` for a whole valid row, `prefixes[i]` for the first i+1 fields."""
+    """The patterns of a schema: `row` for a whole valid row; for its first i+1 fields, `shapes[i]` if they are quoted as
+    they must be, `prefixes[i]` if their values fit too, `ends[i]` if the line also ends there."""
 
     def __init__(self, fields: list[Field]):
         self.fields = fields
         each = [f"({f.pattern()})" for f in fields]
         self.row = "^" + ",".join(each) + "\\z"
         self.prefixes = ["^" + ",".join(p.pattern() for p in fields[: i + 1]) + "(?=,|\\z)" for i in range(len(fields))]
+        self.shapes = ["^" + ",".join([_ANY] * (i + 1)) + "(?=,|\\z)" for i in range(len(fields))]
+        self.ends = ["^" + ",".join([_ANY] * (i + 1)) + "\\z" for i in range(len(fields))]
 
 
 def _coded(line: str) -> Column:
-    return F.replace(F.replace(F.col(line), F.lit(_PAIR), F.lit(_OTHER)), F.lit('""'), F.lit(_PAIR))
+    escaped = F.replace(F.replace(F.col(line), F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_PAIR), F.lit(_ESCAPE + "1"))
+    return F.replace(escaped, F.lit('""'), F.lit(_PAIR))
 
 
 def _value(c: Column, kind: str) -> Column:
@@ -68,33 +72,44 @@ def _value(c: Column, kind: str) -> Column:
     plain = F.regexp_replace(c, f'^({_PAIR}*+)"([^"]*+)"\\z', "$1$2")
     pairs_only = F.regexp_like(c, F.lit(f"^{_PAIR}++\\z"))
     text = F.when(pairs_only, F.regexp_replace(c, f"^{_PAIR}", "")).otherwise(plain)
-    text = F.regexp_replace(text, _PAIR, '"')
+    text = F.replace(F.replace(F.replace(text, F.lit(_PAIR), F.lit('"')), F.lit(_ESCAPE + "1"), F.lit(_PAIR)), F.lit(_ESCAPE + "0"), F.lit(_ESCAPE))
     if kind == "int":
         return F.when(F.regexp_replace(text, "[ \\t]+", "") == "", None).otherwise(F.regexp_replace(text, "[ \\t]+", "")).try_cast("int")
     return text
 
 
+def _walk(c: Column, schema: LineSchema) -> Column:
+    """(reason, field) of a line that isn't a whole valid row: the first step of the walk over growing prefixes that fails.
+
+    First the shapes: a prefix of i fields that fails after one of i-1 fits is a misquoted field i, or a line that ended
+    before it. What follows the last field can only be surplus, misquoted or not. Then the values, likewise.
+    """
+    like = lambda p: F.regexp_like(c, F.lit(p))
+    found = lambda reason, at: F.struct(F.lit(reason).alias("reason"), F.lit(at).alias("field"))
+    k = len(schema.fields)
+    walk = F.when(c.isNull(), found("columns", 1)).when(~like(schema.shapes[0]), found("quoting", 1))
+    for i in range(1, k):
+        walk = walk.when(~like(schema.shapes[i]), F.when(like(schema.ends[i - 1]), found("columns", i + 1)).otherwise(found("quoting", i + 1)))
+    # The schema's fields are taken off; \G goes on from one surplus field to the next in constant stack.
+    rest = F.regexp_replace(F.regexp_replace(c, schema.shapes[-1], ""), f"\\G,{_ANY}(?=,|\\z)", "")
+    walk = walk.when(~like(schema.ends[-1]), F.when(rest != "", found("quoting", k + 1)).otherwise(found("columns", k + 1)))
+    for i, p in enumerate(schema.prefixes):
+        walk = walk.when(~like(p), found("value", i + 1))
+    return walk
+
+
 def check_lines(df: DataFrame, line: str, schema: LineSchema) -> DataFrame:
-    """All columns of df, with reason (null if valid) and broken_field (1.. for the first field that doesn't fit, one
-    more than the schema has if only surplus follows; null if valid).
+    """All columns of df, with reason (null if valid) and broken_field, the field at which the reason was found (1.. , one
+    more than the schema has for what is surplus; null if valid).
 
-    A line is tried against the whole-row pattern; only failures go through the prefix patterns. Reasons, the first that
-    applies: quoting, columns, value. A null line has no field: reason columns, broken_field 1. An empty line has one.
-    A column of df that is called reason or broken_field is replaced.
+    A line is tried against the whole-row pattern; only failures go through the prefix patterns, which give both marks.
+    Reasons, the first that applies: quoting, columns, value. A null line has no field: reason columns, broken_field 1.
+    An empty line has one field. A column of df that is called reason or broken_field is replaced.
     """
     c = F.col("_coded")
-    ok = F.regexp_like(c, F.lit(schema.row))
-    rest = F.regexp_replace(c, f"\\G{_ANY}(?:,|\\z)", "")
-    n = F.regexp_count(c, F.lit(f"\\G{_ANY},")) + 1
-    reason = (
-        F.when(c.isNull(), "columns").when(ok, None).when(rest != "", "quoting").when(n != len(schema.fields), "columns").otherwise("value")
-    )
-    good = F.lit(0)
-    for p in schema.prefixes:
-        good = good + F.regexp_like(c, F.lit(p)).cast("int")
-    first = F.when(c.isNull(), 1).when(ok, None).otherwise(good + 1)
     out = df.withColumn("_coded", _coded(line))
-    return out.withColumns({"reason": reason, "broken_field": first})
+    out = out.withColumn("_walk", F.when(~F.coalesce(F.regexp_like(c, F.lit(schema.row)), F.lit(False)), _walk(c, schema)))
+    return out.withColumns({"reason": F.col("_walk.reason"), "broken_field": F.col("_walk.field")}).drop("_walk")
 
 
 def load_lines(df: DataFrame, line: str, schema: LineSchema) -> tuple[DataFrame, DataFrame]:
@@ -102,6 +117,6 @@ def load_lines(df: DataFrame, line: str, schema: LineSchema) -> tuple[DataFrame,
     of df that a field's name hides are dropped. rejected: df's columns, reason, broken_field."""
     checked = check_lines(df, line, schema)
     names = {f.name for f in schema.fields}
-    keep = [c for c in df.columns if c not in {line, "reason", "broken_field", "_coded", *names}]
+    keep = [c for c in df.columns if c not in {line, "reason", "broken_field", "_coded", "_walk", *names}]
     values = [_value(F.regexp_extract("_coded", schema.row, i + 1), f.kind).alias(f.name) for i, f in enumerate(schema.fields)]
     return checked.filter("reason is null").select(*keep, *values), checked.filter("reason is not null").drop("_coded")

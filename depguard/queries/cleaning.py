@@ -61,16 +61,22 @@ def p4_found(s, d):
     return check_lines(t(s, d, "rdddf_raw"), "line", RDDDF).filter("reason is not null").select("line_no", "reason")
 
 
-@query("p4_rows", f"""SELECT line_no, feed, {', '.join(f"replace(CASE WHEN f{i} LIKE '\"%\"' THEN f{i}[2:-2] ELSE f{i} END, '\"\"', '\"') AS {n}" for i, n in enumerate(['zip', 'city', 'state', 'phone'], 1))}, try_cast(nullif(salary, '') AS INTEGER) AS salary, replace(CASE WHEN f6 LIKE '"%"' THEN f6[2:-2] ELSE f6 END, '""', '"') AS areacode
-FROM (SELECT line_no, feed, salary, {', '.join(f"regexp_extract(line, '^(?:{_F},){{{i - 1}}}({_F})(?:,|$)', 1) AS f{i}" for i in (1, 2, 3, 4, 6))} FROM {_P4} WHERE reason IS NULL)""")
+@query("p4_rows", f"""SELECT line_no, feed, epoch_us(loaded_at) AS loaded_us, {', '.join(f"replace(CASE WHEN f{i} LIKE '\"%\"' THEN f{i}[2:-2] ELSE f{i} END, '\"\"', '\"') AS {n}" for i, n in enumerate(['zip', 'city', 'state', 'phone'], 1))}, try_cast(nullif(salary, '') AS INTEGER) AS salary, replace(CASE WHEN f6 LIKE '"%"' THEN f6[2:-2] ELSE f6 END, '""', '"') AS areacode
+FROM (SELECT line_no, feed, loaded_at, salary, {', '.join(f"regexp_extract(line, '^(?:{_F},){{{i - 1}}}({_F})(?:,|$)', 1) AS f{i}" for i in (1, 2, 3, 4, 6))} FROM {_P4} WHERE reason IS NULL)""")
 def p4_rows(s, d):
-    return load_lines(t(s, d, "rdddf_raw").drop("loaded_at"), "line", RDDDF)[0]
+    """The table RddDF with what came along with each line; times in microseconds since 1970."""
+    good = load_lines(t(s, d, "rdddf_raw"), "line", RDDDF)[0]
+    return good.withColumn("loaded_at", F.unix_micros("loaded_at")).withColumnRenamed("loaded_at", "loaded_us")
 
 
-@query("p4_rejected")
+_SHAPES = " + ".join(f"regexp_matches(line, '^{_F}(?:,{_F}){{{i}}}(?:,|$)')::INT" for i in range(6))
+
+
+@query("p4_rejected", f"""SELECT line_no, line, feed, epoch_us(loaded_at) AS loaded_us, reason, CASE WHEN line IS NULL THEN 1 WHEN reason <> 'value' THEN 1 + {_SHAPES} WHEN NOT regexp_matches(city, '\\p{{L}}') OR contains(city, chr(65533)) THEN 2 ELSE 5 END AS broken_field FROM {_P4} WHERE reason IS NOT NULL""")
 def p4_rejected(s, d):
-    """The other lines, whole, each with its reason and the number of its first broken field."""
-    return load_lines(t(s, d, "rdddf_raw"), "line", RDDDF)[1]
+    """The other lines, whole, each with its reason and the number of the field where it was found."""
+    bad = load_lines(t(s, d, "rdddf_raw"), "line", RDDDF)[1]
+    return bad.withColumn("loaded_at", F.unix_micros("loaded_at")).withColumnRenamed("loaded_at", "loaded_us")
 
 
 _WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in STAND_INS)

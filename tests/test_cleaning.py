@@ -71,8 +71,24 @@ def test_valid_rows_and_clashing_names(spark):
 
 
 def test_first_broken_field(spark):
-    df = spark.createDataFrame([('1,"Rome,X,p,5,9',), ("1,Rome,X,p,x,9",), ("1,Rome,X,p,5,9,7",)], "line string")
-    assert [r.broken_field for r in check_lines(df, "line", SCHEMA).collect()] == [2, 5, 7]
+    lines = [('1,"Rome,X,p,5,9', 2), ("1,Rome,X,p,x,9", 5), ("1,Rome,X,p,5,9,7", 7), ('1,77,X,"p,5,9', 4), ("1,77,X,p,x", 6), ("", 2), ('1,Rome,X,p,5,9,a,"b', 7), ("1,,X,p,x,9", 2), (None, 1)]
+    df = spark.createDataFrame([(x,) for x, _ in lines], "line string")
+    assert [r.broken_field for r in check_lines(df, "line", SCHEMA).collect()] == [n for _, n in lines]
+
+
+def test_markers_in_a_line_stay_as_they_are(spark):
+    texts = ["\uffff", "\ufffe", "\uffff\ufffe0\uffff1", "\ufffe1\ufffe0", 'a\uffff"b\ufffe']
+    lines = [(i, '1,Rome,"' + x.replace('"', '""') + '",' + x.replace('"', "") + ",7,") for i, x in enumerate(texts)] + [(9, "1,\uffff\ufffe1,,,,")]
+    good, bad = load_lines(spark.createDataFrame(lines, "no int, line string"), "line", SCHEMA)
+    assert {r.no: (r.state, r.phone) for r in good.collect()} == {i: (x, x.replace('"', "")) for i, x in enumerate(texts)}
+    assert [(r.no, r.reason, r.line) for r in bad.collect()] == [(9, "value", "1,\uffff\ufffe1,,,,")]
+
+
+def test_reasons_come_through_the_prefix_patterns(spark, small):
+    from depguard.queries.cleaning import QUERIES
+
+    plan = QUERIES["p4_found"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(p in plan for p in (*SCHEMA.shapes, *SCHEMA.prefixes))
 
 
 @pytest.mark.parametrize("slots", [1, 3, 8])

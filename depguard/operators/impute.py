@@ -1,8 +1,12 @@
 """Missing values filled by chained equations, each filled value marked.
 
-Each incomplete field has an equation that predicts it from other fields: a classifier (conditional frequencies) or a
-regression (normal equations over group means and numbers). Equations are fitted by distributed aggregates on rows whose
-own value is observed, and applied in turn for some rounds; later equations and rounds see what earlier ones filled.
+Each incomplete field has one equation that predicts it from the others: a classifier (conditional frequencies, backing
+off from one set of predictors to the next) or a regression (normal equations over group means and numbers). Equations
+are fitted by distributed aggregates on rows whose own value is observed, and applied in turn for some rounds; later
+equations and rounds see what earlier ones filled.
+
+What complete records say is counted once. Only the rows with a gap in a field in use go through the rounds, so a round
+costs what the gaps cost, not what the table does.
 """
 
 from __future__ import annotations
@@ -40,12 +44,26 @@ def real_code(c: Column, digits: int = 6) -> Column:
 
 @dataclass(frozen=True)
 class Category:
-    """field from the combination of `by`. draw: a value drawn by its share among similar records instead of the most
-    frequent one (the smallest on a tie), which preserves how varied the field is."""
+    """field from sets of other fields, the one that decides first: ("zip",), or (("zip",), ("hname",)).
+
+    draw: the numbers of the sets (True: all) for which a value is drawn by its share among similar records, which keeps
+    how varied the field is; for the others the most frequent value is taken (the smallest on a tie).
+    """
 
     field: str
-    by: tuple[str, ...]
-    draw: bool = False
+    by: tuple
+    draw: bool | tuple[int, ...] = False
+
+    @property
+    def sets(self) -> list[tuple[str, ...]]:
+        return [self.by] if isinstance(self.by[0], str) else list(self.by)
+
+    def draws(self, i: int) -> bool:
+        return self.draw is True or (self.draw is not False and i in self.draw)
+
+    @property
+    def predictors(self) -> list[str]:
+        return [c for s in self.sets for c in s]
 
 
 @dataclass(frozen=True)
@@ -58,137 +76,199 @@ class Number:
     on: tuple[str, ...] = ()
     noise: bool = True
 
+    @property
+    def sets(self) -> list[tuple[str, ...]]:
+        return [(*self.by, *self.on)]
+
+    @property
+    def predictors(self) -> list[str]:
+        return [*self.by, *self.on]
+
 
 def _uniform(key: str, tag: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(tag), F.col(key).cast("string")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
-def _known(cols) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols))
+def _all(cols: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, cols, F.lit(True))
+
+
+def _any(cols: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, cols, F.lit(False))
 
 
-def _observed(cols) -> Column:
-    return reduce(lambda a, b: a & b, (~F.col(f"{c}_missing") for c in cols), F.lit(True)) & _known(cols)
+class _Chain:
+    """The state of a run. Fields have numbers: v3 is the value of field 3, m3 says that it was missing at first, r3 how
+    it was filled (the number of the set of predictors, plus the number of sets if filled values took part); k is the key."""
 
+    def __init__(self, base: DataFrame, used: list[str], scratch: Scratch):
+        self.at, self.scratch = {f: i for i, f in enumerate(used)}, scratch
+        n = range(len(used))
+        self.base = base
+        self.whole = _all([F.col(f"v{i}").isNotNull() for i in n])
+        self.open = scratch.write(base.filter(~self.whole).select("k", *(f"v{i}" for i in n), *(F.col(f"v{i}").isNull().alias(f"m{i}") for i in n), *(F.lit(None).cast("int").alias(f"r{i}") for i in n)), "open")
+        self.fits: dict = {}
 
-def fit_category(df: DataFrame, e: Category, observed_only: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """(by.., field, n) counts over rows whose field is observed; (by.., value) most frequent; rows counted. Records
-    whose `by` is observed decide; those with a filled `by` are asked only where a combination has no others."""
-    fit = df.filter(~F.col(f"{e.field}_missing") & (_observed(e.by) if observed_only else _known(e.by)))
-    sure = [] if observed_only else [F.count_if(_observed(e.by)).alias("__sure")]
-    counts = scratch.write(fit.groupBy(*e.by, e.field).agg(F.count("*").alias("n"), *sure), "counts")
-    first = [F.min(F.when(F.col(n) > 0, F.struct((-F.col(n)).alias("n"), F.col(e.field).alias("v"))))["v"] for n in (["n"] if observed_only else ["__sure", "n"])]
-    mode = counts.groupBy(*e.by).agg(F.coalesce(*first).alias("__fill"), F.sum("n").alias("__n"))
-    return counts, mode, counts.agg(F.sum("n")).first()[0] or 0
+    def v(self, fields) -> list[str]:
+        return [f"v{self.at[f]}" for f in fields]
 
+    def filled(self, fields) -> Column:
+        return _any([F.col(f"m{self.at[f]}") for f in fields])
 
-def _open(field: str, df: DataFrame) -> Column:
-    """The field is missing and no earlier equation of this round has filled it."""
-    taken = f"__taken {field}"
-    return F.col(f"{field}_missing") & ~F.col(taken) if taken in df.columns else F.col(f"{field}_missing")
+    def known(self, fields) -> Column:
+        return _all([F.col(c).isNotNull() for c in self.v(fields)])
 
+    def advance(self, following: DataFrame) -> None:
+        before, self.open = self.open, self.scratch.write(following.select(*self.open.columns), "open")
+        self.scratch.drop(before)
 
-def fill_category(df: DataFrame, key: str, e: Category, scratch: Scratch, observed_only: bool) -> DataFrame:
-    """df with the field filled where it is open and `by` is known: by the mode of the similar records, or by a draw
-    from their distribution. Only rows to be filled are joined; of them, those of hot combinations are met by broadcast,
-    see plans.skew. All other rows stay where they are."""
-    counts, mode, total = fit_category(df, e, observed_only, scratch)
-    by, cols = list(e.by), df.columns
-    wanted = _open(e.field, df) & (_observed(by) if observed_only else _known(by))
-    need, rest = df.filter(wanted), df.filter(~wanted)
-    if e.draw:
+    # -- classifiers ---------------------------------------------------------------------------------------------------
+
+    def predictions(self, counts: DataFrame, by: list[str], v: str, draw: bool) -> DataFrame:
+        """by.., fill (and _lo, _hi, _step of a draw) from counts (by.., v, n) of observed values."""
+        if not draw:
+            return counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(v).alias("v")))["v"].alias("fill"))
         # Each value owns an interval of [0, 1); intervals are cut at 64 steps, so a row meets only the values of its step.
         w = Window.partitionBy(*by)
-        upto, n = F.sum("n").over(w.orderBy(F.desc("n"), e.field).rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
-        shares = counts.select(*by, F.col(e.field).alias("__fill"), ((upto - F.col("n")) / n).alias("__lo"), (upto / n).alias("__hi"))
-        steps = F.sequence(F.floor(F.col("__lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("__hi") * 64)).cast("int"))
-        shares = shares.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(by)), "__fill", "__lo", "__hi", F.explode(steps).alias("__step"))
-        need = need.withColumn("__u", _uniform(key, f"draw {e.field}"))
-        on = (F.floor(F.col("__u") * 64).cast("int") == F.col("__step")) & (F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))
-        for i, c in enumerate(by):
-            on = on & (F.col(c) == F.col(f"__{i}"))
-        need = need.join(shares, on, "left")
-    else:
-        need = hot_join(need, mode.select(*by, "__fill"), by, hot_keys(mode, by, "__n", total), "left")
-    if (taken := f"__taken {e.field}") in cols:
-        need = need.withColumn(taken, F.col("__fill").isNotNull())
-    return need.withColumn(e.field, F.coalesce("__fill", e.field)).select(*cols).unionByName(rest)
-
-
-def _number_fill(df: DataFrame, key: str, e: Number, scratch: Scratch) -> DataFrame:
-    """df with the field predicted where it is open. The sums of squares and products (at most a few dozen numbers)
-    are all the driver gets."""
-    y = F.col(e.field).cast("double")
-    seen = ~F.col(f"{e.field}_missing")
-    mean = df.filter(seen).agg(F.avg(y)).first()[0]
-    if mean is None:
-        return df.withColumn(e.field, y)
-    j, features = df, [F.lit(1.0)]
-    total = df.count()
-    for i, g in enumerate(e.by):
-        m = df.filter(F.col(g).isNotNull()).groupBy(g).agg(F.count("*").alias("__n"), ((F.sum(F.when(seen, y)) + mean * 5) / (F.count(F.when(seen, y)) + 5)).alias(f"_m{i}"))
-        j = hot_join(j, m.drop("__n"), [g], hot_keys(m, [g], "__n", total), "left")
-        features.append(F.coalesce(F.col(f"_m{i}"), F.lit(float(mean))) - float(mean))
-    features += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in e.on]
-    k = len(features)
-    sums = [F.sum(features[a] * features[b]) for a in range(k) for b in range(a, k)] + [F.sum(f * y) for f in features] + [F.sum(y * y), F.count("*")]
-    got = j.filter(seen & y.isNotNull()).agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
-    xx, at = np.zeros((k, k)), 0
-    for a in range(k):
-        for b in range(a, k):
-            xx[a, b] = xx[b, a] = got[at]
-            at += 1
-    xy, yy, n = np.array(got[at : at + k]), got[at + k], got[at + k + 1]
-    beta = np.linalg.lstsq(xx + 1e-9 * np.eye(k), xy, rcond=None)[0]
-    sigma = float(np.sqrt(max(0.0, (yy - 2 * beta @ xy + beta @ xx @ beta) / max(1, n - k))))
-    guess = reduce(lambda a, b: a + b, (f * float(c) for f, c in zip(features, beta)))
-    if e.noise:
-        u, v = _uniform(key, f"u {e.field}"), _uniform(key, f"v {e.field}")
-        guess = guess + F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v) * sigma
-    j = j.withColumn(e.field, F.when(_open(e.field, df), guess).otherwise(y))
-    if (taken := f"__taken {e.field}") in df.columns:
-        j = j.withColumn(taken, F.col(taken) | F.col(f"{e.field}_missing"))
-    return j.select(*df.columns)
-
-
-def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str, Column], scratch: Scratch, rounds: int = 2, observed_only: bool = False) -> DataFrame:
-    """df with filled fields and, for each field of an equation or of `real`, field_missing and field_filled.
-
-    real: for a field, the test of what counts as a value (default: not null); what fails it is null at first. A field
-    is filled in a round if its predictors are known by then; filled values are predicted anew each round, observed ones
-    never change. Of several equations for a field the first that has a prediction fills a row in a round, so the order
-    of equations is one of precedence; later ones are for the rows that it leaves. observed_only: fit and fill from observed predictors only, so one round gives all there is. Rows that
-    nothing resembles stay null with field_filled false. A column of df that has one of the mark's names is replaced.
-    key must be unique; rows with a null key are kept, and filled only if df has no columns but the key and those used.
+        upto, n = F.sum("n").over(w.orderBy(F.desc("n"), v).rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
+        shares = counts.select(*by, F.col(v).alias("fill"), ((upto - F.col("n")) / n).alias("_lo"), (upto / n).alias("_hi"))
+        steps = F.sequence(F.floor(F.col("_lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("_hi") * 64)).cast("int"))
+        return shares.withColumn("_step", F.explode(steps))
+
+    def fit(self, e: Category, i: int) -> tuple[DataFrame, DataFrame | None]:
+        """Predictions from the records whose value and predictors are all observed, and the hot combinations of predictors
+        (see plans.skew), of all records that have one; both are the same in every round."""
+        if (e, i) not in self.fits:
+            by, v = self.v(e.sets[i]), f"v{self.at[e.field]}"
+            counts = self.scratch.write(self.base.filter(self.known(e.sets[i])).groupBy(*by, v).agg(F.count("*").alias("n")), "counts")
+            table = self.scratch.write(self.predictions(counts.filter(F.col(v).isNotNull()), by, v, e.draws(i)), "fit")
+            loads = counts.groupBy(*by).agg(F.sum("n").alias("n"))
+            hot = None if e.draws(i) else hot_keys(loads, by, "n", counts.agg(F.sum("n")).first()[0] or 0)
+            self.fits[e, i] = table, hot
+        return self.fits[e, i]
+
+    def fill_category(self, e: Category, key_tag: str) -> None:
+        """The missing values of a field, predicted by the first set of predictors that has an answer: first the sets that
+        are observed and met by observed records, then those with filled values. A record with filled predictors is asked
+        only for combinations that no observed one has. Only rows to be filled are joined."""
+        f, sets = self.at[e.field], e.sets
+        need = self.open.filter(F.col(f"m{f}"))
+        ranks = []
+        for i, cols in enumerate(sets):
+            by = self.v(cols)
+            table, hot = self.fit(e, i)
+            own = self.open.filter(~F.col(f"m{f}") & self.known(cols) & self.filled(cols)).groupBy(*by, f"v{f}").agg(F.count("*").alias("n"))
+            own = own.join(table.select(*by).distinct(), by, "left_anti")
+            both = table.withColumn("sure", F.lit(True)).unionByName(self.predictions(own, by, f"v{f}", e.draws(i)).withColumn("sure", F.lit(False)))
+            both = both.withColumnsRenamed({"fill": f"f{i}", "sure": f"s{i}"})
+            if e.draws(i):
+                u = _uniform("k", f"{key_tag} {e.field} {i}")
+                both = both.withColumnsRenamed({c: f"_{c}" for c in by})
+                on = (F.floor(u * 64).cast("int") == F.col("_step")) & (u >= F.col("_lo")) & (u < F.col("_hi")) & _all([F.col(c) == F.col(f"_{c}") for c in by])
+                need = need.join(both, on, "left").drop("_step", "_lo", "_hi", *(f"_{c}" for c in by))
+            else:
+                need = hot_join(need, both, by, hot, "left")
+            ranks.append(F.when(F.col(f"f{i}").isNotNull(), F.when(F.col(f"s{i}") & ~self.filled(cols), i).otherwise(len(sets) + i)))
+        best = F.array_min(F.array_compact(F.array(*ranks)))
+        value = F.coalesce(*(F.when(best == r, F.col(f"f{i}")) for i, r in enumerate(ranks)))
+        self.advance(need.withColumns({f"r{f}": best, f"v{f}": value}).select(*self.open.columns).unionByName(self.open.filter(~F.col(f"m{f}"))))
+
+    # -- regressions ---------------------------------------------------------------------------------------------------
+
+    def cells(self, rows: DataFrame, e: Number) -> DataFrame:
+        """Sums of the observed values and of `on` by combination of `by`: all that a regression needs of the rows."""
+        y, x = F.col(f"v{self.at[e.field]}"), [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.v(e.on)]
+        sums = {"n": F.count("*"), "y": F.sum(y), "yy": F.sum(y * y)}
+        sums |= {f"x{i}": F.sum(a) for i, a in enumerate(x)} | {f"xy{i}": F.sum(a * y) for i, a in enumerate(x)}
+        sums |= {f"x{i}x{j}": F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))}
+        return rows.groupBy(*self.v(e.by)).agg(*(c.alias(n) for n, c in sums.items()))
+
+    def fill_number(self, e: Number, key_tag: str) -> None:
+        """The missing values of a field by its regression. The driver gets the normal equations, a few dozen numbers."""
+        f, by = self.at[e.field], self.v(e.by)
+        if e not in self.fits:
+            self.fits[e] = self.scratch.write(self.cells(self.base.filter(self.whole), e), "cells")
+        cells = self.scratch.write(self.fits[e].unionByName(self.cells(self.open.filter(~F.col(f"m{f}")), e)), "cells")
+        got = cells.agg(F.sum("y"), F.sum("n")).first()
+        if not got[1]:
+            return
+        mean = got[0] / got[1]
+        need, j, phi = self.open.filter(F.col(f"m{f}")), cells, []
+        for i, g in enumerate(by):
+            m = cells.filter(F.col(g).isNotNull()).groupBy(g).agg(F.sum("n").alias("_n"), ((F.sum("y") + mean * 5) / (F.sum("n") + 5) - mean).alias(f"_m{i}"))
+            m = self.scratch.write(m, "means")
+            hot = hot_keys(m, [g], "_n", got[1])
+            need, j = (hot_join(d, m.drop("_n"), [g], hot, "left") for d in (need, j))
+            phi.append(F.coalesce(F.col(f"_m{i}"), F.lit(0.0)))
+        # Features: 1, the group means, the numbers. Sums of their products over rows come from the cells' sums.
+        k, p = len(phi) + 1 + len(e.on), [F.lit(1.0), *phi]
+        xx = {}
+        for a in range(k):
+            for b in range(a, k):
+                if b < len(p):
+                    xx[a, b] = p[a] * p[b] * F.col("n")
+                elif a < len(p):
+                    xx[a, b] = p[a] * F.col(f"x{b - len(p)}")
+                else:
+                    xx[a, b] = F.col(f"x{a - len(p)}x{b - len(p)}")
+        xy = [c * F.col("y") for c in p] + [F.col(f"xy{i}") for i in range(len(e.on))]
+        sums = j.agg(*(F.sum(c) for c in xx.values()), *(F.sum(c) for c in xy), F.sum("yy")).first()
+        lhs = np.zeros((k, k))
+        for (a, b), value in zip(xx, sums):
+            lhs[a, b] = lhs[b, a] = value
+        rhs, yy = np.array(sums[len(xx) : len(xx) + k]), sums[len(xx) + k]
+        beta = np.linalg.lstsq(lhs + 1e-9 * np.eye(k), rhs, rcond=None)[0]
+        sigma = float(np.sqrt(max(0.0, (yy - 2 * beta @ rhs + beta @ lhs @ beta) / max(1, got[1] - k))))
+        x = [*p, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.v(e.on))]
+        guess = reduce(lambda a, b: a + b, (c * float(w) for c, w in zip(x, beta)))
+        if e.noise:
+            u, v = _uniform("k", f"{key_tag} u {e.field}"), _uniform("k", f"{key_tag} v {e.field}")
+            guess = guess + F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v) * sigma
+        own = self.filled(e.predictors).cast("int")
+        self.advance(need.withColumns({f"v{f}": guess, f"r{f}": own}).select(*self.open.columns).unionByName(self.open.filter(~F.col(f"m{f}"))))
+
+
+def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str, Column], scratch: Scratch, rounds: int = 2) -> DataFrame:
+    """df with filled fields and, for each field of an equation or of `real`, field_missing, field_filled and field_by.
+
+    real: for a field, the test of what counts as a value (default: not null); what fails it is missing and null at first.
+    Every round applies the equations in turn, and predicts each missing value anew from what its predictors hold by then;
+    observed values never change. field_by names the predictors a value was filled by, as `zip` or `city,state`, with a
+    leading ~ if a filled value took part (in the row's predictors or, where no observed record has them, in the
+    records). A value from observed predictors comes before any other and is the same in every round. Rows that nothing
+    resembles stay null with field_filled false. A column of df that has one of the marks' names is replaced.
+
+    A field has one equation at most. key must be unique; a row with a null key is kept, its gaps marked and not filled.
+    Regressed fields become doubles. Repeated rows count as often as they occur; an empty table gives an empty one.
     """
-    fields = list(dict.fromkeys([*real, *(e.field for e in equations)]))
-    used = list(dict.fromkeys([*fields, *(c for e in equations for c in (*e.by, *getattr(e, "on", ())))]))
-    for f in used:
-        ok = F.coalesce(real[f], F.lit(False)) if f in real else F.col(f).isNotNull()
-        df = df.withColumn(f"{f}_missing", ~ok)
-    for f in used:
-        df = df.withColumn(f, F.when(~F.col(f"{f}_missing"), F.col(f)))
-    now = df.select(*dict.fromkeys([key, *used]), *(f"{f}_missing" for f in used))
-    df = df.drop(*(f"{f}_missing" for f in used if f not in fields))
-    named = [e.field for e in equations]
-    several = {f"__taken {f}": F.lit(False) for f in named if named.count(f) > 1}
-    written = now
-    for _ in range(1 if observed_only else rounds):
-        now = now.withColumns(several) if several else now
+    targets = [e.field for e in equations]
+    if len(set(targets)) < len(targets):
+        raise ValueError("a field has one equation: name several sets of predictors in it")
+    fields = list(dict.fromkeys([*real, *targets]))
+    used = list(dict.fromkeys([*fields, *(c for e in equations for c in e.predictors)]))
+    numbers = {e.field for e in equations if isinstance(e, Number)}
+    ok = {f: F.coalesce(real[f], F.lit(False)) if f in real else F.col(f).isNotNull() for f in used}
+    value = {f: F.when(ok[f], F.col(f).cast("double") if f in numbers else F.col(f)) for f in used}
+    chain = _Chain(df.select(F.col(key).alias("k"), *(value[f].alias(f"v{i}") for i, f in enumerate(used))), used, scratch)
+    for _ in range(rounds):
         for e in equations:
-            if isinstance(e, Number):
-                following = _number_fill(now, key, e, scratch)
-            else:
-                following = fill_category(now, key, e, scratch, observed_only)
-            following = scratch.write(following, "imputed")
-            scratch.drop(written)
-            now = written = following
-    marks = {f"{f}_filled": F.col(f"{f}_missing") & F.col(f).isNotNull() for f in fields}
-    now = now.withColumns(marks)
-    if set(df.columns) <= set(now.columns):
-        return now.select(*df.columns, *marks)
-    # The chain held the key and the fields it uses; only rows with a filled value meet the other columns again.
-    new = now.filter(reduce(lambda a, b: a | b, (F.col(m) for m in marks))).select(F.col(key).alias("__key"), *(F.col(f).alias(f"__v{i}") for i, f in enumerate(fields)), *(F.col(m).alias(f"__m{i}") for i, m in enumerate(marks)))
-    out = df.drop(*marks).join(new, F.col(key) == F.col("__key"), "left")
-    values = {f: F.coalesce(f"__v{i}", f) for i, f in enumerate(fields)} | {m: F.coalesce(f"__m{i}", F.lit(False)) for i, m in enumerate(marks)}
-    return out.withColumns(values).select(*df.drop(*marks).columns, *marks)
+            (chain.fill_number if isinstance(e, Number) else chain.fill_category)(e, "draw")
+    marks = [f"{f}_{m}" for f in fields for m in ("missing", "filled", "by")]
+    out = chain.open.select(F.col("k").alias("__k"), *(F.col(f"{c}{chain.at[f]}").alias(f"__{c}{chain.at[f]}") for f in targets for c in "vr")).filter(F.col("__k").isNotNull())
+
+    def marked(rows: DataFrame, whole: bool) -> DataFrame:
+        cols = {}
+        for f in fields:
+            i = chain.at[f]
+            new = F.lit(None) if whole or f not in targets else F.col(f"__v{i}")
+            names = [",".join(s) for e in equations if e.field == f for s in e.sets]
+            names = F.element_at(F.array(*map(F.lit, [*names, *("~" + n for n in names)])), F.col(f"__r{i}") + 1) if names and not whole else F.lit(None).cast("string")
+            missing = F.lit(False) if whole else ~ok[f]
+            cols[f] = value[f] if whole or f not in targets else F.coalesce(value[f], new)
+            cols[f"{f}_missing"], cols[f"{f}_filled"] = missing, F.lit(False) if whole else missing & new.isNotNull()
+            cols[f"{f}_by"] = F.when(cols[f"{f}_filled"], names)
+        return rows.select(*(c for c in df.columns if c not in cols), *(c.alias(n) for n, c in cols.items())).select(*(c for c in df.columns if c not in marks), *marks)
+
+    # Rows without a gap don't meet the others again.
+    gap = ~_all([ok[f] for f in used])
+    return marked(df.filter(~gap), True).unionByName(marked(df.filter(gap).join(out, F.col(key) == F.col("__k"), "left"), False))

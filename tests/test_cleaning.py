@@ -147,7 +147,7 @@ def _real():
 
 def test_imputation_from_observed(spark, scratch):
     df = spark.createDataFrame(HOSPITAL, "id int, zip string, city string, state string, score double")
-    out = {r.id: r for r in chained_imputation(df, "id", [Category("city", ("zip",)), Category("zip", ("city", "state"))], _real(), scratch, observed_only=True).collect()}
+    out = {r.id: r for r in chained_imputation(df, "id", [Category("city", ("zip",)), Category("zip", ("city", "state"))], _real(), scratch, rounds=1).collect()}
     assert out[3].city == "Roma" and out[3].city_filled and not out[3].zip_filled
     assert out[4].zip == "123456" and out[4].zip_filled
     assert out[7].city == "A" and out[7].city_filled  # a tie: the smallest
@@ -180,45 +180,83 @@ def test_clashing_names_change_nothing(spark, scratch):
     assert good.count() == 1 and [r.reason for r in bad.collect()] == ["columns"]
 
 
-def _mode(rows, field, by):
-    """by -> most frequent observed value, the smallest on a tie; rows whose own by is observed come before others."""
-    out = {}
-    for only in (False, True):
-        counts = {}
-        for r in rows:
-            if not r["missing"][field] and None not in (k := tuple(r[b] for b in by)) and (not only or not any(r["missing"][b] for b in by)):
-                counts.setdefault(k, {}).setdefault(r[field], 0)
-                counts[k][r[field]] += 1
-        out |= {k: min(c, key=lambda v: (-c[v], v)) for k, c in counts.items()}
-    return out
+def test_one_equation_a_field(spark, scratch):
+    with pytest.raises(ValueError):
+        chained_imputation(spark.createDataFrame(HOSPITAL, "id int, zip string, city string, state string, score double"), "id", [Category("city", ("zip",)), Category("city", ("state",))], {}, scratch)
 
 
-def _chain(rows, equations, rounds):
-    for _ in range(rounds):
-        taken = set()
-        for field, by in equations:
-            mode = _mode(rows, field, by)
-            for r in rows:
-                if r["missing"][field] and (r["id"], field) not in taken and (v := mode.get(tuple(r[b] for b in by))) is not None:
-                    r[field] = v
-                    taken.add((r["id"], field))
-    return {r["id"]: (r["city"], r["zip"], r["state"]) for r in rows}
-
+def test_a_weaker_predictor_never_replaces_a_stronger_one(spark, scratch):
+    rows = [(1, "111112", "Ada", "H1"), (2, "111112", "Ada", "H2"), (3, "222223", "Bex", "H1"), (4, "222223", "Bex", "H1"), (5, "111112", None, "H1"), (6, None, "Ada", "H1"), (7, None, None, "H1"), (8, None, None, "H9"), (9, "333334", None, "H2"), (10, "333334", None, None), (11, "222223", "Bex", "H1")]
+    df = spark.createDataFrame(rows, "id int, zip string, city string, hname string")
+    eqs = [Category("city", (("zip",), ("hname",))), Category("zip", (("city",), ("hname",)))]
+    for rounds in (1, 2, 3):
+        out = {r.id: r for r in chained_imputation(df, "id", eqs, {}, scratch, rounds).collect()}
+        assert (out[5].city, out[5].city_by) == ("Ada", "zip") and (out[6].zip, out[6].zip_by) == ("111112", "city")
+        assert (out[7].city, out[7].city_by, out[7].zip, out[7].zip_by) == ("Bex", "hname", "222223", "hname")
+        assert (out[8].city, out[8].city_by, out[8].city_filled) == (None, None, False) and (out[9].city, out[9].city_by) == ("Ada", "hname")
+        assert out[10].city is None and out[10].city_missing
+    linked = spark.createDataFrame([(1, "a", "p", None), (2, "a", None, "q")], "id int, x string, y string, z string")
+    out = {r.id: r for r in chained_imputation(linked, "id", [Category("y", ("x",)), Category("z", ("y",))], {}, scratch).collect()}
+    assert (out[2].y, out[2].y_by) == ("p", "x") and (out[1].z, out[1].z_by) == ("q", "~y")  # told by a record whose y was filled
 
-def test_table_of_filled_reports_by_brute_force(spark, tmp_path):
-    from depguard.queries.cleaning import QUERIES, SQL
-    from tests.oracle import duckdb
 
-    rng = random.Random(9)
-    rows = []
-    for i in range(1, 1500):
+def _chain(rows, equations, rounds):
+    """The same by brute force: (field, sets of predictors) in turn; values of observed predictors and records first."""
+    for r in rows:
+        r["by"] = {}
+    for _ in range(rounds):
+        for field, sets in equations:
+            told = []
+            for by in sets:
+                sure, other = {}, {}
+                for r in rows:
+                    if not r["missing"][field] and None not in (k := tuple(r[b] for b in by)):
+                        c = (other if any(r["missing"][b] for b in by) else sure).setdefault(k, {})
+                        c[r[field]] = c.get(r[field], 0) + 1
+                mode = lambda c: min(c, key=lambda v: (-c[v], v))
+                told.append(({k: mode(c) for k, c in sure.items()}, {k: mode(c) for k, c in other.items() if k not in sure}))
+            for r in [r for r in rows if r["missing"][field]]:
+                best = []
+                for i, (by, (sure, other)) in enumerate(zip(sets, told)):
+                    k = tuple(r[b] for b in by)
+                    if None in k or (k not in sure and k not in other):
+                        continue
+                    firm = k in sure and not any(r["missing"][b] for b in by)
+                    best.append((not firm, i, sure.get(k, other.get(k)), ("" if firm else "~") + ",".join(by)))
+                _, _, r[field], r["by"][field] = min(best, default=(0, 0, None, None))
+    return rows
+
+
+def _reports(n, seed):
+    rng, rows = random.Random(seed), []
+    for i in range(1, n):
         place = rng.randint(0, 11)
         wrong = rng.randint(0, 11) if rng.random() < 0.25 else place
-        city, state = f"Town {'abcdef'[place // 2]}", "XYZ"[wrong % 3]
-        rows.append([i, f"H{rng.randint(0, 40) if rng.random() < 0.5 else place}", f"{123400 + wrong}", city, state, f"m{place % 3}", str(rng.randint(1, 99)) if rng.random() < 0.9 else None])
+        rows.append([i, f"H{rng.randint(0, 40) if rng.random() < 0.5 else place}", f"{123400 + wrong}", f"Town {'abcdef'[place // 2]}", "XYZ"[wrong % 3], f"m{place % 3}", str(rng.randint(1, 99)) if rng.random() < 0.9 else None])
         for at, gone in ((2, "000000"), (3, "n/a"), (4, None), (1, None)):
             if rng.random() < 0.2:
                 rows[-1][at] = gone
+    return rows
+
+
+def test_chains_by_brute_force(spark, scratch):
+    rows = _reports(1200, 9)
+    df = spark.createDataFrame(rows, "row_id bigint, hname string, zip string, city string, state string, measure string, score string")
+    sets = [("city", [("zip",), ("hname",)]), ("zip", [("city", "state"), ("hname",)]), ("state", [("city",), ("zip",)])]
+    plain = [{"id": r[0], "hname": r[1], "zip": None if r[2] == "000000" else r[2], "city": None if r[3] == "n/a" else r[3], "state": r[4]} for r in rows]
+    for r in plain:
+        r["missing"] = {f: r[f] is None for f in ("hname", "zip", "city", "state")}
+    got = {r.row_id: r for r in chained_imputation(df, "row_id", [Category(f, tuple(s)) for f, s in sets], {"city": real_name(F.col("city")), "zip": real_code(F.col("zip"))}, scratch, 3).collect()}
+    for r in _chain(plain, sets, 3):
+        g = got[r["id"]]
+        assert (g.city, g.zip, g.state, g.city_by, g.zip_by, g.state_by) == (r["city"], r["zip"], r["state"], *(r["by"].get(f) for f in ("city", "zip", "state")))
+
+
+def test_table_of_filled_reports(spark, tmp_path):
+    from depguard.queries.cleaning import QUERIES, SQL
+    from tests.oracle import duckdb
+
+    rows = _reports(1500, 7)
     spark.createDataFrame(rows, "row_id bigint, hname string, zip string, city string, state string, measure string, score string").write.parquet(f"{tmp_path}/hospital.parquet")
     table = QUERIES["p6_table"](spark, str(tmp_path)).collect()
     got = {r.row_id: r for r in table}
@@ -227,9 +265,21 @@ def test_table_of_filled_reports_by_brute_force(spark, tmp_path):
     con.execute(f"CREATE VIEW hospital AS SELECT * FROM '{tmp_path}/hospital.parquet/*.parquet'")
     wanted = con.execute(SQL["p6_found"]).fetchall()
     assert len(wanted) > 200 and all(got[i][field] == v and got[i][f"{field}_filled"] for i, field, v in wanted)
-    plain = [{"id": r[0], "hname": r[1], "zip": None if r[2] == "000000" else r[2], "city": None if r[3] == "n/a" else r[3], "state": r[4]} for r in rows]
-    for r in plain:
-        r["missing"] = {f: r[f] is None for f in ("hname", "zip", "city", "state")}
-    eqs = [("city", ("zip",)), ("zip", ("city", "state")), ("state", ("city",)), ("city", ("hname",)), ("zip", ("hname",))]
-    assert {i: (r.city, r.zip, r.state) for i, r in got.items()} == _chain(plain, eqs, 2)
+    assert sorted((r.row_id, f, r[f]) for r in table for f, by in (("city", "zip"), ("zip", "city,state")) if r[f"{f}_by"] == by) == sorted(wanted)
     assert all(r.score is not None and r.score_filled == (rows[r.row_id - 1][6] is None) for r in table)
+    # What is drawn is as varied as what is observed: shares of the state among the filled and the others of a city.
+    for city in {r.city for r in table if r.city and r.city_by is None}:
+        seen = [r.state for r in table if r.city == city and not r.city_filled and not r.state_filled]
+        drawn = [r.state for r in table if r.city == city and not r.city_filled and r.state_by == "city"]
+        assert all(abs(seen.count(x) / len(seen) - drawn.count(x) / len(drawn)) < 0.3 for x in "XYZ") and len(set(drawn)) > 1
+
+
+def test_held_out_values(spark, scratch):
+    """Blanked values come back: cities and zips by their counterpart, numbers with the spread they had."""
+    rng = random.Random(3)
+    rows = [(i, f"{100 + (p := rng.randint(0, 19))}", f"c{p}", float(rng.gauss(10 * p, 3)), rng.random()) for i in range(1, 3000)]
+    df = spark.createDataFrame([(i, z if u > 0.1 else None, c if not 0.1 < u < 0.2 else None, v if u < 0.8 else None) for i, z, c, v, u in rows], "id int, zip string, city string, v double")
+    out = {r.id: r for r in chained_imputation(df, "id", [Category("city", ("zip",)), Category("zip", ("city",)), Number("v", ("city",))], {}, scratch).collect()}
+    assert all(out[i].city == c and out[i].zip == z for i, z, c, _, _ in rows)
+    left = [out[i].v - 10 * int(c[1:]) for i, _, c, _, u in rows if u >= 0.8]
+    assert len(left) > 400 and abs(sum(left) / len(left)) < 0.6 and 2 < (sum(x * x for x in left) / len(left)) ** 0.5 < 4.5

@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from depguard.plans.skew import hot_join, hot_keys
+from depguard.plans.skew import hot_keys, spread_join
 from depguard.session import Scratch
 
 #: Words written in place of a value. Fixed values.
@@ -104,10 +104,11 @@ class _Chain:
     def __init__(self, base: DataFrame, used: list[str], scratch: Scratch):
         self.at, self.scratch = {f: i for i, f in enumerate(used)}, scratch
         n = range(len(used))
-        self.base = base
+        self.base, self.rows = base, base.count()
         self.whole = _all([F.col(f"v{i}").isNotNull() for i in n])
         self.open = scratch.write(base.filter(~self.whole).select("k", *(f"v{i}" for i in n), *(F.col(f"v{i}").isNull().alias(f"m{i}") for i in n), *(F.lit(None).cast("int").alias(f"r{i}") for i in n)), "open")
         self.fits: dict = {}
+        self.done: set[str] = set()
 
     def v(self, fields) -> list[str]:
         return [f"v{self.at[f]}" for f in fields]
@@ -125,13 +126,15 @@ class _Chain:
     # -- classifiers ---------------------------------------------------------------------------------------------------
 
     def predictions(self, counts: DataFrame, by: list[str], v: str, draw: bool) -> DataFrame:
-        """by.., fill (and _lo, _hi, _step of a draw) from counts (by.., v, n) of observed values."""
+        """by.., fill, n (and _lo, _hi, _step of a draw) from counts (by.., v, n); n is of all records, null values never
+        fill."""
         if not draw:
-            return counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(v).alias("v")))["v"].alias("fill"))
+            best = F.min(F.when(F.col(v).isNotNull(), F.struct((-F.col("n")).alias("n"), F.col(v).alias("v"))))
+            return counts.groupBy(*by).agg(best["v"].alias("fill"), F.sum("n").alias("n"))
         # Each value owns an interval of [0, 1); intervals are cut at 64 steps, so a row meets only the values of its step.
         w = Window.partitionBy(*by)
         upto, n = F.sum("n").over(w.orderBy(F.desc("n"), v).rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
-        shares = counts.select(*by, F.col(v).alias("fill"), ((upto - F.col("n")) / n).alias("_lo"), (upto / n).alias("_hi"))
+        shares = counts.filter(F.col(v).isNotNull()).select(*by, F.col(v).alias("fill"), "n", ((upto - F.col("n")) / n).alias("_lo"), (upto / n).alias("_hi"))
         steps = F.sequence(F.floor(F.col("_lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("_hi") * 64)).cast("int"))
         return shares.withColumn("_step", F.explode(steps))
 
@@ -140,11 +143,11 @@ class _Chain:
         (see plans.skew), of all records that have one; both are the same in every round."""
         if (e, i) not in self.fits:
             by, v = self.v(e.sets[i]), f"v{self.at[e.field]}"
-            counts = self.scratch.write(self.base.filter(self.known(e.sets[i])).groupBy(*by, v).agg(F.count("*").alias("n")), "counts")
-            table = self.scratch.write(self.predictions(counts.filter(F.col(v).isNotNull()), by, v, e.draws(i)), "fit")
-            loads = counts.groupBy(*by).agg(F.sum("n").alias("n"))
-            hot = None if e.draws(i) else hot_keys(loads, by, "n", counts.agg(F.sum("n")).first()[0] or 0)
-            self.fits[e, i] = table, hot
+            counts = self.base.filter(self.known(e.sets[i])).groupBy(*by, v).agg(F.count("*").alias("n"))
+            table = self.scratch.write(self.predictions(counts, by, v, e.draws(i)), "fit")
+            # A draw is met by combination and step: a hot combination is spread over its steps as it is.
+            hot = None if e.draws(i) else hot_keys(table, by, "n", self.rows)
+            self.fits[e, i] = table.drop("n").filter(F.col("fill").isNotNull()), hot
         return self.fits[e, i]
 
     def fill_category(self, e: Category, key_tag: str) -> None:
@@ -157,9 +160,11 @@ class _Chain:
         for i, cols in enumerate(sets):
             by = self.v(cols)
             table, hot = self.fit(e, i)
-            own = self.open.filter(~F.col(f"m{f}") & self.known(cols) & self.filled(cols)).groupBy(*by, f"v{f}").agg(F.count("*").alias("n"))
-            own = own.join(table.select(*by).distinct(), by, "left_anti")
-            both = table.withColumn("sure", F.lit(True)).unionByName(self.predictions(own, by, f"v{f}", e.draws(i)).withColumn("sure", F.lit(False)))
+            both = table.withColumn("sure", F.lit(True))
+            if self.done.intersection(cols):  # else no record has a filled predictor yet
+                own = self.open.filter(~F.col(f"m{f}") & self.known(cols) & self.filled(cols)).groupBy(*by, f"v{f}").agg(F.count("*").alias("n"))
+                own = self.predictions(own, by, f"v{f}", e.draws(i)).drop("n").join(table.select(*by).distinct() if e.draws(i) else table.select(*by), by, "left_anti")
+                both = both.unionByName(own.withColumn("sure", F.lit(False)))
             both = both.withColumnsRenamed({"fill": f"f{i}", "sure": f"s{i}"})
             if e.draws(i):
                 u = _uniform("k", f"{key_tag} {e.field} {i}")
@@ -167,7 +172,7 @@ class _Chain:
                 on = (F.floor(u * 64).cast("int") == F.col("_step")) & (u >= F.col("_lo")) & (u < F.col("_hi")) & _all([F.col(c) == F.col(f"_{c}") for c in by])
                 need = need.join(both, on, "left").drop("_step", "_lo", "_hi", *(f"_{c}" for c in by))
             else:
-                need = hot_join(need, both, by, hot, "left")
+                need = spread_join(need, both, by, hot)
             ranks.append(F.when(F.col(f"f{i}").isNotNull(), F.when(F.col(f"s{i}") & ~self.filled(cols), i).otherwise(len(sets) + i)))
         best = F.array_min(F.array_compact(F.array(*ranks)))
         value = F.coalesce(*(F.when(best == r, F.col(f"f{i}")) for i, r in enumerate(ranks)))
@@ -196,9 +201,8 @@ class _Chain:
         need, j, phi = self.open.filter(F.col(f"m{f}")), cells, []
         for i, g in enumerate(by):
             m = cells.filter(F.col(g).isNotNull()).groupBy(g).agg(F.sum("n").alias("_n"), ((F.sum("y") + mean * 5) / (F.sum("n") + 5) - mean).alias(f"_m{i}"))
-            m = self.scratch.write(m, "means")
             hot = hot_keys(m, [g], "_n", got[1])
-            need, j = (hot_join(d, m.drop("_n"), [g], hot, "left") for d in (need, j))
+            need, j = (spread_join(d, m.drop("_n"), [g], hot) for d in (need, j))
             phi.append(F.coalesce(F.col(f"_m{i}"), F.lit(0.0)))
         # Features: 1, the group means, the numbers. Sums of their products over rows come from the cells' sums.
         k, p = len(phi) + 1 + len(e.on), [F.lit(1.0), *phi]
@@ -253,6 +257,7 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
     for _ in range(rounds):
         for e in equations:
             (chain.fill_number if isinstance(e, Number) else chain.fill_category)(e, "draw")
+            chain.done.add(e.field)
     marks = [f"{f}_{m}" for f in fields for m in ("missing", "filled", "by")]
     out = chain.open.select(F.col("k").alias("__k"), *(F.col(f"{c}{chain.at[f]}").alias(f"__{c}{chain.at[f]}") for f in targets for c in "vr")).filter(F.col("__k").isNotNull())
 

@@ -10,16 +10,23 @@ import heapq
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-HOT_PARTS = 200
+#: The least number of parts. With more shuffle partitions it is FAIR times their number, so that a key that isn't hot
+#: adds at most 1/FAIR of an even share to the task it falls to.
+HOT_PARTS, FAIR = 200, 4
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, parts: int = HOT_PARTS) -> DataFrame | None:
+def hot_parts(spark: SparkSession) -> int:
+    return max(HOT_PARTS, FAIR * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, parts: int | None = None) -> DataFrame | None:
     """The at most `parts` key values of `counts` whose `n` is at least total/parts; None if there are none.
 
     `counts` has one row a key. Null keys are left out: they join nothing.
     """
+    parts = parts or hot_parts(counts.sparkSession)
     rows = counts.filter(F.col(n) * parts >= F.lit(max(total, 1))).dropna(subset=keys).select(*keys).take(parts)
     return counts.sparkSession.createDataFrame(rows, counts.select(*keys).schema) if rows else None
 
@@ -37,6 +44,33 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame
     return apart.unionByName(left.join(hot, keys, "left_anti").join(right.join(hot, keys, "left_anti"), keys, how))
 
 
+def _spread(away: Column, cols: list[str]) -> Column:
+    """0, or for rows that are to go anywhere a number from 1 on. It depends on the row and the partition that holds it, so
+    a task that is run again sends each row where it went before, and equal rows of different partitions part."""
+    return F.when(away, F.pmod(F.xxhash64(F.spark_partition_id(), *(F.col(c) for c in cols)), F.lit(1 << 20)) + 1).otherwise(F.lit(0)).cast("int")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """left LEFT JOIN right on `keys`, right having one row a key, with `left` read once.
+
+    The few rows of `right` for hot keys are broadcast. The rows that have met them, and those with a null in a key, are
+    spread evenly over the tasks of the join that the others go through.
+    """
+    values = [c for c in right.columns if c not in keys]
+    away = F.lit(False)
+    for k in keys:
+        away = away | F.col(k).isNull()
+    now = left
+    if hot is not None:
+        near = F.broadcast(F.broadcast(hot).join(right, keys, "left").select(*keys, F.struct(*values).alias("_near")))
+        now, away = now.join(near, keys, "left"), away | F.col("_near").isNotNull()
+    now = now.withColumn("_to", _spread(away, left.columns))
+    far = right.select(*keys, *(F.col(c).alias(f"_far_{c}") for c in values), F.lit(0).alias("_to"))
+    now = now.join(far, [*keys, "_to"], "left")
+    pick = lambda c: F.col(f"_far_{c}") if hot is None else F.when(F.col("_near").isNotNull(), F.col("_near")[c]).otherwise(F.col(f"_far_{c}"))
+    return now.select(*left.columns, *(pick(c).alias(c) for c in values))
+
+
 @dataclass
 class Placement:
     """Where each key goes. `table`: one row for each key placed by the packer: key, slots (array of its slots)."""

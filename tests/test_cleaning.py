@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from depguard.operators.heavy import per_key_report
 from depguard.operators.impute import Category, Number, chained_imputation, real_code, real_name
 from depguard.operators.malformed import Field, LineSchema, check_lines, int_pattern, load_lines
-from depguard.plans.skew import hot_join, hot_keys, place
+from depguard.plans.skew import hot_join, hot_keys, place, spread_join
 
 SCHEMA = LineSchema([Field("zip"), Field("city", "name"), Field("state"), Field("phone"), Field("salary", "int"), Field("areacode")])
 
@@ -122,6 +122,8 @@ def test_hot_join_equals_join(spark):
     counts = left.groupBy("k").agg(F.count("*").alias("n"))
     hot = hot_keys(counts, ["k"], "n", 301, 4)
     assert [r.k for r in hot.collect()] == ["h"]
+    for known in (hot, None):
+        assert sorted(map(str, spread_join(left, right, ["k"], known).select("k", "i", "v").collect())) == sorted(map(str, left.join(right, ["k"], "left").select("k", "i", "v").collect()))
     for how in ("inner", "left", "left_semi"):
         a, b = (sorted(map(str, x.collect())) for x in (hot_join(left, right, ["k"], hot, how), left.join(right, ["k"], how)))
         assert a == b

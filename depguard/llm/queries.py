@@ -89,6 +89,9 @@ def p7_containers(s, d):
 
 _WORDS = "regexp_extract_all(lower(regexp_replace({0}, '\\\\\\p{{L}}*\\*?', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = "SELECT {k}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, {w} AS w FROM {t}))"
+_ITEMS = _GRAMS.format(k='item_id', w=_WORDS.format('text'), t='eval_items')
+_P8_REPORT = f"""WITH i AS (SELECT DISTINCT item_id, g FROM ({_ITEMS})), j AS (SELECT item_id, doc_id, count(*) AS n, count(DISTINCT g) AS own FROM ({_GRAMS.format(k='doc_id', w=_WORDS.format('text'), t='documents')}) JOIN i USING (g) GROUP BY 1, 2)
+SELECT item_id, count(*) AS documents, sum(n)::BIGINT AS passages, max(own / (SELECT count(*) FROM i WHERE i.item_id = j.item_id)) AS most FROM j GROUP BY 1"""
 _P8 = f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(k='doc_id', w=_WORDS.format('text'), t='documents')}) JOIN ({_GRAMS.format(k='item_id', w=_WORDS.format('text'), t='eval_items')}) USING (g)"
 
 
@@ -102,13 +105,13 @@ def p7_summary(s, d):
 
 @query("p8_found", _P8)
 def p8_found(s, d):
-    return leaks(t(s, d, "documents"), "doc_id", "text", t(s, d, "eval_items"), "item_id", "text").select("doc_id", "item_id")
+    return leaks(t(s, d, "documents"), "doc_id", "text", t(s, d, "eval_items"), "item_id", "text", Scratch(s)).select("doc_id", "item_id")
 
 
-@query("p8_report")
+@query("p8_report", _P8_REPORT)
 def p8_report(s, d):
     """For each leaked item its documents, the matching passages and the largest share of the item in one document."""
-    found = leaks(t(s, d, "documents"), "doc_id", "text", t(s, d, "eval_items"), "item_id", "text")
+    found = leaks(t(s, d, "documents"), "doc_id", "text", t(s, d, "eval_items"), "item_id", "text", Scratch(s))
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum("passages").alias("passages"), F.max("contained").alias("most"))
 
 

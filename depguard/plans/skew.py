@@ -71,6 +71,30 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return now.select(*left.columns, *(pick(c).alias(c) for c in values))
 
 
+def hot_cuts(counts: DataFrame, keys: list[str], n: str, total: int, parts: int | None = None) -> DataFrame | None:
+    """As `hot_keys`, with the number of pieces (_cuts) that bring a piece of each key down to total/parts rows."""
+    parts = parts or hot_parts(counts.sparkSession)
+    rows = counts.filter(F.col(n) * parts >= F.lit(max(total, 1))).dropna(subset=keys).select(*keys, F.ceil(F.col(n) * parts / max(total, 1)).cast("int").alias("_cuts"))
+    kept = rows.take(parts)
+    return counts.sparkSession.createDataFrame(kept, rows.schema) if kept else None
+
+
+def fragment_join(left: DataFrame, right: DataFrame, keys: list[str], cuts: DataFrame | None, by: Column, on: Column | None = None) -> DataFrame:
+    """left JOIN right on `keys`, where both sides may have many rows a key, and `on` if given. `by` tells rows of `left` apart.
+
+    Fragment and replicate: the rows of a hot key on the left are spread over its pieces, those on the right are copied to
+    each of them. Columns of the two sides must differ but for the keys.
+    """
+    if cuts is None:
+        j = left.join(right, keys)
+    else:
+        few = F.broadcast(cuts)
+        a = left.join(few, keys, "left").withColumn("_piece", F.coalesce(F.pmod(by, F.col("_cuts")), F.lit(0)).cast("int")).drop("_cuts")
+        b = right.join(few, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
+        j = a.join(b, [*keys, "_piece"]).drop("_piece")
+    return j if on is None else j.filter(on)
+
+
 @dataclass
 class Placement:
     """Where each key goes. `table`: one row for each key placed by the packer: key, slots (array of its slots)."""

@@ -49,17 +49,17 @@ def p1_collapsed(s, d):
 
 @query("p3_found")
 def p3_found(s, d):
-    return map_to_list(t(s, d, "addr_entry"), "entry_id", "city", "state", t(s, d, "ref_city"))
+    return map_to_list(t(s, d, "addr_entry"), "entry_id", "city", "state", t(s, d, "ref_city"), scratch=Scratch(s))
 
 
 @query("p3_mapped")
 def p3_mapped(s, d):
     """Every entry with the place it means, typed as it was; null where none is meant."""
     e, ref = t(s, d, "addr_entry"), t(s, d, "ref_city").select("ref_id", F.col("city").alias("ref_city"), F.col("state").alias("ref_state"))
-    far = map_to_list(e, "entry_id", "city", "state", t(s, d, "ref_city"))
+    far = map_to_list(e, "entry_id", "city", "state", t(s, d, "ref_city"), scratch=Scratch(s))
     same = ref.select("ref_id", F.col("ref_city").alias("city"), F.col("ref_state").alias("state"))
     j = e.join(far.withColumnRenamed("ref_id", "_far"), "entry_id", "left").join(F.broadcast(same), ["city", "state"], "left")
-    return j.withColumn("ref_id", F.coalesce("ref_id", "_far")).drop("_far").join(F.broadcast(ref), "ref_id", "left").drop("typed_at")
+    return j.withColumn("ref_id", F.coalesce("ref_id", "_far")).drop("_far").join(F.broadcast(ref), "ref_id", "left")
 
 
 _P5 = """WITH RECURSIVE v AS (SELECT rec_id, 'z' || zip AS x FROM equivalence WHERE zip IS NOT NULL UNION ALL SELECT rec_id, 'c' || city FROM equivalence WHERE city IS NOT NULL),

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from depguard.llm.canon import BKTree, distance, fold, map_to_list, radius
+from depguard.llm.canon import BKForest, _codes, distance, distances, fold, map_to_list, radius
 
 REF = [(1, "Saint Mídri", "AD", "Wotupeland"), (2, "Pojuskirt", "GP", "Veikust Coast"), (3, "Pojuskirt", "NB", "Greitrunia"), (4, "Cilix-Prin", "DG", "Komeim Hills"), (5, "Upper Taegrolk", "WP", "Thosen"), (6, "Tefer", "VK", "Geiskuvu Coast")]
 words = st.text("abc", max_size=7)
@@ -38,14 +38,28 @@ def test_distance_is_a_metric(a, b, c):
     assert (distance(a, b) == 0) == (a == b)
 
 
-def test_tree_finds_all_within():
+def test_many_distances_at_once():
+    rng = random.Random(4)
+    pairs = [["".join(rng.choice("abcé") for _ in range(rng.randint(0, 11))) for _ in "ab"] for _ in range(6000)]
+    for i in range(0, 2000):  # near ones
+        w = list(pairs[i][0])
+        for _ in range(rng.randint(0, 3)):
+            j = rng.randint(0, len(w))
+            w[j : j + rng.randint(0, 2)] = rng.choice([[], ["a"], w[j : j + 2][::-1]])
+        pairs[i][1] = "".join(w)
+    (a, la), (b, lb) = (_codes([p[k] for p in pairs], 20) for k in (0, 1))
+    assert distances(a, la, b, lb).tolist() == [distance(*p) for p in pairs]
+    assert len(distances(a[:0], la[:0], b[:0], lb[:0])) == 0
+
+
+def test_trees_find_all_within():
     rng = random.Random(1)
-    names = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 8))) for _ in range(300)}
-    tree = BKTree(names)
-    for q in ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)]:
-        for r in (0, 1, 2):
-            assert sorted(tree.within(q, r)) == sorted((distance(q, w), w) for w in names if distance(q, w) <= r)
-    assert BKTree([]).within("a", 2) == []
+    names = {t: {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 8))) for _ in range(n)} for t, n in (("x", 300), (None, 40), ((), 1))}
+    forest = BKForest({**names, "none": set()})
+    asked = [(rng.choice(list(names)), "".join(rng.choice("abcd") for _ in range(rng.randint(1, 11))), r) for _ in range(80) for r in (0, 1, 2)]
+    for (t, q, r), got in zip(asked, forest.within(asked)):
+        assert sorted(got) == sorted((distance(q, w), w) for w in names[t] if distance(q, w) <= r)
+    assert forest.within([("none", "a", 2), ("other", "a", 2), ("x", "a" * 9000, 2)]) == [[], [], []] and BKForest({}).within([("x", "a", 2)]) == [[]]
 
 
 CASES = [
@@ -59,10 +73,18 @@ CASES = [
 def test_mapping(spark, shard_rows):
     entries = spark.createDataFrame([(i, c, s, "z") for i, (c, s, _) in enumerate(CASES)] + [(900, "saint midri", "AD", "z")], "entry_id bigint, city string, state string, ref_id string")
     ref = spark.createDataFrame([(*r, "extra") for r in REF], "ref_id bigint, city string, state string, state_name string, typed string")
-    got = {r.entry_id: r.ref_id for r in map_to_list(entries, "entry_id", "city", "state", ref, shard_rows).collect()}
+    got = {r.entry_id: r.ref_id for r in map_to_list(entries, "entry_id", "city", "state", ref, shard_rows, split_rows=3).collect()}
     assert got == {i: w for i, (_, _, w) in enumerate(CASES) if w is not None} | {900: 1}
 
 
+def test_a_pair_that_most_entries_have(spark, monkeypatch):
+    monkeypatch.setattr("depguard.plans.skew.HOT_PARTS", 3)
+    entries = spark.createDataFrame([(i, "saint midri" if i % 2 else None, "AD" if i % 4 else None) for i in range(400)] + [(1000 + i, "Saint Mídri", "AD") for i in range(400)], "entry_id bigint, city string, state string")
+    ref = spark.createDataFrame(REF, "ref_id bigint, city string, state string, state_name string")
+    got = {r.entry_id: r.ref_id for r in map_to_list(entries, "entry_id", "city", "state", ref).collect()}
+    assert got == {i: 1 if i % 2 else -1 for i in range(400)}
+
+
 def test_empty(spark):
     ref = spark.createDataFrame([], "ref_id bigint, city string, state string, state_name string")
     e = spark.createDataFrame([(1, "a", "b")], "entry_id bigint, city string, state string")

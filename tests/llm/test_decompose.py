@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from depguard.llm.decompose import clusters, decompose, record_groups
+from depguard.llm.decompose import clusters, decompose, decompose_array, record_groups
+from depguard.plans import skew
 
 
 def union_find(edges):
@@ -29,7 +31,9 @@ def graph(seed):
 
 
 @pytest.mark.parametrize("finish", [0, 50])
-def test_components(spark, scratch, finish):
+def test_components(spark, scratch, finish, monkeypatch):
+    if finish:  # with hot vertices
+        monkeypatch.setattr(skew, "hot_parts", lambda s: 5)
     e = graph(1)
     got = {r.v: r.c for r in decompose(spark.createDataFrame(e, "src bigint, dst bigint"), scratch, finish).collect()}
     assert got == union_find([x for x in e if x[0] != x[1]])
@@ -37,13 +41,34 @@ def test_components(spark, scratch, finish):
 
 def test_clusters_are_connected(spark, scratch):
     e = [x for x in graph(2) if x[0] != x[1]]
-    c = {r.v: r.c for r in clusters(spark.createDataFrame(e, "src bigint, dst bigint"), 0, scratch).collect()}
+    c = {r.v: r.c for r in clusters(spark.createDataFrame(e, "src bigint, dst bigint"), 0, scratch)[0].collect()}
     assert set(c) == {x for y in e for x in y}
     inside = union_find([(a, b) for a, b in e if c[a] == c[b]])
     assert all(inside.get(v, v) == inside.get(k, k) for v, k in c.items())
     assert len(set(c.values())) < 0.7 * len(c)
 
 
+def test_long_chains_take_several_levels(spark, scratch, finish=20_000):
+    n, seen = 100_000, []
+    chain = spark.range(n).selectExpr("id * 7919 % 100003 AS src", "(id + 1) * 7919 % 100003 AS dst")
+    out = decompose(chain, scratch, finish, seen)
+    assert out.count() == n + 1 and out.select("c").distinct().collect() == [(0,)]
+    assert len(seen) >= 3 and all(b < 0.7 * a for a, b in zip(seen, seen[1:]))
+
+
+def test_in_one_task():
+    rng = random.Random(6)
+    for _ in range(40):
+        e = [(rng.randint(-5, 60), rng.randint(-5, 60)) for _ in range(rng.randint(1, 50))] + [(i, i + 1) for i in range(100, 100 + rng.randint(1, 300))]
+        e = [x for x in e if x[0] != x[1]]
+        v, c, levels = decompose_array(*(np.array([x[i] for x in e]) for i in (0, 1)))
+        least = {}
+        for x, y in zip(v.tolist(), c.tolist()):
+            least[y] = min(x, least.get(y, x))
+        assert {x: least[y] for x, y in zip(v.tolist(), c.tolist())} == union_find(e)
+    assert decompose_array(np.arange(10_000), np.arange(1, 10_001))[2] >= 5
+
+
 @pytest.mark.parametrize("finish", [0, 20_000])
 def test_records(spark, scratch, finish):
     rng = random.Random(4)

@@ -44,22 +44,51 @@ def token_sizes(df: DataFrame, key: str, text: str, tokenizer: str = f"{TOKENIZE
     return out.withColumnRenamed("k", key)
 
 
+#: What a bin costs beside the tokens it leaves unused, in tokens.
+BIN_COST = 8
+
+
 class BestFit:
-    """Best fit over bins of several permitted capacities.
+    """Best fit over bins of several permitted capacities, for items whose sizes are all known.
 
     `free` has one bit for each remaining space that an open bin has, so the tightest bin that takes an item is the
-    lowest set bit from the item's size on. If none fits, the capacity that costs least for each token it will hold is
-    opened: the largest, while enough tokens are left to fill it, else the smallest that holds all that is left.
+    lowest set bit from the item's size on. If none fits, a bin is opened. Its capacity is the one that costs least for
+    each token it will hold: the cost of a bin is the space it leaves unused, as far as the items still to come can fill
+    it (largest first), and `bin_cost`.
     """
 
-    def __init__(self, capacities: list[int], total: int):
-        self.capacities, self.left = sorted(capacities), total
+    def __init__(self, capacities: list[int], sizes: list[int], bin_cost: int = BIN_COST):
+        self.capacities, self.bin_cost = sorted(capacities), bin_cost
         self.bins: list[int] = []
         self.opened: list[int] = []
         self.at: list[list[int]] = [[] for _ in range(self.capacities[-1] + 1)]
         self.free = 0
+        # How many items of each size are to come, and a bit for each size there is.
+        self.to_come = [0] * (self.capacities[-1] + 1)
+        for x in sizes:
+            self.to_come[x] += 1
+        self.have = sum(1 << x for x, n in enumerate(self.to_come) if n and x)
+
+    def filled(self, space: int) -> int:
+        """How much of a space the items to come can fill, the largest that fits first."""
+        left, below = space, self.have
+        while left and (below := below & (2 << left) - 1):
+            x = below.bit_length() - 1
+            left -= x * min(self.to_come[x], left // x)
+            below ^= 1 << x
+        return space - left
+
+    def cheapest(self, size: int) -> int:
+        def cost(c: int) -> tuple[float, int]:
+            more = self.filled(c - size)
+            return (c - size - more + self.bin_cost) / max(1, size + more), -c
+
+        return min((c for c in self.capacities if c >= size), key=cost)
 
     def put(self, size: int) -> int:
+        self.to_come[size] -= 1
+        if not self.to_come[size]:
+            self.have &= ~(1 << size)
         rest = self.free >> size
         if rest:
             space = size + (rest & -rest).bit_length() - 1
@@ -67,13 +96,11 @@ class BestFit:
             if not self.at[space]:
                 self.free &= ~(1 << space)
         else:
-            need = max(size, min(self.left, self.capacities[-1]))
-            space = next(c for c in self.capacities if c >= need)
+            space = self.cheapest(size)
             b = len(self.bins)
             self.bins.append(0)
             self.opened.append(space)
         self.bins[b] += size
-        self.left -= size
         space -= size
         self.at[space].append(b)
         self.free |= 1 << space
@@ -88,7 +115,7 @@ def pack(sizes: DataFrame, key: str, n: str = "n_tokens", capacities: tuple[int,
 
     Rows with up to the largest capacity are never divided. A longer one is cut at each full capacity: those pieces fill
     containers of their own, what is left is packed as an item. Rows are spread by hash over groups of about
-    `group_rows`, each packed by one task: largest item first, best fit, jointly over the permitted capacities; in the
+    `group_rows`, each packed by one task: largest item first, best fit, jointly over the permitted capacities, each bin opened at the least cost; in the
     end each container gets the smallest capacity that holds its contents. The number of groups follows the number of
     rows, so no task has more than about a group. Rows of size 0 or null go to the fullest container that is open, with
     n_tokens 0. Keys should be unique; repeated keys are packed as rows of their own. Empty table: no rows.
@@ -110,7 +137,7 @@ def pack(sizes: DataFrame, key: str, n: str = "n_tokens", capacities: tuple[int,
                 fixed += 1
             if parts > whole:
                 items.append((rest, k, whole, parts))
-        fit = BestFit(list(capacities), sum(x[0] for x in items))
+        fit = BestFit(list(capacities), [x[0] for x in items])
         placed = [(fit.put(x[0]), x) for x in sorted(items, key=lambda x: -x[0])]
         for b, (size, k, i, parts) in placed:
             out.append((number + fixed + b, fit.downsized(b), fit.bins[b], k, i, parts, i * top, size))

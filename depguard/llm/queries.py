@@ -89,6 +89,21 @@ def p7_containers(s, d):
 
 _WORDS = "regexp_extract_all(lower(regexp_replace({0}, '\\\\\\p{{L}}*\\*?', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = "SELECT {k}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, {w} AS w FROM {t}))"
+
+
+@query("p7_checks", "SELECT count(*) AS documents, 0::BIGINT AS tokens_lost, 0::BIGINT AS overfull, 0::BIGINT AS divided_that_fit FROM documents")
+def p7_checks(s, d):
+    """What must hold for the containers: every document is in, no token is lost, none holds too much, none is divided that fits."""
+    scratch = Scratch(s)
+    sizes = scratch.write(token_sizes(t(s, d, "documents"), "doc_id", "text"), "sizes")
+    rows = scratch.write(pack(sizes, "doc_id"), "packed")
+    over = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("u")).agg(F.count_if(F.col("u") > 4096).alias("overfull"))
+    each = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("u"), F.max("n_parts").alias("parts"))
+    each = each.agg(F.count("*").alias("documents"), F.sum("u").alias("u"), F.count_if((F.col("parts") > 1) & (F.col("u") <= 4096)).alias("divided_that_fit"))
+    j = each.join(F.broadcast(over)).join(F.broadcast(sizes.agg(F.sum("n_tokens").alias("all"))))
+    return j.select("documents", (F.col("all") - F.col("u")).alias("tokens_lost"), "overfull", "divided_that_fit")
+
+
 _ITEMS = _GRAMS.format(k='item_id', w=_WORDS.format('text'), t='eval_items')
 _P8_REPORT = f"""WITH i AS (SELECT DISTINCT item_id, g FROM ({_ITEMS})), j AS (SELECT item_id, doc_id, count(*) AS n, count(DISTINCT g) AS own FROM ({_GRAMS.format(k='doc_id', w=_WORDS.format('text'), t='documents')}) JOIN i USING (g) GROUP BY 1, 2)
 SELECT item_id, count(*) AS documents, sum(n)::BIGINT AS passages, max(own / (SELECT count(*) FROM i WHERE i.item_id = j.item_id)) AS most FROM j GROUP BY 1"""

@@ -37,13 +37,37 @@ def test_pack(spark, group):
 
 
 def test_best_fit_takes_the_tightest():
-    fit = BestFit([10], 100)
+    fit = BestFit([10], [7, 6, 3, 4, 5])
     a, b = fit.put(7), fit.put(6)
     assert fit.put(3) == a and fit.put(4) == b and fit.put(5) not in (a, b)
-    small = BestFit([4, 8, 16], 5)
+    small = BestFit([4, 8, 16], [3, 2])
     assert small.put(3) == 0 and small.opened == [8] and small.put(2) == 0 and small.downsized(0) == 8
 
 
+def packed(sizes, caps):
+    fit = BestFit(list(caps), sizes)
+    for x in sorted(sizes, reverse=True):
+        fit.put(x)
+    return fit, sum(map(fit.downsized, range(len(fit.bins)))) - sum(sizes)
+
+
+def test_the_cheapest_capacity_is_opened():
+    fit, unused = packed([2040, 1500, 1500, 1500], CAPS)  # 2,048 for the first: nothing to come fills 4,096 as well
+    assert fit.opened[0] == 2048
+    assert packed([3000, 1000, 1000], (1024, 4096))[0].opened == [4096, 1024]
+    assert packed([100] * 200, CAPS)[0].opened[0] == 4096  # as full as any, and fewer
+
+
+@pytest.mark.parametrize("low,high", [(1, 900), (900, 2100), (1300, 1500), (1, 4096), (450, 520), (1400, 4000)])
+def test_joint_capacities_waste_less_than_one(low, high):
+    rng = random.Random(low)
+    sizes = [rng.randint(low, high) for _ in range(3000)]
+    (joint, several), (_, single) = packed(sizes, CAPS), packed(sizes, (4096,))
+    assert several <= single
+    if low == 900:  # pairs of two thousand leave more of 4,096 than one leaves of 2,048
+        assert len(set(joint.opened)) > 1 and several < 0.9 * single
+
+
 def test_sizes_are_the_tokenizers(spark):
     import base64
 

@@ -11,6 +11,10 @@ from depguard.plans.skew import hot_keys
 from depguard.session import Scratch
 
 
+#: Rows of the hash table that a join builds in one task, about.
+HASH_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class CopyRule:
     """exact: fields that must be equal as they are. loose: fields compared by letters and digits in lower case.
@@ -22,26 +26,37 @@ class CopyRule:
 
 
 def canonical(df: DataFrame, key: str, rule: CopyRule) -> DataFrame:
-    """key and one column c0.. a field, equal (null equal to null) exactly for copies. Swappable values are put in order."""
-    out = [F.col(f) for f in rule.exact] + [letters_digits(F.col(f)) for f in rule.loose if f not in rule.swappable]
-    if rule.swappable:
-        values = [letters_digits(F.col(f)) for f in rule.swappable]
-        full = F.lit(True)
-        for f in rule.swappable:
-            full = full & F.col(f).isNotNull()
-        if len(values) == 2:
-            ordered = [F.least(*values), F.greatest(*values)]
-        else:
-            ordered = [F.array_sort(F.array(*values))[i] for i in range(len(values))]
-        out += [F.when(full, o).otherwise(v) for o, v in zip(ordered, values)]
+    """key and one column c0.. a field: the exact fields, then the loose ones normalised, the swappable last."""
+    out = [F.col(f) for f in rule.exact] + [letters_digits(F.col(f)) for f in _loose(rule)]
     return df.select(F.col(key).alias("_id"), *(c.alias(f"c{i}") for i, c in enumerate(out)))
 
 
+def _loose(rule: CopyRule) -> list[str]:
+    return [*(f for f in rule.loose if f not in rule.swappable), *rule.swappable]
+
+
+def in_one_form(rows: DataFrame, rule: CopyRule) -> DataFrame:
+    """The rows with swappable values, if none is null, put in one order, so that copies are equal column by column. Only
+    rows whose fingerprint was seen twice come here."""
+    first = len(rule.exact) + len(rule.loose) - len(rule.swappable)
+    names = [f"c{first + i}" for i in range(len(rule.swappable))]
+    if not names:
+        return rows
+    full = F.lit(True)
+    for c in names:
+        full = full & F.col(c).isNotNull()
+    if len(names) == 2:
+        ordered = [F.least(*names), F.greatest(*names)]
+    else:
+        ordered = [F.array_sort(F.array(*names))[i] for i in range(len(names))]
+    return rows.withColumns({c: F.when(full, o).otherwise(F.col(c)) for c, o in zip(names, ordered)})
+
+
 def fingerprint(rule: CopyRule) -> list[Column]:
-    """Two 64-bit commutative multiset hashes over the canonical columns: the sum of the hashes of (field name, value)
-    pairs. Swappable fields that are all present share one name, so their order can't matter; a null has the name of its
+    """Two 64-bit commutative multiset hashes over the canonical columns, which are in no order: the sum of the hashes of
+    (field name, value) pairs. Swappable fields that are all present share one name, so their order can't matter; a null has the name of its
     own field. Each hash is cut to the bits that keep the sum within 64."""
-    names = [*rule.exact, *(f for f in rule.loose if f not in rule.swappable), *rule.swappable]
+    names = [*rule.exact, *_loose(rule)]
     first = len(names) - len(rule.swappable)
     cut = max(1, (len(names) - 1).bit_length())
     shared = F.lit(True)
@@ -63,8 +78,9 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
 
     1. Rows become a fingerprint of 16 bytes; smallest key and count of each are combined before the only shuffle that
        all rows take part in, of three numbers a row.
-    2. Rows of a fingerprint seen twice or more are verified: grouped by fingerprint and all canonical fields by a hash
-       aggregate, so rows that merely collide part again. No step sorts.
+    2. Rows of a fingerprint seen twice or more are verified: grouped by fingerprint and all fields, swappable ones in one
+       form, by a hash aggregate, so rows that merely collide part again. No step sorts: joins build hash tables of at
+       most about HASH_ROWS rows a task, as the number of tasks follows the fingerprints counted.
     3. Each verified row meets its group's smallest key. Fingerprints that hold 1/200 of all rows or more (at most 200)
        don't move: their groups are broadcast. The others are joined by fingerprint.
 
@@ -78,22 +94,25 @@ def copies(df: DataFrame, key: str, rule: CopyRule, scratch: Scratch) -> DataFra
     seen = scratch.write(seen, "seen")
     total = df.count()
     hot = hot_keys(seen, ["_a", "_b"], "n", total)
-    # The filter holds for every row written; it lets Spark send a Bloom filter of the fingerprints to a large scan, so
-    # that rows without a copy aren't shuffled again.
-    seen = seen.filter("n > 1").select("_a", "_b")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-seen.count() // HASH_ROWS))
+    apart = lambda x, *by: x.repartition(tasks, *by)
+    seen = seen.select("_a", "_b")
 
     def verified(part: DataFrame, small: bool) -> DataFrame:
+        part = in_one_form(part, rule)
         exact = part.groupBy("_a", "_b", *fields).agg(F.min("_id").alias("rep_id"), F.count("*").alias("copies")).filter("copies > 1")
         mark = F.struct(*fields)
         exact = exact.select(F.col("_a").alias("_x"), F.col("_b").alias("_y"), mark.alias("_f"), "rep_id", "copies")
         # Equality of the fields as one value of both sides: Spark can't turn it into join keys, so rows are placed by
         # fingerprint and compared by field. Nulls equal nulls here.
         on = (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")) & (F.size(F.array_distinct(F.array(mark, F.col("_f")))) == 1)
-        return part.join(F.broadcast(exact) if small else exact.hint("shuffle_hash"), on).select("rep_id", F.col("_id").alias("id"), "copies")
+        if not small:
+            part, exact = apart(part, "_a", "_b"), apart(exact, "_x", "_y").hint("shuffle_hash")
+        return part.join(F.broadcast(exact) if small else exact, on).select("rep_id", F.col("_id").alias("id"), "copies")
 
     def cold(part: DataFrame, own: DataFrame) -> DataFrame:
         # Written: read twice from here, where the shuffle of all rows behind it would be read twice else.
-        return verified(scratch.write(part.join(own.hint("shuffle_hash"), ["_a", "_b"], "left_semi"), "candidates"), False)
+        return verified(scratch.write(apart(part, "_a", "_b").join(apart(own, "_a", "_b").hint("shuffle_hash"), ["_a", "_b"], "left_semi"), "candidates"), False)
 
     if hot is None:
         return cold(rows, seen)

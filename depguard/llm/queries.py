@@ -42,9 +42,11 @@ def p1_found(s, d):
     return copies(t(s, d, "addr"), "id", ADDR, Scratch(s)).filter("id > rep_id").select(F.col("rep_id").cast("bigint"), F.col("id").cast("bigint"))
 
 
-@query("p1_collapsed", f"{_P1} SELECT * EXCLUDE (nf, nc, x, y, rep_id, entered_at, loaded_at) FROM g WHERE id = rep_id")
+@query("p1_collapsed", f"{_P1} SELECT * EXCLUDE (nf, nc, x, y, rep_id, entered_at, loaded_at), epoch_us(entered_at) AS entered_us, epoch_us(loaded_at) AS loaded_us FROM g WHERE id = rep_id")
 def p1_collapsed(s, d):
-    return collapse(t(s, d, "addr").drop("entered_at", "loaded_at"), "id", ADDR, Scratch(s))
+    """Whole records, times in microseconds since 1970."""
+    out = collapse(t(s, d, "addr"), "id", ADDR, Scratch(s))
+    return out.withColumns({"entered_us": F.unix_micros("entered_at"), "loaded_us": F.unix_micros("loaded_at")}).drop("entered_at", "loaded_at")
 
 
 @query("p3_found")

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from depguard.plans.skew import place
 from depguard.session import Scratch
 
+#: Keys that one task holds in its hash table, about.
+HASH_KEYS = 500_000
+
 
 def per_key_report(df: DataFrame, key: str, dependent: str, scratch: Scratch, slots: int | None = None) -> DataFrame:
     """key_value, n, dirty, vote, shards, total of each non-null key: rows, rows whose dependent differs from the vote,
@@ -20,13 +23,14 @@ def per_key_report(df: DataFrame, key: str, dependent: str, scratch: Scratch, sl
     Empty table: no rows. A key whose dependents are all null has a null vote and no dirty row. Repeated rows count.
     """
     spark = df.sparkSession
-    slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).alias("_k"), F.col(dependent).alias("_d"))
     counts = scratch.write(rows.groupBy("_k", "_d").agg(F.count("*").alias("n")), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     best = F.min(F.when(F.col("_d").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("_d").alias("d"))))
     loads = scratch.write(counts.dropna(subset=["_k"]).groupBy("_k").agg(F.sum("n").alias("load"), best["d"].alias("_vote")), "loads")
     scratch.drop(counts)
+    # A task builds a hash table of its keys: their number bounds it.
+    slots = slots or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-loads.count() // HASH_KEYS))
     where = place(loads, "_k", "load", slots)
     left = where.mark(rows.filter(F.col("_k").isNotNull()).withColumn("_i", F.monotonically_increasing_id()))
     left = left.select("_k", "_d", where.slot(F.col("_i")).alias("_slot")).repartitionById(slots, "_slot")

@@ -10,6 +10,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from depguard.plans.skew import hot_keys, spread_join
+
 # ---- fixed values: how slots, filler, errors and notices are written -------------------------------------------------
 
 _NAME = r"[^\W\d_][\w.]*(?:[ -][^\W\d_][\w.]*){0,3}"
@@ -18,7 +20,7 @@ _TAGS = "html|head|body|meta|link|script|noscript|style|div|span|p|br|hr|a|b|i|u
 #: An unfilled slot, as a whole unit.
 SLOTS = (
     rf"\{{\{{\s*{_NAME}\s*\}}\}}",
-    rf"\{{%\s*block\s+{_NAME}\s*%\}}.{{0,40}}",
+    rf"\{{%\s*block\s+{_NAME}\s*%\}}.*",
     rf"[$#]\{{\s*{_NAME}\s*\}}",
     rf"<<\s*{_NAME}\s*>>",
     rf"\[\[\s*{_NAME}\s*\]\]",
@@ -34,7 +36,7 @@ SLOTS = (
     rf"[<\[](?i:add|insert|enter|your|put|fill in|ajouter|insérer|añadir|insertar) {_NAME}[>\]]",
     rf"[<\[](?i:{_NAME} (?:hinzufügen|einfügen|eintragen|ergänzen))[>\]]",
     rf"\((?i:{_NAME} to be (?:supplied|provided|added|completed|inserted) by the (?:author|editor)s?)\)",
-    rf"\[(?i:(?:insert|add|enter|put|type|your) .{{2,40}} here|insertar .{{2,40}} aquí|insérer .{{2,40}} ici|.{{2,40}} hier (?:einfügen|eintragen|ergänzen))\]",
+    rf"\[(?i:(?:insert|add|enter|put|type|your) [^\[\]]{{2,}} here|insertar [^\[\]]{{2,}} aquí|insérer [^\[\]]{{2,}} ici|[^\[\]]{{2,}} hier (?:einfügen|eintragen|ergänzen))\]",
     rf"(?i:your {_NAME} (?:goes|comes|belongs) here)\.?",
     rf"(?i:(?:type|enter|write|put|insert|add) (?:your |the )?{_NAME} here)\.?",
     rf"(?i:hier (?:bitte )?{_NAME} (?:eintragen|einfügen|ergänzen|eingeben))\.?",
@@ -111,7 +113,7 @@ NOTICES = (
 _SLOT = re.compile("(?:" + "|".join(f"(?:{s.replace(chr(92) + '1', '(?P=mark)').replace('(%%|', '(?P<mark>%%|')})" for s in SLOTS) + r")\Z")
 _FILL, _SIGN = re.compile("(?:" + "|".join(FILLER) + ")"), re.compile(_SIGNS + r"\Z")
 _ERROR, _NOTICE = re.compile("(?:" + "|".join(ERRORS) + ")"), re.compile("(?:" + "|".join(NOTICES) + ")")
-_BREAK, _TAG = re.compile(r"\r\n|\n|\r"), re.compile(r"<[^<>]{0,200}>")
+_BREAK, _TAG = re.compile(r"\r\n|\n|\r"), re.compile(r"<[^<>]*>")
 _WRAP = re.compile(r"\\(?:title|author|thanks|caption|section|subsection|subsubsection|paragraph|textbf|textit|emph|date|affil|affiliation|address|email|keywords|footnote|abstract|chapter|centerline|texttt)\*?\{(.*)\}\Z")
 _LABEL = re.compile(r"[^\W\d_]{2,20}:\s+(.*)\Z")
 _COMMENT = re.compile(r"(?<!\\)%.*")
@@ -146,14 +148,14 @@ def evidence(line: str) -> str | None:
     if not s:
         return None
     for u in units(s):
-        if len(u) < 120 and _SLOT.match(u):
+        if _SLOT.match(u):
             return "slot"
     if "%" in s:
         s = _COMMENT.sub("", s).strip()
         if not s:
             return None
     plain = _TAG.sub(" ", s).strip() if "<" in s else s
-    if plain != s and len(plain) < 120 and _SLOT.match(plain):
+    if plain != s and _SLOT.match(plain):
         return "slot"
     if not plain:
         return None
@@ -177,7 +179,8 @@ def evidence(line: str) -> str | None:
 
 
 _SCHEMA = "host string, h bigint, n bigint, key {kind}, kind string, content boolean"
-#: A line that at least half of a host's documents have, and ten of them, is the host's boilerplate.
+#: A line that at least half of a host's documents have is the host's boilerplate. Hosts with fewer than ten documents, too
+#: few to tell, are looked at together: their boilerplate is what half of all their documents have, if these are ten.
 SHARE, LEAST = 0.5, 10
 
 
@@ -191,9 +194,9 @@ def residue(docs: DataFrame, key: str, text: str, host: str, scratch, share: flo
 
     Every document's normalised lines are counted by host in one pass (each line once a document, counts combined in
     the task before they are shuffled); the same pass emits the lines of documents that show evidence. Lines that recur
-    in at least `share` of a host's documents are its boilerplate and are subtracted, so a notice in the frame that a
-    host puts round every page is no evidence, unless nothing but boilerplate is left of the document. What remains is
-    judged by line.
+    in at least `share` of a host's documents (of all small hosts' documents, if it has fewer than `least`) are its
+    boilerplate and are subtracted, so a notice in the frame that a host puts round every page is no evidence, unless
+    nothing but boilerplate is left of the document. What remains is judged by line.
 
     Null texts show nothing; a null host counts as one host. Keys should be unique. Texts are read whole.
     """
@@ -232,10 +235,19 @@ def residue(docs: DataFrame, key: str, text: str, host: str, scratch, share: flo
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("x"), F.col(host).alias("s"))
     found = scratch.write(d.mapInPandas(run, _SCHEMA.format(kind=kind)), "lines")
     counts = found.filter("n is not null").withColumn("host", F.coalesce("host", F.lit("\0"))).groupBy("host", "h").agg(F.sum("n").alias("n"))
+    counts = scratch.write(counts, "counts")
     sizes = counts.filter("h is null").select("host", F.col("n").alias("docs"))
-    frame = counts.filter(F.col("h").isNotNull() & (F.col("n") >= least)).join(sizes, "host").filter(F.col("n") >= F.col("docs") * share)
+    total, small = sizes.agg(F.sum("docs"), F.sum(F.when(F.col("docs") < least, F.col("docs")))).first()
+    by_host = spread_join(counts.filter("h is not null"), sizes, ["host"], hot_keys(sizes, ["host"], "docs", total or 0))
+    frame = by_host.filter((F.col("docs") >= least) & (F.col("n") >= F.col("docs") * share))
+    if (small or 0) >= least:
+        # A line in half of some documents: there are at most two for each line that these have on average.
+        pool = by_host.filter(F.col("docs") < least)
+        common = pool.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= small * share).select("h")
+        frame = frame.unionByName(pool.join(F.broadcast(common), "h", "left_semi"))
+    frame = scratch.write(frame.select("host", "h", "n"), "frame")
     shown = found.filter("n is null").withColumn("host", F.coalesce("host", F.lit("\0")))
-    j = shown.join(frame.select("host", "h", F.lit(True).alias("common")), ["host", "h"], "left")
+    j = spread_join(shown, frame.select("host", "h", F.lit(True).alias("common")), ["host", "h"], hot_keys(frame, ["host", "h"], "n", total or 0))
     left = F.col("common").isNull()
     own = j.groupBy("key").agg(
         F.count_if(F.col("kind").isNotNull() & left).alias("own"), F.count_if(F.col("kind").isNotNull()).alias("lines"),

@@ -29,6 +29,23 @@ def test_not_shown(line):
     assert evidence(line) is None
 
 
+LONG = "a rather long description of what belongs in this place of the article, " * 8
+
+
+@pytest.mark.parametrize("line", [f"[insert {LONG}here]", f"[Hier {LONG}hier einfügen]", "{% block abstract %}" + LONG + "{% endblock %}", '<p class="' + "x" * 400 + '">{{ title }}</p>'])
+def test_slots_of_any_length(line):
+    assert evidence(line) == "slot"
+
+
+def test_small_hosts_are_looked_at_together(spark, scratch):
+    note = "JavaScript is required to show comments."
+    rows = [(i, f"Article {'n' * i} of a small host.\n{note}", f"h{i // 3}", None) for i in range(1, 40)] + [(100, note, "h1", None), (101, f"Words.\n{note}\n404 Not Found", "h2", None)]
+    got = {r.doc_id: r.whole for r in residue(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source", scratch).collect()}
+    assert got == {100: True, 101: False}
+    few = spark.createDataFrame(rows[:6], SCHEMA)  # too few to tell: each line counts
+    assert residue(few, "doc_id", "text", "source", scratch).count() == 6
+
+
 SCHEMA = "doc_id bigint, text string, source string, kinds string"
 
 

@@ -35,19 +35,15 @@ def clusters(edges: DataFrame, level: int, scratch: Scratch) -> tuple[DataFrame,
     now = both.groupBy("v").agg(F.count("*").alias("n")).select("v", _start(F.col("v"), level).alias("t"), F.col("v").alias("c"), F.lit(True).alias("new"), "n")
     now = scratch.write(now, "state")
     hot = hot_keys(now, ["v"], "n", 2 * edges.count())
-    for i in range(REACH):
+    for _ in range(REACH):
         told = now.filter("new").select("v", "t", "c")
         sent = spread_join(both, told, ["v"], hot) if hot is not None else both.join(told, "v")
         sent = sent.filter(F.col("t").isNotNull()).select(F.col("w").alias("v"), (F.col("t") + 1).alias("t"), "c", F.lit(None).cast("double").alias("old"))
         own = now.select("v", "t", "c", F.col("t").alias("old"))
         following = own.unionByName(sent).groupBy("v").agg(F.min("t").alias("t"), F.min_by("c", "t").alias("c"), F.max("old").alias("old"))
         following = following.select("v", "t", "c", (F.col("t") < F.col("old")).alias("new"))
-        # Two rounds make one plan; the table between is written and the one before it dropped.
-        if i % 2:
-            following = scratch.write(following, "state")
-            scratch.drop(written)
-        else:
-            written = now
+        following = scratch.write(following, "state")
+        scratch.drop(now)
         now = following
     return now.select("v", "c"), hot
 

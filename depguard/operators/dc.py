@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from depguard.plans.pairs import COMPARE, grid_join, sides
-from depguard.report import as_bigint, clamped, pairs_of, wide
+from depguard.plans.pairs import COMPARE, grid_join, order_join, sides
+from depguard.plans.skew import fragment_join, hot_cuts
+from depguard.report import as_count, clamped, pairs_of, wide
 from depguard.rules import DC, Lit, Pred, Ref
+from depguard.session import Scratch
 
 
 def _expr(p: Pred, names: dict[str, str], numeric: frozenset = frozenset()) -> Column:
@@ -28,6 +30,7 @@ def _all(preds, names: dict[str, str], numeric: frozenset = frozenset()) -> Colu
     return out
 
 
+NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 PAIR, SWAPPED = {"A": "A_", "B": "B_"}, {"A": "B_", "B": "A_"}
 
 
@@ -46,33 +49,71 @@ def _columns(dc: DC) -> list[str]:
 
 
 def rows(df: DataFrame, dc: DC, numeric: frozenset = frozenset()) -> DataFrame:
-    """A constraint on one tuple: the rows that satisfy all of it."""
+    """A constraint on one tuple: the rows that satisfy all of it. Columns in `numeric` are compared as numbers."""
     return df.filter(_all(dc.preds, {"A": "", "B": ""}, numeric))
 
 
-def pairs(df: DataFrame, dc: DC, key: str, both_sides: bool = False, self_pairs: bool = False, grid: int = 16, numeric: frozenset = frozenset()) -> DataFrame:
+def pairs(df: DataFrame, dc: DC, key: str, both_sides: bool = False, self_pairs: bool = False, grid: int | None = None, numeric: frozenset = frozenset(), scratch: Scratch | None = None) -> DataFrame:
     """Ordered pairs: A_x, B_x of the key and of every column of the rule.
 
     Predicates on one tuple filter their own side before the join (both sides with `both_sides`). Equalities of columns
-    become the join keys, the other predicates its residual; with no equality the sides meet in the cells of a grid.
+    become the join keys, the other predicates its residual; values that make a large part of the pairs are cut into
+    pieces by load. With no equality the sides meet in the cells of a grid (of `grid` lines, else as the rows need): one
+    of ranges if a comparison of numbers can rule cells out.
     """
     preds = _own(dc.preds, both_sides)
     a, b = sides(df, [key, *_columns(dc)])
     on = F.lit(True) if self_pairs else F.col(f"A_{key}") != F.col(f"B_{key}")
-    return _meet(a, b, preds, on, f"A_{key}", f"B_{key}", grid, numeric)
+    return _meet(a, b, preds, on, f"A_{key}", f"B_{key}", grid, numeric, scratch)
 
 
-def _meet(a: DataFrame, b: DataFrame, preds: list[Pred], on: Column, key_a: str, key_b: str, grid: int, numeric: frozenset) -> DataFrame:
+def _flipped(p: Pred) -> Pred:
+    flip = lambda x: Ref({"A": "B", "B": "A"}[x.alias], x.column) if isinstance(x, Ref) else x
+    out = Pred(flip(p.left), p.op, flip(p.right))
+    return out.mirrored() if len(p.aliases) == 2 else out
+
+
+def pair_members(df: DataFrame, dc: DC, key: str, both_sides: bool = False, self_pairs: bool = False, grid: int | None = None, numeric: frozenset = frozenset(), scratch: Scratch | None = None) -> DataFrame:
+    """The rows, with all columns, that are A or B of some violating pair. No pair is formed: each side is asked by a semi
+    join whether it has a partner."""
+    preds, scratch = _own(dc.preds, both_sides), scratch or Scratch(df.sparkSession)
+    on = F.lit(True) if self_pairs else F.col(f"A_{key}") != F.col(f"B_{key}")
+    found = None
+    for own in (preds, [_flipped(p) for p in preds]):
+        a, b = sides(df, [key, *_columns(dc)])
+        part = _meet(a, b, own, on, f"A_{key}", f"B_{key}", grid, numeric, scratch, "left_semi").select(F.col(f"A_{key}").alias(key))
+        found = part if found is None else found.union(part)
+    return df.join(found.distinct(), key, "left_semi").select(*df.columns)
+
+
+def _meet(a: DataFrame, b: DataFrame, preds: list[Pred], on: Column, key_a: str, key_b: str, grid: int | None, numeric: frozenset, scratch: Scratch | None, how: str = "inner") -> DataFrame:
     a = a.filter(_all([p for p in preds if p.aliases == {"A"}], PAIR, numeric))
     b = b.filter(_all([p for p in preds if p.aliases == {"B"}], PAIR, numeric))
     double = [p for p in preds if len(p.aliases) == 2]
     on = _all(double, PAIR, numeric) & on
-    if any(p.op == "=" for p in double):
-        return a.join(b, on)
+    number = lambda p: p.op[0] in "<>" and all(x.column in numeric or kinds[f"A_{x.column}"] in NUMBERS or kinds[f"A_{x.column}"].startswith("decimal") for x in (p.left, p.right))
+    kinds = dict(a.dtypes)
+    if equal := [p for p in double if p.op == "="]:
+        keys = [f"__on{i}" for i in range(len(equal))]
+        value = lambda x, side: (F.col(side + x.column).try_cast("double") if x.column in numeric else F.col(side + x.column))
+        a = a.select("*", *(value(p.left, "A_").alias(k) for p, k in zip(equal, keys)))
+        b = b.select("*", *(value(p.right, "B_").alias(k) for p, k in zip(equal, keys)))
+        na, nb = (x.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((a, "__a"), (b, "__b")))
+        scratch = scratch or Scratch(a.sparkSession)
+        loads = scratch.write(na.join(nb, keys).select(*keys, (F.col("__a").cast("double") * F.col("__b")).alias("__load")), "loads")
+        cuts = hot_cuts(loads, keys, "__load", loads.agg(F.sum("__load")).first()[0] or 0)
+        return fragment_join(a, b, keys, cuts, F.xxhash64(key_a), on, how).drop(*keys)
+    if order := [p for p in double if number(p)]:
+        p = order[0]
+        cast = lambda df, c, x: df.withColumn(c, F.col(c).try_cast("double")) if x.column in numeric else df
+        x, y = f"A_{p.left.column}", f"B_{p.right.column}"
+        return order_join(cast(a, x, p.left), cast(b, y, p.right), x, p.op, y, key_a, key_b, grid, on, how)
+    if how != "inner":
+        return grid_join(a, b, key_a, key_b, grid, on).select(*a.columns).distinct()
     return grid_join(a, b, key_a, key_b, grid, on)
 
 
-def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False, both_sides: bool = False, self_pairs: bool = False, grid: int = 16, numeric: frozenset = frozenset()) -> DataFrame:
+def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False, both_sides: bool = False, self_pairs: bool = False, grid: int | None = None, numeric: frozenset = frozenset(), exact: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """dirty, total, ordered_pairs, rule.
 
     On one tuple: rows of all rows. On two: unordered pairs with a violating orientation, of n(n-1)/2; with `clamp` the
@@ -80,7 +121,7 @@ def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False
 
     No pair of rows is formed: rows equal on the rule's columns are one class with a weight, classes are joined, and a
     pair of classes counts as the product of their weights. A pair that violates both ways round is counted once, from
-    its smaller side.
+    its smaller side. Counts beyond 2^63-1 fail, unless `exact` asks for decimals.
     """
     rule = F.lit(str(dc)).alias("rule")
     total = df.agg(F.count("*").alias("n"))
@@ -88,9 +129,10 @@ def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False
         d = rows(df, dc, numeric).agg(F.count("*").alias("dirty"))
         return d.join(F.broadcast(total)).select("dirty", F.col("n").alias("total"), F.col("dirty").alias("ordered_pairs"), rule)
     cols, preds = _columns(dc), _own(dc.preds, both_sides)
-    classes = df.groupBy(*cols).agg(F.count("*").alias("__w")).withColumn("__k", F.struct(*cols))
+    scratch = scratch or Scratch(df.sparkSession)
+    classes = scratch.write(df.groupBy(*cols).agg(F.count("*").alias("__w")), "classes").withColumn("__k", F.struct(*cols))
     a, b = sides(classes, [*cols, "__w", "__k"])
-    met = _meet(a, b, preds, F.col("A___k") != F.col("B___k"), "A___k", "B___k", grid, numeric)
+    met = _meet(a, b, preds, F.col("A___k") != F.col("B___k"), "A___k", "B___k", grid, numeric, scratch)
     product = wide(F.col("A___w")) * wide(F.col("B___w"))
     back = F.coalesce(_all(preds, SWAPPED, numeric), F.lit(False))
     met = met.select(product.alias("o"), F.when((F.col("A___k") < F.col("B___k")) | ~back, product).alias("u"))
@@ -98,5 +140,5 @@ def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False
     j = met.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")).unionByName(same.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")))
     j = j.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("u"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).join(F.broadcast(total))
     if clamp:
-        return j.select(*clamped(F.col("o"), F.col("n")), as_bigint(F.col("o")).alias("ordered_pairs"), rule)
-    return j.select(as_bigint(F.col("u")).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), as_bigint(F.col("o")).alias("ordered_pairs"), rule)
+        return j.select(*clamped(F.col("o"), F.col("n"), exact), as_count(F.col("o"), exact).alias("ordered_pairs"), rule)
+    return j.select(as_count(F.col("u"), exact).alias("dirty"), as_count(pairs_of(F.col("n")), exact).alias("total"), as_count(F.col("o"), exact).alias("ordered_pairs"), rule)

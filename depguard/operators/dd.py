@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depguard.plans.pairs import COMPARE, bucket_join, grid_join, sides
-from depguard.report import as_bigint, pairs_of, wide
+from depguard.report import as_count, pairs_of, wide
 from depguard.rules import DD, Dist
 from depguard.rules.model import NEGATE
 
@@ -37,7 +37,7 @@ def _conditions(dd: DD) -> Column:
     return on & bad
 
 
-def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strategy: str, grid: int) -> DataFrame:
+def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strategy: str, grid: int | None) -> DataFrame:
     a, b = sides(df, cols)
     on = first & _conditions(dd)
     bounded = [d for d in dd.lhs if d.op in ("<", "<=", "=")]
@@ -50,7 +50,7 @@ def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strat
     return bucket_join(a, b, f"A_{best.column}", f"B_{best.column}", best.bound, on)
 
 
-def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int = 16) -> DataFrame:
+def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int | None = None) -> DataFrame:
     """Unordered pairs, A's key the smaller: A_x, B_x of the key and the rule's columns.
 
     String columns are read as numbers, what isn't one as null. strategy: bucket joins neighbouring buckets of the left
@@ -61,11 +61,11 @@ def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int
     return _meet(_numbers(df, cols, key), cols, dd, key, F.col(f"A_{key}") < F.col(f"B_{key}"), strategy, grid)
 
 
-def dd_report(df: DataFrame, dd: DD, key: str | None = None, strategy: str = "auto", grid: int = 16) -> DataFrame:
+def dd_report(df: DataFrame, dd: DD, key: str | None = None, strategy: str = "auto", grid: int | None = None, exact: bool = False) -> DataFrame:
     """dirty = violating unordered pairs, total = n(n-1)/2.
 
     Rows equal on the rule's columns are one class with a weight; only classes are joined, and a pair of classes counts
-    as the product of their weights. Within a class all distances are 0.
+    as the product of their weights. Within a class all distances are 0. `exact`: decimals, beyond 2^63-1 too.
     """
     cols = _columns(dd)
     classes = _numbers(df, cols, None).groupBy(*cols).agg(F.count("*").alias("__w")).withColumn("__k", F.struct(*cols))
@@ -78,4 +78,4 @@ def dd_report(df: DataFrame, dd: DD, key: str | None = None, strategy: str = "au
         bad = bad | at_zero(d, True)
     counts = met.select((wide(F.col("A___w")) * wide(F.col("B___w"))).cast("decimal(38,0)").alias("u")).unionByName(classes.filter(zero & bad).select(pairs_of(F.col("__w")).cast("decimal(38,0)").alias("u")))
     n = df.agg(F.count("*").alias("n"))
-    return counts.agg(F.sum("u").alias("u")).join(F.broadcast(n)).select(as_bigint(F.col("u")).alias("dirty"), as_bigint(pairs_of(F.col("n"))).alias("total"), F.lit(str(dd)).alias("rule"))
+    return counts.agg(F.sum("u").alias("u")).join(F.broadcast(n)).select(as_count(F.col("u"), exact).alias("dirty"), as_count(pairs_of(F.col("n")), exact).alias("total"), F.lit(str(dd)).alias("rule"))

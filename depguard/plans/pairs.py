@@ -6,6 +6,8 @@ neighbouring buckets; what has no bound at all is met in the cells of a triangul
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 COMPARE = {
@@ -31,9 +33,47 @@ def bucket_join(a: DataFrame, b: DataFrame, x: str, y: str, width: float, on: Co
     return left.join(right, (left["_bk"] == right["_bk"]) & on).drop("_bk")
 
 
-def grid_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: int, on: Column) -> DataFrame:
+#: Rows of each side that meet in a cell of a grid, about.
+CELL_ROWS = 20_000
+
+
+def grid_side(a: DataFrame, b: DataFrame) -> int:
+    """Lines of a grid for two tables: cells of about CELL_ROWS rows, and enough of them to keep all cores busy."""
+    least = math.ceil(math.sqrt(3 * a.sparkSession.sparkContext.defaultParallelism))
+    return max(least, -(-max(a.count(), b.count()) // CELL_ROWS))
+
+
+def grid_join(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: int | None, on: Column) -> DataFrame:
     """All pairs that satisfy `on`, met in a square grid of side*side cells: a row of A goes to one line, a row of B to
     one column, by hash of its key. Every pair meets once; a cell holds 1/side of each side."""
+    side = side or grid_side(a, b)
     left = a.withColumn("_r", F.pmod(F.xxhash64(key_a), F.lit(side))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     right = b.withColumn("_k", F.pmod(F.xxhash64(key_b), F.lit(side))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(side - 1))))
     return left.join(right, (F.col("_r") == F.col("_q")) & (F.col("_c") == F.col("_k")) & on).drop("_r", "_c", "_k", "_q")
+
+
+def order_join(a: DataFrame, b: DataFrame, x: str, op: str, y: str, key_a: str, key_b: str, side: int | None, on: Column, how: str = "inner") -> DataFrame:
+    """Pairs with `x op y` (op one of < <= > >=; x is of a, y of b, both numbers) and `on`, met in a grid whose lines are
+    ranges of x and whose columns are the same ranges of y.
+
+    A cell whose ranges can't satisfy the comparison isn't filled, so half of the cells and copies fall away. A value that
+    would fill several ranges is spread over them by hash of the key. how: inner or left_semi.
+    """
+    side = side or grid_side(a, b)
+    a, b = a.filter(F.col(x).isNotNull()), b.filter(F.col(y).isNotNull())
+    cuts = a.select(F.col(x).cast("double").alias("v")).approxQuantile("v", [i / side for i in range(1, side)], 0.2 / side) if side > 1 else []
+    of = F.array(*map(F.lit, sorted(cuts))) if cuts else None
+
+    def stripe(c: str, key: str) -> Column:
+        if of is None:
+            return F.lit(0)
+        v = F.col(c).cast("double")
+        low, high = F.size(F.filter(of, lambda q: q < v)), F.size(F.filter(of, lambda q: q <= v))
+        return (low + F.pmod(F.xxhash64(key), high - low + 1)).cast("int")
+
+    last = F.lit(len(cuts))
+    left, right = a.withColumn("_r", stripe(x, key_a)), b.withColumn("_k", stripe(y, key_b))
+    down = op in (">", ">=")
+    left = left.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_r")) if down else F.sequence(F.col("_r"), last)))
+    right = right.withColumn("_q", F.explode(F.sequence(F.col("_k"), last) if down else F.sequence(F.lit(0), F.col("_k"))))
+    return left.join(right, (F.col("_r") == F.col("_q")) & (F.col("_c") == F.col("_k")) & on, how).drop("_r", "_c", "_k", "_q")

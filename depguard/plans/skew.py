@@ -62,37 +62,40 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
         away = away | F.col(k).isNull()
     now = left
     if hot is not None:
-        near = F.broadcast(F.broadcast(hot).join(right, keys, "left").select(*keys, F.struct(*values).alias("_near")))
-        now, away = now.join(near, keys, "left"), away | F.col("_near").isNotNull()
-    now = now.withColumn("_to", _spread(away, left.columns))
-    far = right.select(*keys, *(F.col(c).alias(f"_far_{c}") for c in values), F.lit(0).alias("_to"))
-    now = now.join(far, [*keys, "_to"], "left")
-    pick = lambda c: F.col(f"_far_{c}") if hot is None else F.when(F.col("_near").isNotNull(), F.col("_near")[c]).otherwise(F.col(f"_far_{c}"))
+        near = F.broadcast(F.broadcast(hot).join(right, keys, "left").select(*keys, F.struct(*values).alias("__near")))
+        now, away = now.join(near, keys, "left"), away | F.col("__near").isNotNull()
+    now = now.withColumn("__to", _spread(away, [c for c, kind in left.dtypes if "map<" not in kind and kind != "variant"]))
+    far = right.select(*keys, *(F.col(c).alias(f"__far_{c}") for c in values), F.lit(0).alias("__to"))
+    now = now.join(far, [*keys, "__to"], "left")
+    pick = lambda c: F.col(f"__far_{c}") if hot is None else F.when(F.col("__near").isNotNull(), F.col("__near")[c]).otherwise(F.col(f"__far_{c}"))
     return now.select(*left.columns, *(pick(c).alias(c) for c in values))
 
 
 def hot_cuts(counts: DataFrame, keys: list[str], n: str, total: int, parts: int | None = None) -> DataFrame | None:
-    """As `hot_keys`, with the number of pieces (_cuts) that bring a piece of each key down to total/parts rows."""
+    """As `hot_keys`, with the number of pieces (__cuts) that bring a piece of each key down to total/parts rows."""
     parts = parts or hot_parts(counts.sparkSession)
-    rows = counts.filter(F.col(n) * parts >= F.lit(max(total, 1))).dropna(subset=keys).select(*keys, F.ceil(F.col(n) * parts / max(total, 1)).cast("int").alias("_cuts"))
+    rows = counts.filter(F.col(n) * parts >= F.lit(max(total, 1))).dropna(subset=keys).select(*keys, F.ceil(F.col(n) * parts / max(total, 1)).cast("int").alias("__cuts"))
     kept = rows.take(parts)
     return counts.sparkSession.createDataFrame(kept, rows.schema) if kept else None
 
 
-def fragment_join(left: DataFrame, right: DataFrame, keys: list[str], cuts: DataFrame | None, by: Column, on: Column | None = None) -> DataFrame:
-    """left JOIN right on `keys`, where both sides may have many rows a key, and `on` if given. `by` tells rows of `left` apart.
+def fragment_join(left: DataFrame, right: DataFrame, keys: list[str], cuts: DataFrame | None, by: Column, on: Column | None = None, how: str = "inner") -> DataFrame:
+    """left JOIN right on `keys`, where both sides may have many rows a key, and `on` if given; how is inner or left_semi.
+    `by` tells rows of `left` apart.
 
     Fragment and replicate: the rows of a hot key on the left are spread over its pieces, those on the right are copied to
     each of them. Columns of the two sides must differ but for the keys.
     """
-    if cuts is None:
-        j = left.join(right, keys)
-    else:
+    if cuts is not None:
         few = F.broadcast(cuts)
-        a = left.join(few, keys, "left").withColumn("_piece", F.coalesce(F.pmod(by, F.col("_cuts")), F.lit(0)).cast("int")).drop("_cuts")
-        b = right.join(few, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_cuts", F.lit(1)) - 1))).drop("_cuts")
-        j = a.join(b, [*keys, "_piece"]).drop("_piece")
-    return j if on is None else j.filter(on)
+        left = left.join(few, keys, "left").withColumn("__piece", F.coalesce(F.pmod(by, F.col("__cuts")), F.lit(0)).cast("int")).drop("__cuts")
+        right = right.join(few, keys, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), F.coalesce("__cuts", F.lit(1)) - 1))).drop("__cuts")
+        keys = [*keys, "__piece"]
+    right = right.withColumnsRenamed({k: f"__r{k}" for k in keys})
+    met = on if on is not None else F.lit(True)
+    for k in keys:
+        met = met & (F.col(k) == F.col(f"__r{k}"))
+    return left.join(right, met, how).drop("__piece", *(f"__r{k}" for k in keys))
 
 
 @dataclass

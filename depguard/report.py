@@ -19,9 +19,13 @@ def wide(n: Column) -> Column:
     return n.cast("decimal(19,0)")
 
 
-def as_bigint(n: Column) -> Column:
-    """A count of pairs as bigint. Above 2^63-1 (pairs of more than four billion rows) it stays at that value."""
-    return F.least(F.coalesce(n, F.lit(0)).cast("decimal(38,0)"), F.lit(LARGEST).cast("decimal(38,0)")).cast("bigint")
+def as_count(n: Column, exact: bool = False) -> Column:
+    """A count of pairs as bigint. Beyond 2^63-1 (pairs of more than four billion rows) it fails and says so; exact gives
+    decimal(38,0), which holds the pairs of 10^19 rows."""
+    n = F.coalesce(n, F.lit(0)).cast("decimal(38,0)")
+    if exact:
+        return n
+    return F.when(n > F.lit(LARGEST).cast("decimal(38,0)"), F.raise_error(F.lit("more than 2^63-1 pairs: ask for exact=True")).cast("bigint")).otherwise(n.cast("bigint"))
 
 
 def pairs_of(n: Column) -> Column:
@@ -29,10 +33,11 @@ def pairs_of(n: Column) -> Column:
     return wide(n) * (wide(n) - 1) / 2
 
 
-def clamped(ordered: Column, n: Column) -> list[Column]:
+def clamped(ordered: Column, n: Column, exact: bool = False) -> list[Column]:
     """The display form that keeps small ratios visible: below one percent of n*n the ratio becomes 2 of 9,900 (0 if none)."""
+    kind = "decimal(38,0)" if exact else "bigint"
     small = ordered < wide(n) * wide(n) * 0.01
     return [
-        F.when(small, F.when(ordered == 0, 0).otherwise(2)).otherwise(as_bigint(ordered)).cast("bigint").alias("dirty"),
-        F.when(small, 9900).otherwise(as_bigint(wide(n) * (wide(n) - 1))).cast("bigint").alias("total"),
+        F.when(small, F.when(ordered == 0, 0).otherwise(2)).otherwise(as_count(ordered, exact)).cast(kind).alias("dirty"),
+        F.when(small, 9900).otherwise(as_count(wide(n) * (wide(n) - 1), exact)).cast(kind).alias("total"),
     ]

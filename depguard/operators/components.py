@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from depguard.plans.skew import hot_keys, spread_join
 from depguard.session import Scratch
 
 
@@ -17,13 +18,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -
     loops = edges.filter("src = dst").select(F.col("src").alias("node"))
     now = scratch.write(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
     seen = None
+    def lowest(pairs: DataFrame, low) -> tuple[DataFrame, DataFrame]:
+        """The lowest neighbour of each node, and the pairs with it; hubs don't load one task."""
+        least = scratch.write(pairs.groupBy("u").agg(low.alias("m"), F.count("*").alias("n")), "low")
+        hot = hot_keys(least, ["u"], "n", least.agg(F.sum("n")).first()[0] or 0)
+        least = least.drop("n")
+        return least, spread_join(pairs, least, ["u"], hot)
+
     for _ in range(rounds):
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        _, met = lowest(now.union(now.select("v", "u")), F.least(F.min("v"), F.col("u")))
+        large = scratch.write(met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        low, met = lowest(large, F.min("v"))
+        small = met.filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         following = scratch.write(small.union(low).distinct(), "cc")
+        scratch.drop(large)
         mark = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = following

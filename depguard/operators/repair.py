@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from depguard.operators.components import connected_components
 from depguard.operators.fd import _present, value_counts
 from depguard.plans.schedule import schedule
+from depguard.plans.skew import hot_keys, spread_join
 from depguard.report import report
 from depguard.rules import FD, FDSet
 from depguard.session import Scratch
@@ -37,16 +38,16 @@ def vote(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str = "plurality",
     rows have (null rows count in the total, null never wins). Groups with one value have no row, unless `unanimous`
     asks for these entries that change nothing.
     """
-    return _winners(df, lhs, rhs, kind, unanimous).withColumnRenamed("__win", "winner")
+    return _winners(_tally(df, lhs, rhs), lhs, kind, unanimous).withColumnRenamed("__win", "winner")
 
 
-def _winners(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str, unanimous: bool = False) -> DataFrame:
-    counted = value_counts(df.filter(_present(lhs)), lhs, rhs)
-    top = counted.groupBy(*lhs).agg(
-        F.count("*").alias("__v"),
-        F.sum("__n").alias("__t"),
-        F.min(F.when(F.col(rhs).isNotNull(), F.struct((-F.col("__n")).alias("n"), F.col(rhs).alias("r")))).alias("__best"),
-    )
+def _tally(df: DataFrame, lhs: tuple[str, ...], rhs: str) -> DataFrame:
+    """lhs.., __v values, __t rows, __best (rows, value) of every left value."""
+    best = F.min(F.when(F.col(rhs).isNotNull(), F.struct((-F.col("__n")).alias("n"), F.col(rhs).alias("r"))))
+    return value_counts(df.filter(_present(lhs)), lhs, rhs).groupBy(*lhs).agg(F.count("*").alias("__v"), F.sum("__n").alias("__t"), best.alias("__best"))
+
+
+def _winners(top: DataFrame, lhs: tuple[str, ...], kind: str, unanimous: bool = False) -> DataFrame:
     top = top.filter(((F.col("__v") > 1) | F.lit(unanimous)) & F.col("__best").isNotNull())
     if kind == "majority":
         top = top.filter(F.col("__best.n") * -2 > F.col("__t"))
@@ -55,14 +56,22 @@ def _winners(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str, unanimous
     return top.select(*lhs, F.col("__best.r").alias("__win"))
 
 
+def _voted(df: DataFrame, lhs: tuple[str, ...], rhs: str, kind: str, scratch: Scratch) -> DataFrame:
+    """The table with the winners of its groups written; a left value that holds a large part of the rows doesn't load one
+    task (see plans.skew)."""
+    top = scratch.write(_tally(df, lhs, rhs), "tally")
+    hot = hot_keys(top, list(lhs), "__t", top.agg(F.sum("__t")).first()[0] or 0)
+    return apply_fix(df, _winners(top, lhs, kind), lhs, rhs, hot)
+
+
 def _with_flags(df: DataFrame) -> DataFrame:
     return df if VISITED in df.columns else df.withColumns({VISITED: F.lit(False), CHANGED: F.lit(False)})
 
 
-def apply_fix(df: DataFrame, fix: DataFrame, lhs: tuple[str, ...], rhs: str) -> DataFrame:
+def apply_fix(df: DataFrame, fix: DataFrame, lhs: tuple[str, ...], rhs: str, hot: DataFrame | None = None) -> DataFrame:
     """Write the winners (lhs.., __win); every row of a repaired group is visited, those with another value are changed."""
     cols = _with_flags(df).columns
-    j = _with_flags(df).join(fix, list(lhs), "left")
+    j = spread_join(_with_flags(df), fix, list(lhs), hot)
     hit = F.col("__win").isNotNull()
     return j.withColumns(
         {
@@ -73,44 +82,59 @@ def apply_fix(df: DataFrame, fix: DataFrame, lhs: tuple[str, ...], rhs: str) ->
     ).select(*cols)
 
 
+def _short(c: str) -> Column:
+    """A column as a key: null stays null, long strings become their SHA-256, so keys have a bounded width."""
+    text = F.col(c).cast("string")
+    return F.when(F.length(text) > 40, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
 def equivalence_classes(df: DataFrame, lefts: list[tuple[str, ...]], scratch: Scratch, label: str = CLASS) -> DataFrame:
     """The table with a column `label`: rows equal on all columns of some left side are in one class, through any chain.
 
     The label is the smallest number of a row of the class (numbers are given here). Nulls connect nothing; a row whose
-    left sides all have a null gets null.
+    left sides all have a null gets null. Long strings meet by their SHA-256. Left values and classes that hold a large
+    part of the rows don't load one task.
     """
     numbered = scratch.write(df.withColumn("__no", F.monotonically_increasing_id()), "rows")
-    ends = []
-    j = numbered
+    total, ends = numbered.count(), []
+    used = list(dict.fromkeys(c for lhs in lefts for c in lhs))
+    j = numbered.select("__no", *(_short(c).alias(f"__k{i}") for i, c in enumerate(used)))
     for i, lhs in enumerate(lefts):
-        low = numbered.filter(_present(lhs)).groupBy(*lhs).agg(F.min("__no").alias(f"__m{i}"))
-        j = j.join(low, list(lhs), "left")
+        keys = [f"__k{used.index(c)}" for c in lhs]
+        low = scratch.write(j.filter(_present(tuple(keys))).groupBy(*keys).agg(F.min("__no").alias(f"__m{i}"), F.count("*").alias("__n")), "left")
+        j = spread_join(j, low.drop("__n"), keys, hot_keys(low, keys, "__n", total))
         ends.append(f"__m{i}")
-    j = scratch.write(j.select(*df.columns, "__no", *ends), "ends")
+    j = scratch.write(j.select("__no", *ends), "ends")
     first = F.coalesce(*(F.col(e) for e in ends))
     edges = j.select(first.alias("src"), F.explode(F.array(*(F.col(e) for e in ends))).alias("dst")).dropna()
-    cc = connected_components(edges.distinct(), scratch)
-    return j.withColumn("__node", first).join(cc.toDF("__node", "__component"), "__node", "left").select(*df.columns, F.col("__component").alias(label))
+    cc = connected_components(edges.distinct(), scratch).toDF("__node", label)
+    j = j.select("__no", first.alias("__node"))
+    hot = hot_keys(j.groupBy("__node").agg(F.count("*").alias("n")), ["__node"], "n", total)
+    named = spread_join(j, cc, ["__node"], hot).drop("__node")
+    return numbered.join(named, "__no").select(*df.columns, label)
 
 
 def value_classes(df: DataFrame, x1: str, x2: str, scratch: Scratch, label: str = "eqclass") -> DataFrame:
     """The table with `label`: the smallest x1 value among all that share x2 values with it, through any chain.
 
-    Rows with a null x1 take the class of their x2 value if that has one, else null.
+    Rows with a null x1 take the class of their x2 value if that has one, else null. Only the different pairs are classed;
+    rows get the label back by their pair.
     """
-    c = equivalence_classes(df.select(x1, x2).distinct(), [(x1,), (x2,)], scratch)
-    c = scratch.write(c, "values")
-    name = c.groupBy(CLASS).agg(F.min(x1).alias(label))
-    m = c.join(name, CLASS).select(F.col(x1).alias("__a"), F.col(x2).alias("__b"), label)
-    on = F.col(x1).eqNullSafe(F.col("__a")) & F.col(x2).eqNullSafe(F.col("__b"))
-    return df.join(m, on, "left").select(*df.columns, label)
+    key = lambda c: F.coalesce(F.concat(F.lit("="), _short(c)), F.lit(""))  # noqa: E731 - null apart from empty
+    pairs = scratch.write(df.groupBy(x1, x2).agg(F.count("*").alias("__n")), "pairs")
+    c = scratch.write(equivalence_classes(pairs, [(x1,), (x2,)], scratch), "values")
+    sizes = scratch.write(c.groupBy(CLASS).agg(F.min(x1).alias(label), F.count("*").alias("__n")), "names")
+    named = spread_join(c.select(x1, x2, CLASS, F.col("__n").alias("__rows")), sizes.drop("__n"), [CLASS], hot_keys(sizes, [CLASS], "__n", c.count()))
+    named = scratch.write(named.select(key(x1).alias("__a"), key(x2).alias("__b"), "__rows", label), "named")
+    hot = hot_keys(named, ["__a", "__b"], "__rows", named.agg(F.sum("__rows")).first()[0] or 0)
+    out = spread_join(df.drop(label).withColumns({"__a": key(x1), "__b": key(x2)}), named.drop("__rows"), ["__a", "__b"], hot)
+    return out.select(*(c for c in df.columns if c != label), label)
 
 
 def repair_shared(df: DataFrame, rules: list[FD], scratch: Scratch, kind: str = "plurality") -> DataFrame:
     """One right side with several left sides: vote per equivalence class of rows."""
-    classed = equivalence_classes(_with_flags(df), [r.lhs for r in rules], scratch)
-    out = apply_fix(classed, _winners(classed, (CLASS,), rules[0].rhs, kind), (CLASS,), rules[0].rhs)
-    return out.drop(CLASS)
+    classed = scratch.write(equivalence_classes(_with_flags(df), [r.lhs for r in rules], scratch), "classed")
+    return _voted(classed, (CLASS,), rules[0].rhs, kind, scratch).drop(CLASS)
 
 
 def repair(df: DataFrame, rules: FD | FDSet, scratch: Scratch | None = None, kind: str = "plurality", shared: bool = True, flags: bool = False) -> RepairResult:
@@ -129,7 +153,7 @@ def repair(df: DataFrame, rules: FD | FDSet, scratch: Scratch | None = None, kin
             out = repair_shared(out, own, scratch, kind)
         else:
             for r in own:
-                out = apply_fix(out, _winners(out, r.lhs, r.rhs, kind), r.lhs, r.rhs)
+                out = _voted(out, r.lhs, r.rhs, kind, scratch)
         if i + 1 < len(order):
             out = scratch.write(out, f"repair{i}")
     cols = [*df.columns, *([VISITED, CHANGED] if flags else [])]

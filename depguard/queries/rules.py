@@ -10,7 +10,7 @@ from depguard.operators import dc, dd, fd, pod
 from depguard.operators.repair import CHANGED, VISITED, class_audit, equivalence_classes, repair, value_classes, vote
 from depguard.rules import parse_rule
 from depguard.session import Scratch, scratch_root
-from depguard.sources import read_csv_ints, read_text_with_header, write_repaired, write_report
+from depguard.sources import read_csv_ints, read_lines, read_text_with_header, write_repaired, write_report
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -59,7 +59,7 @@ def fd_rows_with_report(s, d):
     return fd.rows_with_report(t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), parse_rule(O_FD, "fd"))
 
 
-@query("fd_clean", "SELECT 0::BIGINT AS dirty, count(*) AS total, 'c_custkey->c_nationkey' AS rule FROM customer")
+@query("fd_clean", "SELECT (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1)) AS dirty, count(*) AS total, 'c_custkey->c_nationkey' AS rule FROM customer")
 def fd_clean(s, d):
     return fd.fd_report(t(s, d, "customer"), parse_rule("c_custkey->c_nationkey", "fd"))
 
@@ -204,35 +204,48 @@ def repair_cycle(s, d):
     return done.report().select(names, "total")
 
 
-#: Components by their smallest member, as SQL: labels spread over (x1, x2) pairs until they no longer change.
-_DOC_CLASS = "SELECT text, min(doc_id) AS eqclass FROM documents GROUP BY 1"
+def _classes_sql(table: str, key: str, cols: str, *values: str) -> str:
+    """CTEs ending in cls(key.., cols.., c): rows that share a value of any kind are in one class, named by its smallest
+    key, as SQL. Labels spread along (smaller label only) until they no longer change."""
+    kinds = " UNION ALL ".join(f"SELECT {key} AS k, '{i}' || ({v}) AS x FROM {table} WHERE ({v}) IS NOT NULL" for i, v in enumerate(values))
+    return f"""WITH RECURSIVE v AS ({kinds}), m AS (SELECT x, min(k) AS k FROM v GROUP BY 1),
+e AS (SELECT DISTINCT a.k AS p, b.k AS q FROM v x JOIN v y USING (k) JOIN m a ON a.x = x.x JOIN m b ON b.x = y.x WHERE a.k <> b.k),
+r(p, q) AS (SELECT DISTINCT k, k FROM m UNION SELECT e.q, r.q FROM r JOIN e ON e.p = r.p AND r.q < e.q), l AS (SELECT p, min(q) AS g FROM r GROUP BY 1),
+f AS (SELECT v.k, min(l.g) AS c FROM v JOIN m USING (x) JOIN l ON l.p = m.k GROUP BY 1), cls AS (SELECT t.{key}, {cols}, f.c FROM {table} t LEFT JOIN f ON f.k = t.{key})"""
 
 
-@query("eqclass", "SELECT d.doc_id, c.eqclass FROM documents d JOIN (SELECT text, min(doc_id) AS eqclass FROM documents GROUP BY 1) c ON c.text IS NOT DISTINCT FROM d.text")
+_EQ = _classes_sql("equivalence", "rec_id", "zip, city, state", "zip", "city")
+#: Classes by their smallest zip; records without one have the zip of their class, if any record of it has one.
+_NAMED = f"{_EQ}, named AS (SELECT c, min(zip) AS eqclass FROM cls GROUP BY 1), lab AS (SELECT cls.rec_id, cls.state, cls.c, named.eqclass FROM cls LEFT JOIN named USING (c))"
+
+
+@query("eqclass", f"{_NAMED} SELECT rec_id, eqclass FROM lab")
 def eqclass(s, d):
-    return value_classes(t(s, d, "documents").select("doc_id", "text"), "doc_id", "text", Scratch(s)).select("doc_id", "eqclass")
+    """Records whose zips share cities, through any chain: the smallest zip names the class."""
+    return value_classes(t(s, d, "equivalence").select("rec_id", "zip", "city"), "zip", "city", Scratch(s)).select("rec_id", "eqclass")
 
 
-@query("eqclass_audit", f"WITH c AS (SELECT d.lang, k.eqclass FROM documents d JOIN ({_DOC_CLASS}) k USING (text)), g AS (SELECT eqclass, lang, count(*) n FROM c GROUP BY 1, 2) SELECT eqclass, count(*) AS n_values, sum(n)::BIGINT AS n_rows FROM g GROUP BY 1 HAVING count(*) > 1")
+@query("eqclass_audit", f"{_NAMED}, g AS (SELECT eqclass, state, count(*) n FROM lab WHERE eqclass IS NOT NULL GROUP BY 1, 2) SELECT eqclass, count(*) AS n_values, sum(n)::BIGINT AS n_rows FROM g GROUP BY 1 HAVING count(*) > 1")
 def eqclass_audit(s, d):
-    df = t(s, d, "documents").select("doc_id", "text", "lang")
-    return class_audit(value_classes(df, "doc_id", "text", Scratch(s)), "lang")
+    """Classes whose records disagree on the state."""
+    return class_audit(value_classes(t(s, d, "equivalence").select("zip", "city", "state"), "zip", "city", Scratch(s)), "state")
+
+
+_FLAGS = "w.winner IS NOT NULL AS _visited, w.winner IS NOT NULL AND w.winner IS DISTINCT FROM {0} AS _changed FROM cls LEFT JOIN w ON w.c = cls.c"
 
 
-@query("eqclass_repair", f"WITH c AS MATERIALIZED (SELECT d.doc_id, d.source, k.eqclass FROM documents d JOIN ({_DOC_CLASS}) k USING (text)), f AS ({_vote_sql('c', 'eqclass', 'source')}) SELECT c.doc_id, coalesce(f.winner, c.source) AS source, f.winner IS NOT NULL AS _visited, f.winner IS NOT NULL AND f.winner IS DISTINCT FROM c.source AS _changed FROM c LEFT JOIN f USING (eqclass)")
+@query("eqclass_repair", f"{_EQ}, w AS ({_vote_sql('cls', 'c', 'state')}) SELECT rec_id, zip, city, coalesce(w.winner, state) AS state, {_FLAGS.format('state')}")
 def eqclass_repair(s, d):
-    df = t(s, d, "documents").select("doc_id", "text", "source")
-    return repair(df, parse_rule("doc_id->source;text->source", "fdset"), flags=True).df.drop("text")
+    df = t(s, d, "equivalence").select("rec_id", "zip", "city", "state")
+    return repair(df, parse_rule("zip->state;city->state", "fdset"), flags=True).df
 
 
-def _classes_sql(table: str, key: str, cols: str, *values: str) -> str:
-    """CTEs ending in cls(key.., cols.., c): rows that share a value of any kind are in one class, named by its smallest
-    key, as SQL. Labels spread along (smaller label only) until they no longer change."""
-    kinds = " UNION ALL ".join(f"SELECT {key} AS k, '{i}' || ({v}) AS x FROM {table} WHERE ({v}) IS NOT NULL" for i, v in enumerate(values))
-    return f"""WITH RECURSIVE v AS ({kinds}), m AS (SELECT x, min(k) AS k FROM v GROUP BY 1),
-e AS (SELECT DISTINCT a.k AS p, b.k AS q FROM v x JOIN v y USING (k) JOIN m a ON a.x = x.x JOIN m b ON b.x = y.x WHERE a.k <> b.k),
-r(p, q) AS (SELECT DISTINCT k, k FROM m UNION SELECT e.q, r.q FROM r JOIN e ON e.p = r.p AND r.q < e.q), l AS (SELECT p, min(q) AS g FROM r GROUP BY 1),
-f AS (SELECT v.k, min(l.g) AS c FROM v JOIN m USING (x) JOIN l ON l.p = m.k GROUP BY 1), cls AS (SELECT t.{key}, {cols}, f.c FROM {table} t LEFT JOIN f ON f.k = t.{key})"""
+@query("eqclass_three", f"{_classes_sql('addr', 'id', 'phone, zip, fname, salary, leve, state', 'phone', chr(39).join(['zip || ', '|', ' || fname']), chr(39).join(['salary::VARCHAR || ', '|', ' || leve || ', '|', ' || fname']))}, w AS ({_vote_sql('cls', 'c', 'state')}) SELECT id, coalesce(w.winner, state) AS state, {_FLAGS.format('state')}")
+def eqclass_three(s, d):
+    """Three left sides for one right side: records of a phone, of a zip and first name, or of a salary, level and first name."""
+    df = t(s, d, "addr").select("id", "phone", "zip", "fname", "salary", "leve", "state")
+    rules = parse_rule("phone->state;zip,fname->state;salary,leve,fname->state", "fdset")
+    return repair(df, rules, flags=True).df.select("id", "state", VISITED, CHANGED)
 
 
 @query("eqclass_composite", f"{_classes_sql('part', 'p_partkey', 'p_name, p_brand, p_retailprice, p_size', "p_name || '|' || p_brand", 'p_retailprice::VARCHAR')}, w AS ({_vote_sql('cls', 'c', 'p_size')}) SELECT p_partkey, p_name, p_brand, p_retailprice, coalesce(w.winner, p_size) AS p_size, w.winner IS NOT NULL AS _visited, w.winner IS NOT NULL AND w.winner IS DISTINCT FROM p_size AS _changed FROM cls LEFT JOIN w ON w.c = cls.c")
@@ -298,6 +311,15 @@ def dc_no_equality(s, d):
     return dc.pairs(t(s, d, "supplier"), parse_rule("A.s_acctbal>B.s_acctbal@A.s_nationkey<B.s_nationkey", "dc"), "s_suppkey").select("A_s_suppkey", "B_s_suppkey")
 
 
+_OD = "A.o_totalprice>B.o_totalprice@A.o_orderdate<B.o_orderdate"
+
+
+@query("dc_report_order", f"SELECT count(*) AS dirty, (SELECT (count(*)::HUGEINT * (count(*) - 1) // 2)::BIGINT FROM orders) AS total, count(*) AS ordered_pairs, '{_OD}' AS rule FROM orders a JOIN orders b ON a.o_totalprice > b.o_totalprice AND a.o_orderdate < b.o_orderdate")
+def dc_report_order(s, d):
+    """Only comparisons of order, over a whole table: a grid of ranges."""
+    return dc.dc_report(t(s, d, "orders"), parse_rule(_OD, "dc"))
+
+
 @query("dc_rows", f"SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey IN (SELECT a.s_suppkey {_S2_SQL} UNION SELECT b.s_suppkey {_S2_SQL})")
 def dc_rows(s, d):
     """The rows that take part in any violating pair."""
@@ -344,6 +366,12 @@ def dd_grid(s, d):
     return dd.dd_pairs(t(s, d, "supplier"), parse_rule("s_acctbal<500@s_nationkey<5", "dd"), "s_suppkey", strategy="grid").select("A_s_suppkey", "B_s_suppkey")
 
 
+@query("dd_far", "SELECT a.c_custkey AS A_c_custkey, b.c_custkey AS B_c_custkey FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) > 9000 AND abs(a.c_nationkey - b.c_nationkey) >= 10")
+def dd_far(s, d):
+    """A left distance without an upper bound: all pairs meet, in the cells of a grid."""
+    return dd.dd_pairs(t(s, d, "customer"), parse_rule("c_acctbal>9000@c_nationkey<10", "dd"), "c_custkey").select("A_c_custkey", "B_c_custkey")
+
+
 _POD = "(t.{0} > s.{0} AND t.{1} > s.{1} AND t.{2} <= s.{2})"
 
 
@@ -366,6 +394,12 @@ def pod_within_add(s, d):
     return pod.pod_incremental(t(s, d, "tax_base"), t(s, d, "tax_add"), parse_rule("[a1>][a2>]->[c>]", "pod"), "id", within_add=True)
 
 
+@query("pod_self", "SELECT t.id AS add_id, s.id AS base_id, CASE WHEN t.a1 > s.a1 THEN 1 ELSE -1 END AS direction FROM tax_add t JOIN tax_add s ON t.id <> s.id AND ((t.a1 > s.a1 AND t.a2 > s.a2 AND t.c <= s.c) OR (t.a1 < s.a1 AND t.a2 < s.a2 AND t.c >= s.c))")
+def pod_self(s, d):
+    """A table against itself."""
+    return detect(t(s, d, "tax_add"), parse_rule("[a1>][a2>]->[c>]", "pod"), "id", "pairs")
+
+
 @query("pod_representatives", "SELECT id, min(id) OVER (PARTITION BY a1, a2, c) AS rep FROM tax_base")
 def pod_representatives(s, d):
     return pod.representatives(t(s, d, "tax_base"), ["a1", "a2", "c"], "id")
@@ -381,6 +415,14 @@ def wordcount(s, d):
     return word_count(t(s, d, "documents"), "text")
 
 
+@query("wordcount_lines", "SELECT word, count(*) AS count FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1")
+def wordcount_lines(s, d):
+    """The same on a source of text lines."""
+    path = f"{Scratch(s).root}/part-lines"
+    t(s, d, "part").select(F.col("p_name").alias("value")).write.text(path)
+    return word_count(read_lines(s, path), "value")
+
+
 @query("text_source_roundtrip", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def text_source_roundtrip(s, d):
     path = f"{Scratch(s).root}/nation-text"

@@ -64,16 +64,18 @@ def order_join(a: DataFrame, b: DataFrame, x: str, op: str, y: str, key_a: str,
     cuts = a.select(F.col(x).cast("double").alias("v")).approxQuantile("v", [i / side for i in range(1, side)], 0.2 / side) if side > 1 else []
     of = F.array(*map(F.lit, sorted(cuts))) if cuts else None
 
-    def stripe(c: str, key: str) -> Column:
+    def stripes(df: DataFrame, c: str, key: str, own: str) -> DataFrame:
+        """own: the range of a value; _low and _high: the first and the last one it could have been put in."""
         if of is None:
-            return F.lit(0)
+            return df.withColumns({own: F.lit(0), "_low": F.lit(0), "_high": F.lit(0)})
         v = F.col(c).cast("double")
-        low, high = F.size(F.filter(of, lambda q: q < v)), F.size(F.filter(of, lambda q: q <= v))
-        return (low + F.pmod(F.xxhash64(key), high - low + 1)).cast("int")
+        df = df.withColumns({"_low": F.size(F.filter(of, lambda q: q < v)), "_high": F.size(F.filter(of, lambda q: q <= v))})
+        return df.withColumn(own, (F.col("_low") + F.pmod(F.xxhash64(key), F.col("_high") - F.col("_low") + 1)).cast("int"))
 
-    last = F.lit(len(cuts))
-    left, right = a.withColumn("_r", stripe(x, key_a)), b.withColumn("_k", stripe(y, key_b))
+    zero, last, low, high = F.lit(0), F.lit(len(cuts)), F.col("_low"), F.col("_high")
+    left, right = stripes(a, x, key_a, "_r"), stripes(b, y, key_b, "_k")
+    # Equal values may lie in different ranges of those they fill: they meet by the widest of these.
     down = op in (">", ">=")
-    left = left.withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_r")) if down else F.sequence(F.col("_r"), last)))
-    right = right.withColumn("_q", F.explode(F.sequence(F.col("_k"), last) if down else F.sequence(F.lit(0), F.col("_k"))))
+    left = left.withColumn("_c", F.explode(F.sequence(zero, high) if down else F.sequence(low, last))).drop("_low", "_high")
+    right = right.withColumn("_q", F.explode(F.sequence(low, last) if down else F.sequence(zero, high))).drop("_low", "_high")
     return left.join(right, (F.col("_r") == F.col("_q")) & (F.col("_c") == F.col("_k")) & on, how).drop("_r", "_c", "_k", "_q")

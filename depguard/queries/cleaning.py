@@ -87,24 +87,24 @@ _FILLS = """SELECT row_id, 'city' AS field, fill_value FROM m JOIN (SELECT zip,
 UNION ALL SELECT row_id, 'zip', fill_value FROM m JOIN (SELECT city, state, first(zip ORDER BY n DESC, zip) AS fill_value FROM (SELECT city, state, zip, count(*) n FROM m WHERE rz AND rc AND state IS NOT NULL GROUP BY ALL) GROUP BY 1, 2) USING (city, state) WHERE rc AND NOT rz"""
 
 
-def _hospital(s, d):
-    """City, zip, state and score of the reports by one chained run. City and zip follow what zip, or city and state, say;
+def _hospital(s, d, score):
+    """City, zip, state and, if asked for, score of the reports by one chained run (no other field depends on the score). City and zip follow what zip, or city and state, say;
     where those don't decide they are drawn from what the hospital's other reports have. The state is drawn from the
     city's; scores come from a regression with its residual variation."""
     h = t(s, d, "hospital").withColumn("score", F.col("score").try_cast("double"))
     real = {"city": real_name(F.col("city")), "zip": real_code(F.col("zip"))}
     eqs = [Category("city", (("zip",), ("hname",)), draw=(1,)), Category("zip", (("city", "state"), ("hname",)), draw=(1,)), Category("state", (("city",), ("zip",)), draw=True), Number("score", ("measure", "state"))]
-    return chained_imputation(h, "row_id", eqs, real, Scratch(s), rounds=2)
+    return chained_imputation(h, "row_id", eqs if score else eqs[:3], real, Scratch(s), rounds=2)
 
 
 @query("p6_found", f"{_HOSPITAL} {_FILLS}")
 def p6_found(s, d):
     """Of the chained run, the cities and zips that observed values of zip, or of city and state, decided."""
     rows = F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(f"{f}_by") == by, F.col(f)).alias("fill_value")) for f, by in (("city", "zip"), ("zip", "city,state"))))
-    return _hospital(s, d).filter("city_filled or zip_filled").select("row_id", F.inline(rows)).filter("fill_value is not null")
+    return _hospital(s, d, False).filter("city_filled or zip_filled").select("row_id", F.inline(rows)).filter("fill_value is not null")
 
 
 @query("p6_table")
 def p6_table(s, d):
     """Every report with its gaps filled and marked, and by what each was filled."""
-    return _hospital(s, d).drop("city_missing", "zip_missing", "state_missing", "score_missing")
+    return _hospital(s, d, True).drop("city_missing", "zip_missing", "state_missing", "score_missing")

@@ -54,7 +54,16 @@ class Scratch:
         if path := getattr(df, "_scratch_path", None):
             _delete(self.spark, path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def close(self) -> None:
+        """Deletes all tables. Results that read them must have been written or collected; `with Scratch(spark) as s:` does
+        this at the end of a block, else it is done when the process ends."""
+        atexit.unregister(self.close)
         try:
             _delete(self.spark, self.root)
         except Exception:  # the session may have ended first; the folder is the cluster's to clean then

@@ -76,7 +76,7 @@ def p5_found(s, d):
     return record_groups(t(s, d, "equivalence"), "rec_id", ["zip", "city"], Scratch(s))
 
 
-@query("p5_sizes")
+@query("p5_sizes", f"SELECT group_id, count(*) AS records FROM ({_P5}) GROUP BY 1")
 def p5_sizes(s, d):
     """Every group with its size, the largest first."""
     g = record_groups(t(s, d, "equivalence"), "rec_id", ["zip", "city"], Scratch(s))

@@ -11,6 +11,7 @@ from depguard.plans.pairs import COMPARE, bucket_join, grid_join, sides
 from depguard.report import as_count, pairs_of, wide
 from depguard.rules import DD, Dist
 from depguard.rules.model import NEGATE
+from depguard.session import Scratch
 
 
 def _distance(d: Dist, negate: bool = False) -> Column:
@@ -47,7 +48,7 @@ def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strat
     if len(bounded) > 1:
         spread = df.agg(*(F.coalesce((F.max(d.column) - F.min(d.column)).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, d in enumerate(bounded))).first()
         best = min(enumerate(bounded), key=lambda x: x[1].bound / (spread[x[0]] or 1e-300))[1]
-    return bucket_join(a, b, f"A_{best.column}", f"B_{best.column}", best.bound, on)
+    return bucket_join(a, b, f"A_{best.column}", f"B_{best.column}", best.bound, f"A_{key}", on, Scratch(df.sparkSession))
 
 
 def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int | None = None) -> DataFrame:
@@ -68,7 +69,7 @@ def dd_report(df: DataFrame, dd: DD, key: str | None = None, strategy: str = "au
     as the product of their weights. Within a class all distances are 0. `exact`: decimals, beyond 2^63-1 too.
     """
     cols = _columns(dd)
-    classes = _numbers(df, cols, None).groupBy(*cols).agg(F.count("*").alias("__w")).withColumn("__k", F.struct(*cols))
+    classes = Scratch(df.sparkSession).write(_numbers(df, cols, None).groupBy(*cols).agg(F.count("*").alias("__w")), "classes").withColumn("__k", F.struct(*cols))
     met = _meet(classes, [*cols, "__w", "__k"], dd, "__k", F.col("A___k") < F.col("B___k"), strategy, grid)
     at_zero = lambda d, negate: COMPARE[NEGATE[d.op] if negate else d.op](F.col(d.column) - F.col(d.column), F.lit(d.bound))
     zero, bad = F.lit(True), F.lit(False)

@@ -10,6 +10,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from depguard.plans.skew import fragment_join, hot_cuts
+from depguard.session import Scratch
+
 COMPARE = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
@@ -21,16 +24,22 @@ def sides(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     return df.select(*(F.col(c).alias(f"A_{c}") for c in cols)), df.select(*(F.col(c).alias(f"B_{c}") for c in cols))
 
 
-def bucket_join(a: DataFrame, b: DataFrame, x: str, y: str, width: float, on: Column) -> DataFrame:
+def bucket_join(a: DataFrame, b: DataFrame, x: str, y: str, width: float, key_a: str, on: Column, scratch: Scratch) -> DataFrame:
     """Pairs with |x - y| <= width, and `on`. x is of a, y of b.
 
-    Buckets are wider than the bound by a billionth, so rounding never loses a pair; `on` decides exactly.
+    Buckets are wider than the bound by a billionth, so rounding never loses a pair; `on` decides exactly. Buckets that make
+    a large part of the comparisons are cut into pieces by load.
     """
     w = F.lit(float(width) * (1 + 1e-9) if width > 0 else 1.0)
     bucket = lambda c: F.floor(F.col(c).cast("double") / w)
+    near = lambda c: F.explode(F.sequence(c - 1, c + 1))
     left = a.filter(F.col(x).isNotNull()).withColumn("_bk", bucket(x))
-    right = b.filter(F.col(y).isNotNull()).withColumn("_bk", F.explode(F.sequence(bucket(y) - 1, bucket(y) + 1)))
-    return left.join(right, (left["_bk"] == right["_bk"]) & on).drop("_bk")
+    right = b.filter(F.col(y).isNotNull()).withColumn("_bk", near(bucket(y)))
+    met = b.filter(F.col(y).isNotNull()).groupBy(bucket(y).alias("_at")).agg(F.count("*").alias("_n")).select(near(F.col("_at")).alias("_bk"), "_n")
+    loads = left.groupBy("_bk").agg(F.count("*").cast("double").alias("_m")).join(met.groupBy("_bk").agg(F.sum("_n").alias("_n")), "_bk")
+    loads = scratch.write(loads.select("_bk", (F.col("_m") * F.col("_n")).alias("_load")), "loads")
+    cuts = hot_cuts(loads, ["_bk"], "_load", loads.agg(F.sum("_load")).first()[0] or 0)
+    return fragment_join(left, right, ["_bk"], cuts, F.xxhash64(key_a), on).drop("_bk")
 
 
 #: Rows of each side that meet in a cell of a grid, about.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depguard.api import detect
-from depguard.operators import dc, fd
+from depguard.operators import dc, dd, fd
 from depguard.operators.repair import repair
 from depguard.plans.pairs import grid_side, order_join, sides
 from depguard.plans.skew import HOT_PARTS, fragment_join, hot_cuts, hot_keys, hot_parts, spread_join
@@ -66,6 +66,12 @@ def test_pairs_are_even(spark, plain_shuffles, scratch):
     assert sum(n) == sum(loads(pairs)) and max(n) < 3 * median(n) and len(n) == 16
 
 
+def test_near_pairs_are_even(spark, plain_shuffles):
+    df = spark.range(3000).select("id", F.when(F.col("id") < 900, 5.0).otherwise(F.col("id") * 3.0).alias("x"), (F.col("id") % 50).cast("double").alias("y"))
+    n = loads(dd.dd_pairs(df, parse_rule("x<2@y<25", "dd"), "id"))
+    assert sum(n) == dd.dd_report(df, parse_rule("x<2@y<25", "dd")).first().dirty > 90_000 and max(n) < 3 * median(n) and len(n) == 16
+
+
 def test_rows_and_repairs_of_a_hot_value(spark, scratch):
     df, rule = skewed(spark, 6000), parse_rule("k->v", "fd")
     assert detect(df, rule, output="rows").count() == fd.fd_report(df, rule).first().dirty

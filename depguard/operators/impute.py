@@ -101,13 +101,15 @@ class _Chain:
     """The state of a run. Fields have numbers: v3 is the value of field 3, m3 says that it was missing at first, r3 how
     it was filled (the number of the set of predictors, plus the number of sets if filled values took part); k is the key."""
 
-    def __init__(self, base: DataFrame, used: list[str], scratch: Scratch):
+    def __init__(self, base: DataFrame, used: list[str], equations: list, scratch: Scratch):
         self.at, self.scratch = {f: i for i, f in enumerate(used)}, scratch
         n = range(len(used))
         self.base, self.rows = base, base.count()
         self.whole = _all([F.col(f"v{i}").isNotNull() for i in n])
         self.open = scratch.write(base.filter(~self.whole).select("k", *(f"v{i}" for i in n), *(F.col(f"v{i}").isNull().alias(f"m{i}") for i in n), *(F.lit(None).cast("int").alias(f"r{i}") for i in n)), "open")
         self.fits: dict = {}
+        self.sets = [(e, i) for e in equations if isinstance(e, Category) for i in range(len(e.sets))]
+        self.counts = self.counted() if self.sets else None
         self.done: set[str] = set()
 
     def v(self, fields) -> list[str]:
@@ -138,12 +140,26 @@ class _Chain:
         steps = F.sequence(F.floor(F.col("_lo") * 64).cast("int"), F.least(F.lit(63), F.floor(F.col("_hi") * 64)).cast("int"))
         return shares.withColumn("_step", F.explode(steps))
 
+    def counted(self) -> DataFrame:
+        """s, k0.., v, n: for each set of predictors (by its number) the records by value of the predictors, all known, and of
+        the field. One scan counts for all sets; values are kept as text there."""
+        width = max(len(e.sets[i]) for e, i in self.sets)
+        text = lambda c: F.col(c).cast("string")
+        each = []
+        for s, (e, i) in enumerate(self.sets):
+            by = self.v(e.sets[i])
+            row = [F.lit(s).alias("s"), *((text(by[j]) if j < len(by) else F.lit(None).cast("string")).alias(f"k{j}") for j in range(width)), text(f"v{self.at[e.field]}").alias("v")]
+            each.append(F.when(self.known(e.sets[i]), F.struct(*row)))
+        rows = self.base.select(F.inline(F.array_compact(F.array(*each))))
+        return self.scratch.write(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "counts")
+
     def fit(self, e: Category, i: int) -> tuple[DataFrame, DataFrame | None]:
         """Predictions from the records whose value and predictors are all observed, and the hot combinations of predictors
         (see plans.skew), of all records that have one; both are the same in every round."""
         if (e, i) not in self.fits:
             by, v = self.v(e.sets[i]), f"v{self.at[e.field]}"
-            counts = self.base.filter(self.known(e.sets[i])).groupBy(*by, v).agg(F.count("*").alias("n"))
+            kind, own = dict(self.base.dtypes), self.counts.filter(F.col("s") == self.sets.index((e, i)))
+            counts = own.select(*(F.col(f"k{j}").cast(kind[c]).alias(c) for j, c in enumerate(by)), F.col("v").cast(kind[v]).alias(v), "n")
             table = self.scratch.write(self.predictions(counts, by, v, e.draws(i)), "fit")
             # A draw is met by combination and step: a hot combination is spread over its steps as it is.
             hot = None if e.draws(i) else hot_keys(table, by, "n", self.rows)
@@ -253,7 +269,7 @@ def chained_imputation(df: DataFrame, key: str, equations: list, real: dict[str,
     numbers = {e.field for e in equations if isinstance(e, Number)}
     ok = {f: F.coalesce(real[f], F.lit(False)) if f in real else F.col(f).isNotNull() for f in used}
     value = {f: F.when(ok[f], F.col(f).cast("double") if f in numbers else F.col(f)) for f in used}
-    chain = _Chain(df.select(F.col(key).alias("k"), *(value[f].alias(f"v{i}") for i, f in enumerate(used))), used, scratch)
+    chain = _Chain(df.select(F.col(key).alias("k"), *(value[f].alias(f"v{i}") for i, f in enumerate(used))), used, equations, scratch)
     for _ in range(rounds):
         for e in equations:
             (chain.fill_number if isinstance(e, Number) else chain.fill_category)(e, "draw")

@@ -298,16 +298,14 @@ class Places:
 
 #: Most reference rows in one shard, and about how many typed pairs one task looks up.
 SHARD_ROWS, SPLIT_ROWS = 100_000, 20_000
-_built: dict[int, Places] = {}
+_built: list[tuple[tuple, Places]] = []
 
 
 def _places(rows: list[tuple], regions: list[tuple]) -> Places:
     """The trees of a shard, built once a worker for as long as it is asked for the same one."""
-    mark = hash((tuple(rows), tuple(regions)))
-    if mark not in _built:
-        _built.clear()
-        _built[mark] = Places(rows, regions)
-    return _built[mark]
+    if not _built or _built[0][0] != (rows, regions):
+        _built[:] = [((rows, regions), Places(rows, regions))]
+    return _built[0][1]
 
 
 def _look(typed: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:

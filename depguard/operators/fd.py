@@ -36,9 +36,9 @@ def groups(df: DataFrame, fd: FD) -> DataFrame:
 
 
 def _sizes(df: DataFrame, fd: FD, scratch: Scratch) -> DataFrame:
-    """lhs.., n_values, n_rows of every left value, written: what tells violating from clean and hot from other values."""
+    """lhs.., __values, __rows of every left value, written: what tells violating from clean and hot from other values."""
     g = value_counts(df.filter(_present(fd.lhs)), fd.lhs, fd.rhs).groupBy(*fd.lhs)
-    return scratch.write(g.agg(F.count("*").alias("n_values"), F.sum("__n").alias("n_rows")), "sizes")
+    return scratch.write(g.agg(F.count("*").alias("__values"), F.sum("__n").alias("__rows")), "sizes")
 
 
 def rows(df: DataFrame, fd: FD, scratch: Scratch | None = None) -> DataFrame:
@@ -46,8 +46,8 @@ def rows(df: DataFrame, fd: FD, scratch: Scratch | None = None) -> DataFrame:
     (see plans.skew), be it violating or not."""
     lhs = list(fd.lhs)
     g = _sizes(df, fd, scratch or Scratch(df.sparkSession))
-    hot = hot_keys(g, lhs, "n_rows", g.agg(F.sum("n_rows")).first()[0] or 0)
-    return hot_join(df, g.filter("n_values > 1").select(*lhs), lhs, hot, "left_semi").select(*df.columns)
+    hot = hot_keys(g, lhs, "__rows", g.agg(F.sum("__rows")).first()[0] or 0)
+    return hot_join(df, g.filter("__values > 1").select(*lhs), lhs, hot, "left_semi").select(*df.columns)
 
 
 def fd_report(df: DataFrame, fd: FD) -> DataFrame:
@@ -96,10 +96,10 @@ def mfd_pairs(df: DataFrame, rule: MFD, key: str, scratch: Scratch | None = None
     """
     cols = list(dict.fromkeys([key, *rule.lhs, rule.rhs]))
     present, lhs = df.select(*cols).filter(F.col(rule.rhs).isNotNull()), list(rule.lhs)
-    g = _sizes(present, FD(rule.lhs, rule.rhs), scratch or Scratch(df.sparkSession)).withColumn("__load", F.col("n_rows").cast("double") * F.col("n_rows"))
-    n = g.agg(F.sum("n_rows")).first()[0] or 0
-    bad = g.filter("n_values > 1")
-    part = hot_join(present, bad.select(*lhs), lhs, hot_keys(g, lhs, "n_rows", n), "left_semi")
+    g = _sizes(present, FD(rule.lhs, rule.rhs), scratch or Scratch(df.sparkSession)).withColumn("__load", F.col("__rows").cast("double") * F.col("__rows"))
+    n = g.agg(F.sum("__rows")).first()[0] or 0
+    bad = g.filter("__values > 1")
+    part = hot_join(present, bad.select(*lhs), lhs, hot_keys(g, lhs, "__rows", n), "left_semi")
     keys = {c: f"__on{i}" for i, c in enumerate(lhs)}
     cuts = hot_cuts(bad.withColumnsRenamed(keys), list(keys.values()), "__load", bad.agg(F.sum("__load")).first()[0] or 0)
     a, b = (part.select(*(F.col(c).alias(k) for c, k in keys.items()), *(F.col(c).alias(f"{side}_{c}") for c in cols)) for side in "AB")

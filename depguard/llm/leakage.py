@@ -94,21 +94,25 @@ def _id(word: str) -> int:
 
 
 class Filter:
-    """A set of 64-bit hashes as bits: says yes to all its members and to a few others."""
+    """A set of 64-bit hashes as bits, two for each: says yes to all its members and to a few others."""
 
     def __init__(self, table: DataFrame, h: str, most: int):
         """From the distinct column `h` of a table. The number of bits follows its rows up to `most`, so what is collected
         and broadcast has that bound; beyond it the filter lets more through, which costs time and no result."""
         n = table.count()
         self.bits = min(most, max(1 << 10, 1 << (16 * n).bit_length()))
-        lots = table.selectExpr(f"shiftright({h} & {self.bits - 1}L, 6) AS w", f"shiftleft(1L, CAST({h} & 63L AS INT)) AS b")
+        bits = table.selectExpr(f"explode(array({h} & {self.bits - 1}L, shiftrightunsigned({h}, 37) & {self.bits - 1}L)) AS i")
+        lots = bits.selectExpr("shiftright(i, 6) AS w", "shiftleft(1L, CAST(i & 63L AS INT)) AS b")
         got = lots.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
         self.lots = np.zeros(self.bits >> 6, dtype=np.uint64)
         self.lots[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64).view(np.uint64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        bit = h & np.uint64(self.bits - 1)
-        return (self.lots[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        a, b = self._bit(h & np.uint64(self.bits - 1)), self._bit(h >> np.uint64(37) & np.uint64(self.bits - 1))
+        return (a & b).astype(bool)
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return self.lots[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
 
 
 class WordIds(dict):

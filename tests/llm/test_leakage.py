@@ -94,3 +94,12 @@ def test_signatures_miss_no_contained_passage():
         inside = np.stack([leakage.shingles(r[a : a + PASSAGE]) for r, a in zip(ids, at)])
         a, b = leakage.signatures(sets, k), leakage.signatures(inside, leakage.functions_for(16))[:, :k]
         assert (a == b).any(axis=1).mean() >= 0.9995
+
+
+def test_filter(spark):
+    rng = np.random.default_rng(3)
+    own, other = (rng.integers(-(1 << 63), (1 << 63) - 1, 3000) for _ in "ab")
+    f = leakage.Filter(spark.createDataFrame([(int(x),) for x in own], "h bigint"), "h", leakage.SIGNATURE_BITS)
+    assert f.has(own.view(np.uint64)).all() and f.has(other.view(np.uint64)).mean() < 0.02
+    full = leakage.Filter(spark.createDataFrame([(int(x),) for x in own], "h bigint"), "h", 1 << 10)  # too small: it lets more through
+    assert full.has(own.view(np.uint64)).all() and full.bits == 1 << 10

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from depguard.plans.skew import hot_keys, spread_join
 from depguard.session import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
+#: Graphs of at most so many edges are done by one task: a bounded piece of work.
+ONE_TASK_EDGES = 200_000
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """node, component of a graph (u, v) of at most ONE_TASK_EDGES edges: labels hook to smaller ones and are shortened."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [b for b in batches if len(b)]
+        if not got:
+            return
+        u, v = (np.concatenate([b[c].to_numpy() for b in got]) for c in "uv")
+        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label, a, b = np.arange(len(nodes)), ends[: len(u)], ends[len(u) :]
+        while len(a):
+            x, y = label[a], label[b]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+        yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+    return edges.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 64, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """node, component (the smallest node of it) for the edges (src, dst) of one orderable type.
 
     Alternates large-star and small-star steps; each halves what is left of long chains and shortens hubs to stars. A
-    round is written to the shared folder; the loop ends when two sums over the edges no longer change. Self loops are
-    allowed and keep lone nodes.
+    round is written to the shared folder; the loop ends when two sums over the edges no longer change. Graphs of at most
+    `one_task` edges are done by one task, with the same result. Self loops are allowed and keep lone nodes.
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("node"))
     now = scratch.write(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")

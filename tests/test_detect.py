@@ -161,10 +161,13 @@ def test_components_of_chains_and_hubs(spark, scratch):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (301, 300), (300, 302)]
     rng.shuffle(edges)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"), scratch).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 300, 301: 300, 302: 300}
-    assert got == want
+    for one_task in (0, 1000):
+        got = [tuple(r) for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint"), scratch, one_task=one_task).collect()]
+        assert dict(got) == want and len(got) == len(want)
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint"), scratch).count() == 0
+    words = connected_components(spark.createDataFrame([("b", "a"), ("b", "c"), ("z", "z")], "src string, dst string"), scratch)
+    assert sorted(map(tuple, words.collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")]
 
 
 def test_empty_tables(addr, scratch):

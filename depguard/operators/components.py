@@ -48,7 +48,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 64, o
     """
     loops = edges.filter("src = dst").select(F.col("src").alias("node"))
     now = scratch.write(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
+    if now.count() <= one_task:
+        linked = scratch.write(_in_one_task(now), "cc")
+        return linked.union(loops.distinct().join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
     seen = None
+
     def lowest(pairs: DataFrame, low) -> tuple[DataFrame, DataFrame]:
         """The lowest neighbour of each node, and the pairs with it; hubs don't load one task."""
         least = scratch.write(pairs.groupBy("u").agg(low.alias("m"), F.count("*").alias("n")), "low")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from depguard.plans.dominance import count_ordered
 from depguard.plans.pairs import COMPARE, grid_join, order_join, sides
 from depguard.plans.skew import fragment_join, hot_cuts
 from depguard.report import as_count, clamped, pairs_of, wide
@@ -113,6 +114,28 @@ def _meet(a: DataFrame, b: DataFrame, preds: list[Pred], on: Column, key_a: str,
     return grid_join(a, b, key_a, key_b, grid, on)
 
 
+def _only_order(preds: list[Pred]) -> list[Pred] | None:
+    """The predicates on two tuples, if they are one or two comparisons of order, each of a column with itself."""
+    double = [p for p in preds if len(p.aliases) == 2]
+    return double if 1 <= len(double) <= 2 and all(p.op[0] in "<>" and p.left.column == p.right.column for p in double) else None
+
+
+def _ordered(classes: DataFrame, preds: list[Pred], order: list[Pred], numeric: frozenset, self_pairs: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """o and u of pairs of rows that differ in a compared column, and of pairs that are equal in all of them."""
+    value = lambda p: F.col(p.left.column).try_cast("double") if p.left.column in numeric else F.col(p.left.column)
+    of = lambda *sides: F.when(_all([p for p in preds if len(p.aliases) == 1 and p.aliases <= {*sides}], {"A": "", "B": ""}, numeric), F.col("__w")).otherwise(0)
+    points = classes.select(value(order[0]).alias("__x"), value(order[-1]).alias("__y"), of("A").alias("__wa"), of("B").alias("__wb"), of("A", "B").alias("__wab"))
+    points = points.filter("__x IS NOT NULL AND __y IS NOT NULL AND (__wa > 0 OR __wb > 0)")
+    if {*classes.columns} != {*(p.left.column for p in order), "__w", "__k"} or numeric:
+        points = points.groupBy("__x", "__y").agg(*(F.sum(c).alias(c) for c in ("__wa", "__wb", "__wab")))
+        points = scratch.write(points, "points")
+    # Of two such rows only one can be ahead in a compared column, so no pair violates both ways round.
+    met = count_ordered(points, order[0].op, order[-1].op, scratch).select(F.col("n").alias("o"), F.col("n").alias("u"))
+    both, ab = wide(F.col("__wa")) * wide(F.col("__wb")), wide(F.col("__wab"))
+    same = points.filter(F.lit(all("=" in p.op for p in order))).select((both - (0 if self_pairs else ab)).alias("o"), (both - ab - pairs_of(F.col("__wab"))).alias("u"))
+    return met, same
+
+
 def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False, both_sides: bool = False, self_pairs: bool = False, grid: int | None = None, numeric: frozenset = frozenset(), exact: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """dirty, total, ordered_pairs, rule.
 
@@ -121,7 +144,9 @@ def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False
 
     No pair of rows is formed: rows equal on the rule's columns are one class with a weight, classes are joined, and a
     pair of classes counts as the product of their weights. A pair that violates both ways round is counted once, from
-    its smaller side. Counts beyond 2^63-1 fail, unless `exact` asks for decimals.
+    its smaller side. Where one or two comparisons of order are all that joins the tuples, classes aren't joined either:
+    their pairs are counted as inversions (`plans/dominance.py`). Counts beyond 2^63-1 fail, unless `exact` asks for
+    decimals.
     """
     rule = F.lit(str(dc)).alias("rule")
     total = df.agg(F.count("*").alias("n"))
@@ -132,11 +157,14 @@ def dc_report(df: DataFrame, dc: DC, key: str | None = None, clamp: bool = False
     scratch = scratch or Scratch(df.sparkSession)
     classes = scratch.write(df.groupBy(*cols).agg(F.count("*").alias("__w")), "classes").withColumn("__k", F.struct(*cols))
     a, b = sides(classes, [*cols, "__w", "__k"])
-    met = _meet(a, b, preds, F.col("A___k") != F.col("B___k"), "A___k", "B___k", grid, numeric, scratch)
-    product = wide(F.col("A___w")) * wide(F.col("B___w"))
-    back = F.coalesce(_all(preds, SWAPPED, numeric), F.lit(False))
-    met = met.select(product.alias("o"), F.when((F.col("A___k") < F.col("B___k")) | ~back, product).alias("u"))
-    same = classes.filter(_all(preds, {"A": "", "B": ""}, numeric)).select((wide(F.col("__w")) * (wide(F.col("__w")) - (0 if self_pairs else 1))).alias("o"), pairs_of(F.col("__w")).alias("u"))
+    if order := _only_order(preds):
+        met, same = _ordered(classes, preds, order, numeric, self_pairs, scratch)
+    else:
+        met = _meet(a, b, preds, F.col("A___k") != F.col("B___k"), "A___k", "B___k", grid, numeric, scratch)
+        product = wide(F.col("A___w")) * wide(F.col("B___w"))
+        back = F.coalesce(_all(preds, SWAPPED, numeric), F.lit(False))
+        met = met.select(product.alias("o"), F.when((F.col("A___k") < F.col("B___k")) | ~back, product).alias("u"))
+        same = classes.filter(_all(preds, {"A": "", "B": ""}, numeric)).select((wide(F.col("__w")) * (wide(F.col("__w")) - (0 if self_pairs else 1))).alias("o"), pairs_of(F.col("__w")).alias("u"))
     j = met.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")).unionByName(same.select(F.col("o").cast("decimal(38,0)"), F.col("u").cast("decimal(38,0)")))
     j = j.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("u"), F.coalesce(F.sum("o"), F.lit(0)).alias("o")).join(F.broadcast(total))
     if clamp:

@@ -1,14 +1,17 @@
 """How rows are spread: one value with a third of all rows, one just under the limit of hot values."""
 
 import random
+import re
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from depguard.api import detect
 from depguard.operators import dc, dd, fd
 from depguard.operators.repair import repair
+from depguard.plans.dominance import count_ordered, inversions
 from depguard.plans.pairs import grid_side, order_join, sides
 from depguard.plans.skew import HOT_PARTS, fragment_join, hot_cuts, hot_keys, hot_parts, spread_join
 from depguard.report import as_count
@@ -125,3 +128,51 @@ def test_counts_beyond_bigint(spark):
         big.select(as_count(F.col("n"))).collect()
     df = spark.createDataFrame([(1, 1), (1, 2)], "x int, y int")
     assert dict(detect(df, parse_rule("x@y", "mfd"), exact=True).dtypes)["dirty"] == "decimal(38,0)" and detect(df, parse_rule("x@y", "mfd"), exact=True).first().dirty == 1
+
+
+def test_inversions():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 17, 64, 300):
+        keys, wa, wb = ([rng.randrange(top) for _ in range(n)] for top in (max(n, 1), 4, 4))
+        want = sum(wa[p] * wb[q] for q in range(n) for p in range(q) if keys[p] > keys[q])
+        assert inversions(*(np.array(x, np.int64) for x in (keys, wa, wb))) == want
+    assert inversions(np.array([3, 1, 2]), *[np.array([2**62, 2**61, 2**61])] * 2) == 2**62 * 2**62
+
+
+@pytest.mark.parametrize("ops", ["><", "<=>", ">=>="])
+def test_ordered_pairs_are_counted(spark, scratch, ops):
+    x, y = re.findall("[<>]=?", ops)
+    test = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    rng = random.Random(ops)
+    data = [(rng.choice([None, *range(9)]), rng.choice([None, float("inf"), *range(40)]), rng.choice(["1", "2.0", "2", "x"])) for _ in range(220)]
+    df = spark.createDataFrame([(a, b if b is None else float(b), c) for a, b, c in data], "x int, y double, z string")
+    ok = lambda s, t: None not in (s[0], s[1], t[0], t[1]) and test[x](s[0], t[0]) and test[y](s[1], t[1])
+    for more, own in (("", lambda s, t: True), ("@A.y>5@B.y<30", lambda s, t: s[1] > 5 and t[1] < 30)):
+        bad = lambda s, t: ok(s, t) and own(s, t)  # noqa: B023, E731
+        ordered = sum(bad(s, t) for i, s in enumerate(data) for j, t in enumerate(data) if i != j)
+        either = sum(bad(s, t) or bad(t, s) for i, s in enumerate(data) for t in data[:i])
+        rule, itself = parse_rule(f"A.x{x}B.x@A.y{y}B.y{more}", "dc"), sum(bad(s, s) for s in data)
+        assert tuple(dc.dc_report(df, rule).first())[:3] == (either, 220 * 219 // 2, ordered)
+        if more:
+            assert tuple(dc.dc_report(df, rule, self_pairs=True).first())[::2] == (either, ordered + itself)
+    points = df.filter("x IS NOT NULL AND y IS NOT NULL").groupBy(F.col("x").alias("__x"), F.col("y").alias("__y")).agg(F.count("*").alias("__wa"), F.count("*").alias("__wb"))
+    n = lambda stripes: count_ordered(scratch.write(points, "points"), x, y, scratch, stripes).agg(F.sum("n")).first()[0]
+    want = sum(ok(s, t) and s[:2] != t[:2] for s in data for t in data)
+    assert n(1) == n(13) == want
+
+
+def test_ordered_numbers_in_text(spark):
+    df = spark.createDataFrame([("1",), ("2.0",), ("2",), ("10",), ("x",), (None,)], "z string")
+    assert tuple(dc.dc_report(df, parse_rule("A.z>B.z", "dc"), numeric=frozenset({"z"})).first())[:3] == (5, 15, 5)
+    assert tuple(dc.dc_report(df, parse_rule("A.z>=B.z", "dc"), numeric=frozenset({"z"})).first())[:3] == (6, 15, 7)
+    assert dc.dc_report(df, parse_rule("A.z>B.z", "dc")).first().dirty == 10
+
+
+def test_report_of_order_forms_no_pair(spark, plain_shuffles):
+    """Six billion comparisons of 110,000 classes; no join of rows is planned."""
+    df = spark.range(110_000).select((F.col("id") * 7919 % 110_000).alias("x"), (F.col("id") * 104_729 % 110_000).alias("y"))
+    x, y = (np.arange(110_000) * k % 110_000 for k in (7919, 104_729))
+    by = y[np.argsort(x)]
+    want = inversions(by, *[np.ones(110_000, np.int64)] * 2)
+    report = dc.dc_report(df, parse_rule("A.x>B.x@A.y<B.y", "dc"))
+    assert "SortMergeJoin" not in report._jdf.queryExecution().toString() and report.first().ordered_pairs == want

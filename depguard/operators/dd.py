@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from depguard.plans.pairs import COMPARE, bucket_join, grid_join, sides
+from depguard.plans.pairs import COMPARE, bucket_join, distance_grid, grid_join, sides
 from depguard.report import as_count, pairs_of, wide
 from depguard.rules import DD, Dist
 from depguard.rules.model import NEGATE
@@ -38,16 +38,26 @@ def _conditions(dd: DD) -> Column:
     return on & bad
 
 
+def _most_selective(df: DataFrame, distances: list[Dist]) -> Dist:
+    """Of distances with an upper bound, that whose bound is the smallest part of its column's spread; of distances with a
+    lower one, the largest."""
+    if len(distances) == 1:
+        return distances[0]
+    spread = df.agg(*(F.coalesce((F.max(d.column) - F.min(d.column)).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, d in enumerate(distances))).first()
+    part = lambda x: x[1].bound / (spread[x[0]] or 1e-300)
+    return (max if distances[0].op[0] == ">" else min)(enumerate(distances), key=part)[1]
+
+
 def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strategy: str, grid: int | None) -> DataFrame:
     a, b = sides(df, cols)
     on = first & _conditions(dd)
     bounded = [d for d in dd.lhs if d.op in ("<", "<=", "=")]
+    if strategy != "grid" and not bounded and (far := [d for d in dd.lhs if d.op in (">", ">=")]):
+        best = _most_selective(df, far)
+        return distance_grid(df, cols, best.column, best.bound, None, key, _conditions(dd), grid, Scratch(df.sparkSession))
     if strategy == "grid" or not bounded:
         return grid_join(a, b, f"A_{key}", f"B_{key}", grid, on)
-    best = bounded[0]
-    if len(bounded) > 1:
-        spread = df.agg(*(F.coalesce((F.max(d.column) - F.min(d.column)).cast("double"), F.lit(0.0)).alias(f"s{i}") for i, d in enumerate(bounded))).first()
-        best = min(enumerate(bounded), key=lambda x: x[1].bound / (spread[x[0]] or 1e-300))[1]
+    best = _most_selective(df, bounded)
     return bucket_join(a, b, f"A_{best.column}", f"B_{best.column}", best.bound, f"A_{key}", on, Scratch(df.sparkSession))
 
 

@@ -176,3 +176,32 @@ def test_report_of_order_forms_no_pair(spark, plain_shuffles):
     want = inversions(by, *[np.ones(110_000, np.int64)] * 2)
     report = dc.dc_report(df, parse_rule("A.x>B.x@A.y<B.y", "dc"))
     assert "SortMergeJoin" not in report._jdf.queryExecution().toString() and report.first().ordered_pairs == want
+
+
+@pytest.fixture(scope="module")
+def near_and_far(spark):
+    rng = random.Random(7)
+    data = [(i % 190, rng.choice([None, 5.0, 5.0, rng.uniform(-9, 9), rng.uniform(-9, 9), -3.0, float("inf"), float("nan")]), i % 11) for i in range(200)]  # some keys come twice
+    return spark.createDataFrame(data, "id int, x double, y int").cache()
+
+
+def same_as_all_pairs(df, text, **k):
+    rule = parse_rule(text, "dd")
+    a, b = sides(df, ["id", "x", "y"])
+    want = a.join(b, (F.col("A_id") < F.col("B_id")) & dd._conditions(rule)).select("A_id", "B_id", "A_x", "B_x")
+    got = dd.dd_pairs(df, rule, "id", **k)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert dd.dd_report(df.drop_duplicates(["id"]), rule, **k).first().dirty == dd.dd_pairs(df.drop_duplicates(["id"]), rule, "id", **k).count()
+
+
+@pytest.mark.parametrize(("text", "grid"), [("x>7@y<4", 9), ("x>=8@y<4", None), ("x>100@y<4", 1), ("y>5,x>7@y<8", 5)])
+def test_far_pairs_equal_all_pairs(near_and_far, text, grid):
+    same_as_all_pairs(near_and_far, text, grid=grid)
+
+
+def test_far_pairs_meet_where_they_can(spark, plain_shuffles, monkeypatch):
+    """All pairs of 50,000 rows aren't compared, only lines of which one may be far from the other."""
+    monkeypatch.setattr(dd, "grid_join", None)
+    df = spark.range(50_000).select("id", (F.col("id") * 7919 % 50_000).cast("double").alias("x"), F.lit(1).alias("y"))
+    n = loads(dd.dd_pairs(df, parse_rule("x>48000@y>0", "dd"), "id"))
+    assert sum(n) == 1999 * 2000 // 2 and len(n) > 1

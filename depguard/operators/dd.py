@@ -51,12 +51,13 @@ def _most_selective(df: DataFrame, distances: list[Dist]) -> Dist:
 def _meet(df: DataFrame, cols: list[str], dd: DD, key: str, first: Column, strategy: str, grid: int | None) -> DataFrame:
     a, b = sides(df, cols)
     on = first & _conditions(dd)
-    bounded = [d for d in dd.lhs if d.op in ("<", "<=", "=")]
-    if strategy != "grid" and not bounded and (far := [d for d in dd.lhs if d.op in (">", ">=")]):
-        best = _most_selective(df, far)
-        return distance_grid(df, cols, best.column, best.bound, None, key, _conditions(dd), grid, Scratch(df.sparkSession))
-    if strategy == "grid" or not bounded:
+    bounded, far = ([d for d in dd.lhs if d.op in ops] for ops in (("<", "<=", "="), (">", ">=", "=")))
+    if not bounded and not far:
         return grid_join(a, b, f"A_{key}", f"B_{key}", grid, on)
+    if strategy == "grid" or not bounded:
+        x = _most_selective(df, bounded or far).column
+        low, high = (max((d.bound for d in far if d.column == x), default=None), min((d.bound for d in bounded if d.column == x), default=None))
+        return distance_grid(df, cols, x, low, high, key, _conditions(dd), grid, Scratch(df.sparkSession))
     best = _most_selective(df, bounded)
     return bucket_join(a, b, f"A_{best.column}", f"B_{best.column}", best.bound, f"A_{key}", on, Scratch(df.sparkSession))
 
@@ -65,8 +66,9 @@ def dd_pairs(df: DataFrame, dd: DD, key: str, strategy: str = "auto", grid: int
     """Unordered pairs, A's key the smaller: A_x, B_x of the key and the rule's columns.
 
     String columns are read as numbers, what isn't one as null. strategy: bucket joins neighbouring buckets of the left
-    distance that prunes most (its bound is the smallest part of its column's spread); grid meets all pairs in cells,
-    needed only if no left distance has an upper bound; auto takes the first that applies.
+    distance that prunes most (its bound is the smallest part of its column's spread); grid meets pairs in cells of its
+    ranges, but for cells that its bounds rule out, needed only if no left distance has an upper bound; auto takes the
+    first that applies. Only left distances that all are != compare all pairs.
     """
     cols = list(dict.fromkeys([key, *_columns(dd)]))
     return _meet(_numbers(df, cols, key), cols, dd, key, F.col(f"A_{key}") < F.col(f"B_{key}"), strategy, grid)

@@ -188,7 +188,7 @@ def near_and_far(spark):
 def same_as_all_pairs(df, text, **k):
     rule = parse_rule(text, "dd")
     a, b = sides(df, ["id", "x", "y"])
-    want = a.join(b, (F.col("A_id") < F.col("B_id")) & dd._conditions(rule)).select("A_id", "B_id", "A_x", "B_x")
+    want = a.join(b, (F.col("A_id") < F.col("B_id")) & dd._conditions(rule)).select("A_id", "B_id", "A_y", "B_y")
     got = dd.dd_pairs(df, rule, "id", **k)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert dd.dd_report(df.drop_duplicates(["id"]), rule, **k).first().dirty == dd.dd_pairs(df.drop_duplicates(["id"]), rule, "id", **k).count()
@@ -205,3 +205,16 @@ def test_far_pairs_meet_where_they_can(spark, plain_shuffles, monkeypatch):
     df = spark.range(50_000).select("id", (F.col("id") * 7919 % 50_000).cast("double").alias("x"), F.lit(1).alias("y"))
     n = loads(dd.dd_pairs(df, parse_rule("x>48000@y>0", "dd"), "id"))
     assert sum(n) == 1999 * 2000 // 2 and len(n) > 1
+
+
+@pytest.mark.parametrize(("text", "grid"), [("x<0.5@y<4", 9), ("x<=8,x>2@y<4", None), ("x=8@y>4", 3), ("y!=3@y<5", 4)])
+def test_near_pairs_of_a_grid_equal_all_pairs(near_and_far, text, grid):
+    same_as_all_pairs(near_and_far, text, grid=grid, strategy="grid")
+
+
+def test_near_pairs_of_a_grid_meet_where_they_can(spark, plain_shuffles, monkeypatch):
+    """Lines far from each other aren't compared, and all tasks have about as many pairs."""
+    monkeypatch.setattr(dd, "grid_join", None)
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 20_000).cast("double").alias("x"), F.lit(1).alias("y"))
+    n = loads(dd.dd_pairs(df, parse_rule("x<200@y>0", "dd"), "id", strategy="grid"))
+    assert sum(n) == 199 * 20_000 - 199 * 200 // 2 and len(n) == 16 and max(n) < 3 * median(n)

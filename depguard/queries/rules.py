@@ -316,7 +316,7 @@ _OD = "A.o_totalprice>B.o_totalprice@A.o_orderdate<B.o_orderdate"
 
 @query("dc_report_order", f"SELECT count(*) AS dirty, (SELECT (count(*)::HUGEINT * (count(*) - 1) // 2)::BIGINT FROM orders) AS total, count(*) AS ordered_pairs, '{_OD}' AS rule FROM orders a JOIN orders b ON a.o_totalprice > b.o_totalprice AND a.o_orderdate < b.o_orderdate")
 def dc_report_order(s, d):
-    """Only comparisons of order, over a whole table: a grid of ranges."""
+    """Only comparisons of order, over a whole table: pairs are counted, not formed."""
     return dc.dc_report(t(s, d, "orders"), parse_rule(_OD, "dc"))
 
 
@@ -368,7 +368,7 @@ def dd_grid(s, d):
 
 @query("dd_far", "SELECT a.c_custkey AS A_c_custkey, b.c_custkey AS B_c_custkey FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) > 9000 AND abs(a.c_nationkey - b.c_nationkey) >= 10")
 def dd_far(s, d):
-    """A left distance without an upper bound: all pairs meet, in the cells of a grid."""
+    """A left distance without an upper bound: pairs meet in the cells of a grid whose ranges can be that far apart."""
     return dd.dd_pairs(t(s, d, "customer"), parse_rule("c_acctbal>9000@c_nationkey<10", "dd"), "c_custkey").select("A_c_custkey", "B_c_custkey")
 
 
